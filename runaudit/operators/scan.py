@@ -172,9 +172,11 @@ def spans(
     part = F.when((F.col("_span") == 1) | (F.col("_ends_chunk") == 1), F.lit(-1)).otherwise(
         F.col("_chunk").cast("long")
     )
-    level1 = level1.withColumn("_part", part).drop("_chunk", "_span", "_ends_chunk")
+    level1 = level1.withColumn("_part", part).drop("_span", "_ends_chunk")
+    # the two edge spans of one chunk have already been told apart
     flagged, first, last = _flag(
-        level1, [*keys, "_part"], [f"_a_{c}" for c in order], breaks, carry, "_z_", "_a_"
+        level1, [*keys, "_part"], [f"_a_{c}" for c in order],
+        lambda p, c: (p["_chunk"] == c["_chunk"]) | breaks(p, c), carry, "_z_", "_a_", ["_chunk"],
     )
     return (
         flagged.groupBy(*keys, "_part", "_span")
@@ -183,11 +185,13 @@ def spans(
     )
 
 
-def _flag(df, keys, order, breaks, carry, left, right):
+def _flag(df, keys, order, breaks, carry, left, right, plain=()):
     """Number spans and mark their end rows: one sort serves all windows."""
     w = Window.partitionBy(*keys).orderBy(*order)
     prev = {c: F.lag(f"{left}{c}").over(w) for c in carry}
     cur = {c: F.col(f"{right}{c}") for c in carry}
+    prev.update({c: F.lag(c).over(w) for c in plain})
+    cur.update({c: F.col(c) for c in plain})
     head = F.lag(F.col(order[0])).over(w).isNull()
     out = df.withColumn("_open", F.when(head, 1).when(breaks(prev, cur), 1).otherwise(0))
     out = out.select(
