@@ -8,6 +8,8 @@ the order.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -18,18 +20,21 @@ _FIRST = Window.unboundedPreceding
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the cluster's shared checkpoint folder.
+    """Cut lineage by a table written to the cluster's shared folder.
 
-    The folder comes from the session; without one (as in tests) the plan is
-    returned unchanged and simply recomputed.
+    The folder is `spark.checkpoint.dir`; only where the session names none (a
+    local run) is a temporary one used. The table outlives lost executors, and
+    reading it back prunes columns.
     """
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        return df
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=False)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-runaudit-")
+    path = f"{folder}/runaudit-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def number_rows(
