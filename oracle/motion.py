@@ -35,8 +35,8 @@ SQL["outer_radius"] = build("""
   FROM (SELECT run_id, frame_idx, any_value(q0) AS q0, any_value(q1) AS q1, any_value(qd0) AS qd0, any_value(qd1) AS qd1,
       max(CASE WHEN steps > 1 THEN 0.5 * (hi0 - lo0) / (steps - 1) * 0.9 ELSE 0 END) AS slack,
       max(CASE WHEN turn - 2 * pi() * floor(turn / (2 * pi())) <= hi1 - lo1 THEN 0.9
-        ELSE greatest(0.5, sqrt(pow(bx + 0.4 * cos(a + lo1), 2) + pow(by + 0.4 * sin(a + lo1), 2)), sqrt(pow(bx + 0.4 * cos(a + hi1), 2) + pow(by + 0.4 * sin(a + hi1), 2))) END) AS far
-    FROM (SELECT *, 0.5 * cos(a) AS bx, 0.5 * sin(a) AS by, atan2(0.5 * sin(a), 0.5 * cos(a)) - (a + lo1) AS turn FROM grid) GROUP BY 1, 2)""", "grid")
+        ELSE greatest(0.5, sqrt(pow(bx + 0.4 * cos(a + lo1), 2) + pow(yb + 0.4 * sin(a + lo1), 2)), sqrt(pow(bx + 0.4 * cos(a + hi1), 2) + pow(yb + 0.4 * sin(a + hi1), 2))) END) AS far
+    FROM (SELECT *, 0.5 * cos(a) AS bx, 0.5 * sin(a) AS yb, atan2(0.5 * sin(a), 0.5 * cos(a)) - (a + lo1) AS turn FROM grid) GROUP BY 1, 2)""", "grid")
 
 
 def step(src, dt):

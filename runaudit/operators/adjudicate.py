@@ -84,7 +84,7 @@ def adjudicate_windows(
     j = found.join(first, "run_id", "left")
     here = F.struct("t", "side", "seq")
     at = F.struct("_first.t", "_first.side", "_first.seq")
-    after = F.coalesce(here > at, F.lit(False))
+    after = F.col("_first").isNotNull() & (here > at)
     later = _offer_finding(F.col("_first._seq"))
     late_offer = F.when(later.isNotNull(), later).when(
         F.col("action_class") != "escalate", F.lit("escalation_failure")

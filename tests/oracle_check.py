@@ -72,8 +72,8 @@ def compare(spark, sf_dir, query, sql):
     names = {"bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
     odd = {c: (types[c], duck[c]) for c in types if names.get(types[c]) != duck[c]}
     if got[1] != want[1]:
-        only = [r for r in got[1] if r not in set(want[1])][:3]
-        miss = [r for r in want[1] if r not in set(got[1])][:3]
+        have, need = set(got[1]), set(want[1])
+        only, miss = sorted(have - need)[:3], sorted(need - have)[:3]
         return False, took, len(got[1]), f"{len(got[1])} vs {len(want[1])} rows\n {got[0]}\n only spark {only}\n only duck {miss}"
     return True, took, len(got[1]), f"types {odd}" if odd else ""
 
