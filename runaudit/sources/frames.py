@@ -131,9 +131,14 @@ def read_frames(lines: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame
 
 def frame_line(t, q, qd, person, obstacles) -> Column:
     """One row of a stream; obstacles are (id, kind, x, y, r) Columns."""
-    cells = [S.fixed_text(x) for x in (t, *q, *qd, *person)]
+
+    def texts(*xs):
+        # one formatting expression per group of numbers keeps the plan small
+        return F.array_join(F.transform(F.array(*xs), lambda x: S.fixed_text(x)), ",")
+
+    cells = [texts(t, *q, *qd, *person)]
     for oid, kind, x, y, r in obstacles:
-        cells += [oid, kind, S.fixed_text(x), S.fixed_text(y), S.fixed_text(r)]
+        cells += [oid, kind, texts(x, y, r)]
     return F.concat_ws(",", *cells)
 
 
