@@ -8,7 +8,6 @@ from runaudit import vocab as V
 from runaudit.catalog import integrity as CI
 from runaudit.catalog import records as CR
 from runaudit.catalog import register
-from runaudit.catalog.scene import layers as _layers  # noqa: F401
 from runaudit.operators import integrity as G
 from runaudit.operators import intervals as I
 from runaudit.operators.scan import durable
@@ -26,7 +25,7 @@ FINE = 0.01
 def report(spark, sf):
     """Each run asked about its middle declaration's instant; scene frames are
     thirty days apart, the time scale of the records."""
-    rc, sc = Records(spark, sf), Scene(spark, sf, period=30.0)
+    rc, sc = Records(spark, sf).stored(), Scene(spark, sf, period=30.0)
     meta = rc.meta()
     d, v = (durable(x) for x in CR.rows(rc))
     asks = CR.probes(rc).select("run_id", F.col("t_probe").alias("t"))
@@ -121,7 +120,7 @@ def answers_at_level(spark, sf):
 def record_grades(spark, sf):
     """The occurrence level has lost the edges that lead to regions; the run's
     seventh-set verdicts are altered in every level's copy."""
-    rc = Records(spark, sf)
+    rc = Records(spark, sf).stored()
     d0, v0 = rc.declarations(), rc.verdicts()
     d, v = (durable(x) for x in CR.rows(rc))
     lv = F.explode(F.array(*[F.lit(x) for x in V.LEVELS])).alias("level")
@@ -148,7 +147,7 @@ def record_grades(spark, sf):
 
 @register
 def record_truth(spark, sf):
-    rc = Records(spark, sf)
+    rc = Records(spark, sf).stored()
     return GR.record_truth(rc.declarations(), rc.verdicts(), CR.probes(rc))
 
 

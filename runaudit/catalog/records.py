@@ -60,12 +60,12 @@ def declaration_rows(spark, sf):
 
 @register
 def verdict_rows(spark, sf):
-    return rows(Records(spark, sf))[1]
+    return rows(Records(spark, sf).stored())[1]
 
 
 @register
 def declared_bound(spark, sf):
-    rc = Records(spark, sf)
+    rc = Records(spark, sf).stored()
     ask = probes(rc).select("run_id", F.col("t_probe").alias("t"))
     # a second ask per customer, at an instant few declarations reach
     late = rc.runs().select("run_id", F.lit(100.0).alias("t"))
@@ -75,21 +75,21 @@ def declared_bound(spark, sf):
 
 @register
 def violations(spark, sf):
-    rc = Records(spark, sf)
+    rc = Records(spark, sf).stored()
     ask = rc.runs().select("run_id", F.lit(1000.0).alias("t0"), F.lit(2000.0).alias("t1"))
     return Q.violations(ask, rc.meta(), rows(rc)[1]).summary
 
 
 @register
 def violation_actions(spark, sf):
-    rc = Records(spark, sf)
+    rc = Records(spark, sf).stored()
     ask = rc.runs().select("run_id", F.lit(1000.0).alias("t0"), F.lit(2000.0).alias("t1"))
     return Q.violations(ask, rc.meta(), rows(rc)[1]).rows
 
 
 @register
 def verdicts(spark, sf):
-    rc = Records(spark, sf)
+    rc = Records(spark, sf).stored()
     ask = probes(rc).select("run_id", F.col("probe_declaration_id").alias("declaration_id"))
     wrong = rc.runs().select("run_id", F.lit("d-none").alias("declaration_id"))
     a = Q.verdicts_of(ask.unionByName(wrong), rc.meta(), rc.declarations(), rows(rc)[1])
@@ -141,14 +141,14 @@ def enforcement_events(spark, sf):
 
 @register
 def attestation_edges(spark, sf):
-    rc = Records(spark, sf)
+    rc = Records(spark, sf).stored()
     return R.attestation_edges(rc.declarations(), rc.verdicts())
 
 
 @register
 def dangling_links(spark, sf):
     """Records removed after their links were written: every 97th verdict."""
-    rc = Records(spark, sf)
+    rc = Records(spark, sf).stored()
     d, v = rc.declarations(), rc.verdicts()
     left = R.record_union(d, v).filter(~((F.col("kind") == "Verdict") & (F.col("seq") % 97 == 13)))
     return R.dangling_links(R.follows(d, v), left)
@@ -171,13 +171,13 @@ def due_declarations(spark, sf):
 
 @register
 def probe_declaration(spark, sf):
-    return probes(Records(spark, sf))
+    return probes(Records(spark, sf).stored())
 
 
 @register
 def violations_diff(spark, sf):
     """Refusals missing from, and invented in, an altered copy."""
-    v = Q_refused(Records(spark, sf).verdicts())
+    v = Q_refused(Records(spark, sf).stored().verdicts())
     k = F.col("seq")
     altered = v.filter(k % 31 != 7).withColumn(
         "fault", F.when(k % 29 == 3, F.lit("stale_declaration")).otherwise(F.col("fault"))
@@ -195,7 +195,7 @@ def Q_refused(v):
 
 @register
 def node_counts(spark, sf):
-    rc = Records(spark, sf)
+    rc = Records(spark, sf).stored()
     nodes = R.record_union(rc.declarations(), rc.verdicts()).select("run_id", "kind").unionByName(
         rc.regions().select("run_id", F.lit("Envelope").alias("kind"))
     )
@@ -264,7 +264,7 @@ def validate_records(spark, sf):
 
 @register
 def validate_edges(spark, sf):
-    rc = Records(spark, sf)
+    rc = Records(spark, sf).stored()
     d, v = rc.declarations(), rc.verdicts()
     e = R.attestation_edges(d, v).select(
         "run_id", "type", "src_id", "dst_id", "t_start",

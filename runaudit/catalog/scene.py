@@ -9,7 +9,7 @@ from runaudit.catalog import register
 from runaudit.functions import scalars as S
 from runaudit.operators import checks as C
 from runaudit.operators import intervals as I
-from runaudit.operators.scan import Fold
+from runaudit.operators.scan import Fold, durable
 from runaudit.plans import build as B
 from runaudit.plans import questions as Q
 from runaudit.sources.bindings import Scene, table
@@ -28,14 +28,16 @@ def stored_edges(sc: Scene):
         & (F.col("frame_first") % 7 == 0)
     )
     obs = sc.observations().filter(~((r % 5 == 0) | (r % 7 == 0)))
-    return I.coalesce_intervals(obs).filter(~lost)
+    return durable(I.coalesce_intervals(obs).filter(~lost))
 
 
 def stored_occurrences(sc: Scene):
     r = F.col("run_id")
     keep = (r % 5 == 0) & (r % 7 != 0)
-    return B.scene_occurrences(
-        sc.observations().filter(keep), sc.distances().filter(keep), sc.runs().filter(keep)
+    return durable(
+        B.scene_occurrences(
+            sc.observations().filter(keep), sc.distances().filter(keep), sc.runs().filter(keep)
+        )
     )
 
 
@@ -96,7 +98,7 @@ def retained_frames(spark, sf):
 @register
 def region_timeline(spark, sf):
     sc = Scene(spark, sf)
-    obs = sc.observations()
+    obs = durable(sc.observations())
     kept = I.retained_frames(I.presence_spans(obs), I.coalesce_intervals(obs), sc.runs())
     return I.region_timeline(sc.digests(), kept).select(
         "run_id", "region_id", "frame_first", "frame_last", "t_start", "t_end"
@@ -106,7 +108,7 @@ def region_timeline(spark, sf):
 @register
 def region_at(spark, sf):
     sc = Scene(spark, sf)
-    obs = sc.observations()
+    obs = durable(sc.observations())
     kept = I.retained_frames(I.presence_spans(obs), I.coalesce_intervals(obs), sc.runs())
     env = I.region_timeline(sc.digests(), kept).select("run_id", "region_id", "t_start", "t_end")
     ask = sc.runs().select("run_id", F.explode(F.array(F.lit(0.1), F.lit(0.3), F.lit(9.0))).alias("t"))

@@ -355,6 +355,7 @@ def record_gate(meta: DataFrame) -> DataFrame:
 
 def declaration_rows(declarations: DataFrame, edges: DataFrame, regions: DataFrame) -> DataFrame:
     """Declarations with the region each claimed, where it survives."""
+    regions = regions.filter(F.col("source") == "declared")
     e = edges.filter(F.col("type") == "DECLARED").select(
         F.col("src_id").alias("declaration_id"), F.col("dst_id").alias("region_id")
     )
@@ -373,6 +374,7 @@ def verdict_rows(
     verdicts: DataFrame, declarations: DataFrame, edges: DataFrame, regions: DataFrame
 ) -> DataFrame:
     """Adjudications with the declaration they name and the bound applied."""
+    regions = regions.filter(F.col("source") == "clamped")
     e = edges.filter(F.col("type") == "ENFORCED").select(
         F.col("src_id").alias("verdict_id"), F.col("dst_id").alias("region_id")
     )

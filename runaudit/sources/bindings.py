@@ -11,14 +11,15 @@ order is spread over its days.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from runaudit import vocab as V
 from runaudit.functions import scalars as S
-from runaudit.operators.scan import number_rows
+from runaudit.operators.scan import durable, number_rows
 
 PERIOD = 0.02
 COARSE_QUANTUM = 0.2
@@ -26,8 +27,15 @@ EPOCH = "1995-01-01"
 DAY = "day"
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its schema is read from the footer once per path."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 # --------------------------------------------------------------------------
@@ -168,6 +176,14 @@ PRIORITY_ACTIONS = {
 class Records:
     spark: SparkSession
     sf_dir: str
+    kept: dict[str, DataFrame] = field(default_factory=dict)
+
+    def stored(self) -> Records:
+        """Write both record tables once, for plans that read them often."""
+        for name in ("declarations", "verdicts"):
+            if name not in self.kept:
+                self.kept[name] = durable(getattr(self, name)())
+        return self
 
     def runs(self) -> DataFrame:
         c = table(self.spark, self.sf_dir, "customer")
@@ -190,6 +206,8 @@ class Records:
         )
 
     def declarations(self) -> DataFrame:
+        if "declarations" in self.kept:
+            return self.kept["declarations"]
         o = table(self.spark, self.sf_dir, "orders")
         d = number_rows(
             o.select(
@@ -215,6 +233,8 @@ class Records:
         )
 
     def verdicts(self) -> DataFrame:
+        if "verdicts" in self.kept:
+            return self.kept["verdicts"]
         o = table(self.spark, self.sf_dir, "orders").select(
             F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("run_id")
         )
