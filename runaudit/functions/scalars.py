@@ -7,6 +7,7 @@ NULL, which every question reports as could-not-evaluate.
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -71,24 +72,12 @@ def fixed_text(v: Column, decimals: int = V.FLOAT_DECIMALS) -> Column:
     mh, ml = halves(m)
     err = ((vh * mh - p) + vh * ml + vl * mh) + vl * ml
     base = F.floor(p).cast("long")
-    tie = (p - F.floor(p)) == 0.5
-    n = (
-        F.when(~tie, F.rint(p).cast("long"))
-        .when(err > 0, base + 1)
-        .when(err < 0, base)
-        .otherwise(base + F.abs(base % 2))
-    )
-    mag = F.abs(n)
-    unit = 10**decimals
-    return F.when(
-        finite(v) & (F.abs(p) < float(2**52)),
-        F.concat(
-            F.when(n < 0, F.lit("-")).otherwise(F.lit("")),
-            F.floor(mag / F.lit(unit)).cast("string"),
-            F.lit("."),
-            F.lpad((mag % unit).cast("string"), decimals, "0"),
-        ),
-    )
+    up = F.when(err > 0, F.lit(1)).when(err < 0, F.lit(0)).otherwise(F.abs(base % 2))
+    n = F.when((p - F.floor(p)) == 0.5, base + up).otherwise(F.rint(p).cast("long"))
+    scaled = n.cast("decimal(18,0)") * F.lit(Decimal(1).scaleb(-decimals))
+    # outside ANSI mode a decimal zero prints with an exponent
+    text = F.replace(scaled.cast("string"), F.lit(f"0E-{decimals}"), F.lit(f"{0:.{decimals}f}"))
+    return F.when(finite(v) & (F.abs(p) < float(2**52)), text)
 
 
 def digest(*parts: Column, length: int = 16) -> Column:

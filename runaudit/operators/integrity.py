@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from runaudit import vocab as V
 from runaudit.functions import canonical as K
 from runaudit.functions import scalars as S
-from runaudit.operators.scan import Scan, number_rows, running
+from runaudit.operators.scan import Scan, durable, number_rows, running
 
 CHAIN = ("run_id", "chain", "part")
 ID = {"Declaration": "declaration_id", "Verdict": "verdict_id"}
@@ -83,11 +83,31 @@ def chain_rows(records: DataFrame, kind: str) -> DataFrame:
     )
 
 
-def links(rows: DataFrame, fmt: K.Format = K.Format(), chunk_rows: int = V.CHUNK_ROWS) -> DataFrame:
-    """Each record beside the hash its predecessor has. NULL own_hash marks
-    a record that cannot be hashed; its successor then expects genesis."""
-    own = K.chain_hash(fmt, F.col("head"), F.col("prev_hash"), F.col("mac"))
-    h = rows.withColumn("own_hash", own).withColumn(
+def _hashed(rows: DataFrame, keys: dict[str, bytes] | None, fmt: K.Format) -> DataFrame:
+    """Row-local hash and MAC state of every record; the record text ends here,
+    so what is ordered and shuffled afterwards is narrow."""
+    state = F.lit(V.MAC_CNE)
+    for chain, key in (keys or {}).items():
+        state = F.when(
+            F.col("chain") == chain,
+            K.mac_state(fmt, key, F.col("head"), F.col("prev_hash"), F.col("mac")),
+        ).otherwise(state)
+    return rows.select(
+        *CHAIN, "seq", "record_id", "prev_hash",
+        K.chain_hash(fmt, F.col("head"), F.col("prev_hash"), F.col("mac")).alias("own_hash"),
+        state.alias("mac_state"),
+    )
+
+
+def checked(
+    rows: DataFrame, keys: dict[str, bytes] | None, fmt: K.Format = K.Format(),
+    chunk_rows: int = V.CHUNK_ROWS,
+) -> DataFrame:
+    """Each record beside the hash its predecessor has, and its MAC
+    state; keys by chain, or None. NULL own_hash marks a record that cannot be
+    hashed; its successor then expects genesis. Hashes are stored once, since
+    the ordered pass reads them twice."""
+    h = durable(_hashed(rows, keys, fmt)).withColumn(
         "chunk", F.floor(F.col("seq") / chunk_rows).cast("long")
     )
     j = running(
@@ -95,26 +115,19 @@ def links(rows: DataFrame, fmt: K.Format = K.Format(), chunk_rows: int = V.CHUNK
         [Scan("_pred", "lag", F.struct("record_id", "own_hash"))],
     )
     expected = F.coalesce(F.col("_pred.own_hash"), F.lit(V.GENESIS))
-    first = F.col("_pred").isNull()
     return j.select(
-        *rows.columns, "own_hash", F.col("_pred.record_id").alias("predecessor_id"),
-        expected.alias("expected"),
+        *CHAIN, "seq", "record_id", "prev_hash", "own_hash", "mac_state",
+        F.col("_pred.record_id").alias("predecessor_id"), expected.alias("expected"),
         F.when(F.col("prev_hash").eqNullSafe(expected), F.lit("ok"))
-        .when(first, F.lit("genesis"))
+        .when(F.col("_pred").isNull(), F.lit("genesis"))
         .otherwise(F.lit("link"))
         .alias("link"),
     )
 
 
-def checked(rows: DataFrame, keys: dict[str, bytes] | None, fmt: K.Format = K.Format()) -> DataFrame:
-    """Links and MACs of every record in one pass; keys by chain, or None."""
-    state = F.lit(V.MAC_CNE)
-    for chain, key in (keys or {}).items():
-        state = F.when(
-            F.col("chain") == chain,
-            K.mac_state(fmt, key, F.col("head"), F.col("prev_hash"), F.col("mac")),
-        ).otherwise(state)
-    return links(rows, fmt).withColumn("mac_state", state)
+def links(rows: DataFrame, fmt: K.Format = K.Format(), chunk_rows: int = V.CHUNK_ROWS) -> DataFrame:
+    """Links alone, with no key at hand."""
+    return checked(rows, None, fmt, chunk_rows).drop("mac_state")
 
 
 def _record_failures(c: DataFrame, have_keys: bool) -> DataFrame:
