@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from runaudit.catalog import register
 from runaudit.catalog.motion import events
-from runaudit.catalog.streams import shared_folder
+from runaudit.operators.scan import shared_path
 from runaudit.sources.bindings import Records, Scene
 from runaudit.streaming import live as L
 
@@ -21,7 +21,7 @@ def stream_intervals(spark, sf):
         "run_id", "type", "entity_id", "frame_idx", "t", "compare",
         F.timestamp_micros(EPOCH_US + (F.col("t") * 1e6).cast("long")).alias("at"),
     )
-    root = shared_folder(spark, "live")
+    root = shared_path(spark, "live")
     full = obs.unionByName(L.closing_rows(obs))
     src = L.as_stream(full, f"{root}/in")
     out = L.run_available(L.stream_intervals(src), f"{root}/out", f"{root}/check")
@@ -33,7 +33,7 @@ def stream_intervals(spark, sf):
 @register
 def stream_watchdog(spark, sf):
     """X2 over all offers and actions."""
-    root = shared_folder(spark, "watch")
+    root = shared_path(spark, "watch")
     ev = events(Records(spark, sf)).select("run_id", "t", "side", "horizon")
     src = L.as_stream(ev, f"{root}/in")
     return L.run_available(L.stream_watchdog(src, 400.0, 0.0), f"{root}/out", f"{root}/check")

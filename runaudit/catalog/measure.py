@@ -8,9 +8,10 @@ from runaudit import vocab as V
 from runaudit.catalog import integrity as CI
 from runaudit.catalog import records as CR
 from runaudit.catalog import register
+from runaudit.functions import scalars as S
 from runaudit.operators import integrity as G
 from runaudit.operators import intervals as I
-from runaudit.operators.scan import durable
+from runaudit.operators.scan import durable, shared_path
 from runaudit.plans import build as B
 from runaudit.plans import grade as GR
 from runaudit.plans import incident as INC
@@ -227,11 +228,7 @@ def build_evidence(spark, sf):
 
 
 def _store(spark, sf):
-    import tempfile
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-runaudit-")
-    root = f"{folder}/evidence-{uuid.uuid4().hex}"
+    root = shared_path(spark, "evidence")
     tables = evidence_tables(spark, sf)
     for name, df in tables.items():
         store.write_table(df, f"{root}/{name}", ["type"] if name == "edges" else None)
@@ -250,11 +247,7 @@ def resolution_curve(spark, sf):
     sc, edges, occ = scene_parts(spark, sf)
     e, o = GR.level_views(edges, sc.frames(), occ, sc.step)
     views = GR.by_level(e).unionByName(GR.by_level(o), allowMissingColumns=True)
-    import tempfile
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-runaudit-")
-    root = f"{folder}/levels-{uuid.uuid4().hex}"
+    root = shared_path(spark, "levels")
     store.write_table(views, root, ["level"])
     sizes = (
         spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
@@ -272,8 +265,6 @@ def resolution_curve(spark, sf):
     j = sizes.join(rows, "level").join(g, "level").withColumn("_k", F.lit(1)).join(
         seconds.withColumn("_k", F.lit(1)), "_k"
     )
-    from runaudit.functions import scalars as S
-
     return j.select(
         "level", "bytes", "rows", "agree", "could_not_evaluate", "disagree",
         S.bytes_per_hour(F.col("bytes"), F.col("seconds")).alias("bytes_per_hour"),

@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from runaudit.catalog import register
 from runaudit.functions import scalars as S
 from runaudit.operators.intervals import with_chunk
+from runaudit.operators.scan import shared_path
 from runaudit.sources import frames as FR
 from runaudit.sources.bindings import Scene
 
 CHUNK = 1 << 14
 
 
-def shared_folder(spark, name: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-runaudit-")
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
-
-
 def written(spark, sf) -> str:
     """Write every run as text: two layouts (odd runs carry a second obstacle),
     a comment block, and planted faults in some rows."""
@@ -57,7 +50,7 @@ def written(spark, sf) -> str:
             )
         ).alias("line"),
     )
-    path = shared_folder(spark, "frames")
+    path = shared_path(spark, "frames")
     FR.write_frames(f.select("run_id", "chunk", "frame_idx", planted.alias("line")), header, note, path)
     return path
 

@@ -106,12 +106,16 @@ def instant_at(run_start: Column, t: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(run_start) + F.rint(t * 1e6).cast("long"))
 
 
+def _utc(ts: Column) -> Column:
+    return F.to_utc_timestamp(ts, F.current_timezone())
+
+
 def format_instant(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return F.date_format(_utc(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
 def instant_date(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy/MM/dd")
+    return F.date_format(_utc(ts), "yyyy/MM/dd")
 
 
 def valid_identifier(x: Column) -> Column:

@@ -13,28 +13,29 @@ import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _FIRST = Window.unboundedPreceding
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table written to the cluster's shared folder.
-
-    The folder is `spark.checkpoint.dir`; only where the session names none (a
-    local run) is a temporary one used. The table outlives lost executors, and
-    reading it back prunes columns.
-    """
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder `spark.checkpoint.dir` names; only a local
+    session that names none gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="spark-runaudit-")
-    path = f"{folder}/runaudit-{uuid.uuid4().hex}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage by a table written to the cluster's shared folder. The table
+    outlives lost executors, and reading it back prunes columns."""
+    path = shared_path(df.sparkSession, "runaudit")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def number_rows(
