@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runaudit.llm import sharding
+from runaudit.llm import grams, quality_classifier, quality_rules, sharding
 from runaudit.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,18 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(rows, "doc_id", 40, order).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
     )
+
+
+@query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents drawn on; as large a share is kept as labels call fine."""
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    k = round(docs.count() * quality_classifier.fine_share(labels))
+    target = grams.labelled(docs, labels, "text").where("_good")
+    return quality_classifier.resample(docs, target, k)
+
+
+@query
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    return quality_rules.judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
