@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runaudit.llm import grams, quality_classifier, quality_rules, sharding
-from runaudit.llm.common import load
+from runaudit.llm import grams, packing, quality_classifier, quality_rules, sharding, token_files
+from runaudit.llm.common import folder, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,3 +49,21 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of every document."""
     return quality_rules.judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+@query
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token files, read back."""
+    path = f"{folder(spark)}/tokens-{uuid.uuid4().hex}"
+    token_files.write(load(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end=2)
+    return token_files.digest(spark, path)
+
+
+@query
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2,048 ids."""
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    cut = packing.pieces(load(spark, sf_dir, "documents"), file, end=1, length=2048)
+    return packing.pack(cut, 2048, [F.col("doc_id"), F.col("start"), F.col("ids_crc32")]).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
