@@ -27,7 +27,7 @@ from runaudit.llm.common import gapless, slices, stored
 from runaudit.llm.tokens import Encoder, texts
 
 UNIT = 8  # tokens; a piece wastes fewer than this by rounding
-GAP = 1e-3  # generation stops this close to the optimum of the program
+GAP = 1e-3  # generation stops when this close to a bound on the optimum
 _EPS = 1e-9
 
 
@@ -90,11 +90,13 @@ def column_generation(demand: np.ndarray, rounds: int = 4000) -> list[tuple[np.n
         return []
     basis = np.diag(room // (used + 1)).astype(float)  # columns are patterns
     inverse, amount = np.linalg.inv(basis), demand[used] / np.diag(basis)
+    bound = demand @ np.arange(1, room + 1) / room  # no packing uses fewer sequences
     for turn in range(rounds):
         value = np.zeros(room)
         value[used] = np.maximum(inverse.sum(axis=0), 0.0)  # each sequence costs 1
         worth, counts = best_pattern(value, room)
-        if worth <= 1 + GAP:
+        bound = max(bound, amount.sum() / worth)
+        if amount.sum() <= bound * (1 + GAP):
             break
         step = inverse @ counts[used]
         ratio = np.where(step > _EPS, amount / np.where(step > _EPS, step, 1), np.inf)
