@@ -89,7 +89,7 @@ def column_generation(demand: np.ndarray, rounds: int = 4000) -> list[tuple[np.n
     if not len(used):
         return []
     basis = np.diag(room // (used + 1)).astype(float)  # columns are patterns
-    inverse, amount = np.linalg.inv(basis), demand[used] / np.diag(basis)
+    inverse, amount = np.diag(1 / np.diag(basis)), demand[used] / np.diag(basis)
     bound = demand @ np.arange(1, room + 1) / room  # no packing uses fewer sequences
     for turn in range(rounds):
         value = np.zeros(room)
@@ -107,7 +107,7 @@ def column_generation(demand: np.ndarray, rounds: int = 4000) -> list[tuple[np.n
         row = inverse[out] / step[out]
         inverse -= np.outer(step, row)
         inverse[out] = row
-        if turn % 200 == 199:
+        if turn % 500 == 499:  # against rounding errors
             inverse = np.linalg.inv(basis)
     return [(_spread(basis[:, j], used, room), amount[j]) for j in range(len(used)) if amount[j] > _EPS]
 
