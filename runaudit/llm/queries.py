@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runaudit.llm import grams, packing, quality_classifier, quality_rules, sharding, token_files
+from runaudit.llm import grams, minhash, packing, quality_classifier, quality_rules, sharding, token_files
 from runaudit.llm.common import folder, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut, 2048, [F.col("doc_id"), F.col("start"), F.col("ids_crc32")]).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 5-word shingles are alike to 85 %."""
+    return minhash.near_duplicates(load(spark, sf_dir, "documents"), percent=85)
