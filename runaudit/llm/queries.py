@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runaudit.llm import grams, minhash, packing, quality_classifier, quality_rules, sharding, token_files
+from runaudit.llm import grams, minhash, packing, quality_classifier, quality_rules, rlz, sharding, suffix_array, token_files
 from runaudit.llm.common import folder, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingles are alike to 85 %."""
     return minhash.near_duplicates(load(spark, sf_dir, "documents"), percent=85)
+
+
+@query
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words and more that an earlier document holds too."""
+    found = suffix_array.repeated_spans(load(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), "start", "n_words", F.col("source").alias("source_doc_id"))
+
+
+@query
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without windows of earlier ones."""
+    return rlz.parse(load(spark, sf_dir, "documents")).select(
+        F.col("doc").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256")
+    )
