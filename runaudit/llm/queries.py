@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runaudit.llm import grams, minhash, packing, quality_classifier, quality_rules, rlz, sharding, suffix_array, token_files
+from runaudit.llm import grams, line_dedup, minhash, packing, quality_classifier, quality_rules, rlz, sharding, suffix_array, token_files
 from runaudit.llm.common import folder, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,36 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rlz.parse(load(spark, sf_dir, "documents")).select(
         F.col("doc").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256")
     )
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without runs of three lines that were there before."""
+    return line_dedup.dedup_lines(load(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
+SQL["op9_line_dedup"] = r"""
+WITH raw AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS j
+  FROM documents
+), lines AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i
+  FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), runs AS (
+  SELECT doc_id, i, j, line AS a, lead(line) OVER w AS b, lead(line, 2) OVER w AS c, lead(j, 2) OVER w AS last
+  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY j)
+), firsts AS (
+  SELECT *, first_value(doc_id) OVER w AS fd, first_value(i) OVER w AS fi
+  FROM runs WHERE last IS NOT NULL WINDOW w AS (PARTITION BY a, b, c ORDER BY doc_id, i)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(j, last)) AS j
+  FROM firsts WHERE fd < doc_id OR (fd = doc_id AND fi < i)
+)
+SELECT doc_id, count(*) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]')) AS n_lines,
+       count(*) FILTER (gone.j IS NOT NULL AND regexp_matches(line, '[^\x20\x09-\x0D]')) AS n_deleted,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY raw.j) FILTER (gone.j IS NULL), '')) AS kept_sha256
+FROM raw LEFT JOIN gone USING (doc_id, j) GROUP BY doc_id
+"""
