@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runaudit.llm.common import gapless, slices, stored
-from runaudit.llm.tokens import Encoder, texts
+from runaudit.llm.tokens import encoder, texts
 
 UNIT = 8  # tokens; a piece wastes fewer than this by rounding
 GAP = 1e-3  # generation stops when this close to a bound on the optimum
@@ -37,9 +37,9 @@ def pieces(docs: DataFrame, file: str, end: int, length: int, text: str = "text"
     has the end id alone."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(file, end)
+        ids_of = encoder(file, end)
         for batch in slices(batches, text):
-            rows = [encoder(t) for t in texts(batch, text)]
+            rows = [ids_of(t) for t in texts(batch, text)]
             at, start, size, crc, total = [], [], [], [], []
             for i, ids in enumerate(rows):
                 for a in range(0, len(ids), 4 * length):

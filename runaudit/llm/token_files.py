@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runaudit.llm.common import slices
-from runaudit.llm.tokens import Encoder, lists, texts
+from runaudit.llm.tokens import encoder, lists, texts
 
 ROW_GROUP = 32 << 20  # bytes
 PAGE_ROWS = 512
@@ -30,9 +30,9 @@ def encode(docs: DataFrame, file: str, end: int, text: str = "text", key: str =
     """(key, n_tokens, ids) of each whole text; null text is empty."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(file, end)
+        ids_of = encoder(file, end)
         for batch in slices(batches, text):
-            rows = [encoder(t) for t in texts(batch, text)]
+            rows = [ids_of(t) for t in texts(batch, text)]
             n = pa.array(np.fromiter((len(x) // 4 for x in rows), np.int64, len(rows)))
             yield pa.RecordBatch.from_arrays([batch.column(0), n, lists(rows)], names=[key, "n_tokens", "ids"])
 

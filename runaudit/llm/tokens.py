@@ -8,37 +8,47 @@ again. Texts with other white space, or runs with a space, go through whole.
 
 from __future__ import annotations
 
+import re
+from array import array
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-PIECES = 1 << 18  # parts a task remembers; more only costs encoding them again
-
-
-@cache
-def tokenizer(file: str) -> Tokenizer:
-    """One per worker. The strings of special tokens are ordinary text."""
-    made = Tokenizer.from_file(file)
-    made.encode_special_tokens = True
-    return made
+PARTS = 1 << 19  # parts a worker remembers for sure, and as many of the ones before
+_OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_TAIL = re.compile(r"(.+?)([.,;:!?%&*#$]+|\n.*)", re.DOTALL)
 
 
 class Encoder(dict):
-    """Ids of texts as little-endian unsigned 32-bit integers, with an end id."""
+    """Ids of texts as little-endian unsigned 32-bit integers, with an end id. The
+    strings of special tokens are ordinary text."""
 
     def __init__(self, file: str, end: int):
-        self.tokenizer, self.end = tokenizer(file), np.array([end], "<u4").tobytes()
+        self.tokenizer, self.end, self.before = Tokenizer.from_file(file), array("I", [end]).tobytes(), {}
+        self.tokenizer.encode_special_tokens = True
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= PIECES:
+        """Part after a space. Punctuation at its end, or what follows a line feed in
+        it, is a word of its own to both tokenizers; it is kept under a leading space."""
+        got = self.before.get(part)
+        if got is None:
+            cut = _TAIL.fullmatch(part)
+            if part[:1] == " ":
+                got = self.whole(part[1:])
+            elif cut and (cut[1][-1].isalpha() or cut[2][0] == "\n"):
+                got = self[cut[1]] + self[" " + cut[2]]
+            else:
+                got = self.whole(" " + part)
+        if len(self) >= PARTS:
+            self.before = dict(self)
             self.clear()
-        got = self[part] = self.whole(" " + part)
+        self[part] = got
         return got
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
@@ -49,11 +59,16 @@ class Encoder(dict):
         return self.whole(first) + b"".join(map(self.__getitem__, rest)) + self.end
 
 
+@cache
+def encoder(file: str, end: int) -> Encoder:
+    """One per worker process, so that tasks share what it remembers."""
+    return Encoder(file, end)
+
+
 def plain(text: str) -> bool:
     """Whether all white space is line feeds and single spaces between others."""
-    spaces = text.count(" ")
     return (
-        sum(map(len, text.split())) + spaces + text.count("\n") == len(text)
+        not any(map(text.__contains__, _OTHER_SPACE))
         and "  " not in text
         and "\n " not in text
         and " \n" not in text
