@@ -1,23 +1,72 @@
-"""A corpus made ready for training."""
+"""A corpus made ready for training: five stages over `documents`.
+
+Every stage takes what its predecessor kept, whole, and all but the last return
+the columns of `documents`. Null and empty texts fail the quality rules, so later
+stages see them only if called by themselves; each says in its operator's
+docstring what it does with them.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from runaudit.llm import decontaminate, line_dedup, minhash, packing, quality_rules
 from runaudit.llm.common import load, stored
 
-STAGES: list = []
-ORACLE_SQL = None
+SEQUENCE = 2048
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules and the likelihood-ratio test."""
+    judged = quality_rules.judge(docs, load(spark, sf_dir, "labels"), keep=tuple(docs.columns))
+    return judged.where("kept").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated line runs; `n_chars` counts what is left. One
+    whose every line was there before goes."""
+    left = line_dedup.dedup_lines(docs).where("n_deleted = 0 or n_deleted < n_lines")
+    changed = F.when(F.col("n_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", changed).select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The least document of each group of near-duplicates."""
+    gone = minhash.near_duplicates(docs, percent=80).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, load(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, each with its place in a sequence."""
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    cut = packing.pieces(docs, file, end=1, length=SEQUENCE)
+    return packing.pack(cut, SEQUENCE, [F.col("doc_id"), F.col("start"), F.col("ids_crc32")])
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("minhash", near),
+    ("decontaminate", benchmark),
+    ("packing", pack),
+]
+
+ORACLE_SQL = None  # tokenizer, models and edit distances are beyond SQL; tests hold each stage against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written and read again."""
     docs = load(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 def statements() -> dict[str, str]:

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runaudit.llm import grams, line_dedup, minhash, packing, quality_classifier, quality_rules, rlz, sharding, suffix_array, token_files
+from runaudit.llm import decontaminate, grams, line_dedup, minhash, packing, quality_classifier, quality_rules, rlz, sharding, suffix_array, token_files
 from runaudit.llm.common import folder, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,9 @@ SELECT doc_id, count(*) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]')) AS n_l
        sha256(coalesce(string_agg(line, chr(10) ORDER BY raw.j) FILTER (gone.j IS NULL), '')) AS kept_sha256
 FROM raw LEFT JOIN gone USING (doc_id, j) GROUP BY doc_id
 """
+
+
+@query
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, up to a fifth of their words edited."""
+    return decontaminate.matches(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
