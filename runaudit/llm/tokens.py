@@ -21,6 +21,14 @@ _OTHER_SPACE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in "
 _TAIL = re.compile(r"(.+?)([.,;:!?%&*#$]+|\n.*)", re.DOTALL)
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte: printable
+    Latin-1 characters stand for themselves, the rest for those from 256 on."""
+    plain_bytes = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in plain_bytes]
+    return {b: chr(b) for b in plain_bytes} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Encoder(dict):
     """Ids of texts as little-endian unsigned 32-bit integers, with an end id. The
     strings of special tokens are ordinary text."""
@@ -28,6 +36,8 @@ class Encoder(dict):
     def __init__(self, file: str, end: int):
         self.tokenizer, self.end, self.before = Tokenizer.from_file(file), array("I", [end]).tobytes(), {}
         self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.folds = self.tokenizer.normalizer is not None
 
     def __missing__(self, part: str) -> bytes:
         """Part after a space. Punctuation at its end, or what follows a line feed in
@@ -35,7 +45,9 @@ class Encoder(dict):
         got = self.before.get(part)
         if got is None:
             cut = _TAIL.fullmatch(part)
-            if part[:1] == " ":
+            if part.isalpha() and max(part) <= "\xff":
+                got = self.word(part)
+            elif part[:1] == " ":
                 got = self.whole(part[1:])
             elif cut and (cut[1][-1].isalpha() or cut[2][0] == "\n"):
                 got = self[cut[1]] + self[" " + cut[2]]
@@ -47,6 +59,14 @@ class Encoder(dict):
         self[part] = got
         return got
 
+    def word(self, word: str) -> bytes:
+        """A word of Latin-1 letters after a space: to both tokenizers one piece, so it
+        can go to the library's merge model at once. The vocabulary that folds case
+        drops the space, the other keeps it."""
+        raw = word.lower() if self.folds else " " + word
+        mapped = raw.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
