@@ -41,7 +41,8 @@ def parse(docs: DataFrame, window: int = 50, text: str = "text", key: str = "doc
     marks = stored(spans.anchors(rows, window), "anchors")
     whole = stored(spans.copies(marks), "copies")
     rest = marks.where("pos >= 0").join(whole, ["doc", "row"], "left_anti")
-    found = spans.windows(rows, spans.places(rest, index_shared(rest)), window)
+    shared = stored(index_shared(rest).select("gram"), "shared")  # a table, so that a common gram's join can be split
+    found = spans.windows(rows, spans.places(rest, shared), window)
     hits = stored(spans.earlier(found), "hits")
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

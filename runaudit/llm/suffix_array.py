@@ -66,7 +66,8 @@ def repeated_spans(docs: DataFrame, window: int = 50, text: str = "text", key: s
     marks = stored(spans.anchors(rows, window, following=True), "suffixes")
     whole = stored(spans.copies(marks), "copies")
     rest = marks.where("pos >= 0").join(whole, ["doc", "row"], "left_anti")
-    found = spans.windows(rows, spans.places(rest, sorted_shared(rest)), window)
+    shared = stored(sorted_shared(rest).select("gram"), "shared")  # a table, so that a common gram's join can be split
+    found = spans.windows(rows, spans.places(rest, shared), window)
     kind = spans.kind(rows)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
