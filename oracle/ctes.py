@@ -140,4 +140,4 @@ define("vrows", """
   SELECT v.run_id, verdict_id, CASE WHEN d.declaration_id IS NOT NULL THEN v.declaration_id END AS declaration_id,
          v.seq, t, outcome, fault,
          CASE WHEN outcome = 'CLAMP' THEN 'env_' || substr(sha256('clamped' || chr(0) || verdict_id), 1, 16) END AS region_id,
-         clamp_area AS area FROM verd v LEFT JOIN decl d ON d.declaration_id = v.declaration_id""", "verd", "decl")
+         clamp_area AS area FROM verd v LEFT JOIN decl d ON d.run_id = v.run_id AND d.declaration_id = v.declaration_id""", "verd", "decl")

@@ -129,7 +129,7 @@ define("fold", f"""
   SELECT run_id, chain, n, total, {link_hash("unhex('" + G0 + "')", 'head', 'prev_hash', 'mac')} AS h FROM fin WHERE n = 1
   UNION ALL SELECT f.run_id, f.chain, f.n, f.total, {link_hash('unhex(p.h)', 'f.head', 'f.prev_hash', 'f.mac')}
   FROM fold p JOIN fin f ON f.run_id = p.run_id AND f.chain = p.chain AND f.n = p.n + 1""", "fin")
-SQL["chain_heads"] = build("SELECT run_id, chain, 0::BIGINT AS part, h AS chain_head FROM fold WHERE n = total", "fold")
+SQL["chain_heads"] = build("SELECT run_id, chain, h AS chain_head FROM fold WHERE n = total", "fold")
 SQL["mac_check"] = build("SELECT run_id, chain, record_id, mac_state FROM mc", "mc")
 SQL["verify_chain"] = build("SELECT * FROM vc", "vc")
 SQL["verify_chain_keyless"] = build(VC.format(broken="linkbad", cne="true", macs="0"), "vc0")
@@ -157,7 +157,7 @@ define("h1", f"""
   SELECT run_id, coalesce(max(h) FILTER (WHERE chain = 'policy'), '{G0}') AS d, coalesce(max(h) FILTER (WHERE chain = 'enforcement'), '{G0}') AS v
   FROM fold WHERE n = total GROUP BY 1""", "fold")
 SQL["verify_commitment"] = build(f"""
-  SELECT run_id, 0::BIGINT AS part, CASE WHEN reason LIKE '%moved' OR reason = 'signature does not verify' THEN 'INVALID'
+  SELECT run_id, CASE WHEN reason LIKE '%moved' OR reason = 'signature does not verify' THEN 'INVALID'
       WHEN reason = 'heads match and are signed' THEN 'VALID' ELSE 'COULD-NOT-EVALUATE' END AS state, reason FROM (
     SELECT a.run_id, CASE a.run_id % 31 WHEN 3 THEN 'states no commitment' WHEN 1 THEN 'closed without a witness' WHEN 2 THEN 'unknown scheme'
         WHEN 5 THEN 'commitment is incomplete' ELSE CASE

@@ -36,7 +36,7 @@ define("probes", """
   LEFT JOIN (SELECT run_id, arg_min(declaration_id, seq) AS id FROM verd WHERE outcome <> 'PERMIT' AND declaration_id IS NOT NULL GROUP BY 1) r
     ON r.run_id = n.run_id""", "decl", "verd")
 
-SQL["record_scan"] = build("SELECT run_id, kind, record_id, seq, seq // 4096 AS part, t FROM recs", "recs")
+SQL["record_scan"] = build("SELECT run_id, kind, record_id, seq, t FROM recs", "recs")
 SQL["record_gate"] = build("SELECT * FROM gate", "gate")
 SQL["declaration_rows"] = build("SELECT * FROM drows", "drows")
 SQL["verdict_rows"] = build("SELECT * FROM vrows", "vrows")
@@ -101,7 +101,7 @@ SQL["attestation_edges"] = build("SELECT * FROM att", "att")
 define("left_recs", "SELECT * FROM recs WHERE NOT (kind = 'Verdict' AND seq % 97 = 13)", "recs")
 SQL["dangling_links"] = build("""
   SELECT e.* FROM (SELECT run_id, kind, 'source' AS "end", src_id AS record_id FROM foll UNION ALL SELECT run_id, kind, 'target', dst_id FROM foll) e
-  WHERE NOT EXISTS (SELECT 1 FROM left_recs r WHERE r.kind = e.kind AND r.record_id = e.record_id)""", "foll", "left_recs")
+  WHERE NOT EXISTS (SELECT 1 FROM left_recs r WHERE r.run_id = e.run_id AND r.kind = e.kind AND r.record_id = e.record_id)""", "foll", "left_recs")
 SQL["due_declarations"] = build("""
   SELECT run_id, declaration_id, CASE WHEN t_issued >= 0 AND t_issued::BIGINT % 3 = 0 THEN t_issued::BIGINT // 3 END AS frame_idx FROM decl""", "decl")
 SQL["probe_declaration"] = build("SELECT * FROM probes", "probes")

@@ -33,11 +33,11 @@ class Sealed:
 
 def sealed(rc: Records) -> Sealed:
     d = rc.declarations().select(
-        "run_id", "part", "declaration_id", "seq", "t_issued", "horizon", "action_class",
+        "run_id", "declaration_id", "seq", "t_issued", "horizon", "action_class",
         K.utf8(F.concat(F.lit("region:"), "declaration_id")).alias("declared_envelope"),
     )
     v = rc.verdicts().select(
-        "run_id", "part", "verdict_id", "declaration_id", "seq", "t", "outcome", "fault",
+        "run_id", "verdict_id", "declaration_id", "seq", "t", "outcome", "fault",
         F.when(F.col("outcome") == "CLAMP", K.utf8(F.concat(F.lit("clamp:"), "verdict_id"))).alias(
             "clamped_envelope"
         ),
@@ -151,16 +151,16 @@ def chain_state(spark, sf):
 @register
 def verify_commitment(spark, sf):
     s = sealed(Records(spark, sf))
-    c = G.commit_heads(G.heads_by_part(G.chain_heads(s.rows())), WITNESS, WITNESS_KEY)
+    c = G.commit_heads(G.heads_by_run(G.chain_heads(s.rows())), WITNESS, WITNESS_KEY)
     r = F.col("run_id")
     c = c.select(
-        "run_id", "part",
+        "run_id",
         F.when(r % 31 == 1, F.lit("none")).when(r % 31 == 2, F.lit("notary-v9")).when(r % 31 != 3, F.col("scheme")).alias("scheme"),
         F.when(r % 31 == 4, F.lit("witness-b")).otherwise(F.col("witness_id")).alias("witness_id"),
         "declaration_head", "verdict_head",
         F.when(r % 31 == 6, F.lit("0" * 64)).when(r % 31 != 5, F.col("signature")).alias("signature"),
     )
-    now = G.heads_by_part(G.chain_heads(altered(s).rows()))
+    now = G.heads_by_run(G.chain_heads(altered(s).rows()))
     return G.verify_commitment(c, now, WITNESS, WITNESS_KEY)
 
 

@@ -59,7 +59,8 @@ def field(name: str, tag: str, value: Column) -> Column:
         "x": lambda: F.lower(F.hex(value)),
         "b": lambda: value.cast("string"),
     }[tag]()
-    payload = F.coalesce(text, F.lit(""))
+    # a value without text (NaN, an infinity) leaves the whole record unreadable
+    payload = F.when(value.isNull(), F.lit("")).otherwise(text)
     return F.concat(
         F.lit(name + FIELD_SEP),
         F.when(value.isNull(), F.lit("n")).otherwise(F.lit(tag)),

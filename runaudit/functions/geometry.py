@@ -8,12 +8,11 @@ a region lies inside the arm's workspace, so an array has at most
 
 from __future__ import annotations
 
-import itertools
 import math
-import random
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -167,21 +166,19 @@ def outer_radius(
 
 
 def control_samples(limits: Limits, samples: int, seed: int) -> list[tuple[float, ...]]:
-    """Corner accelerations first, then seeded draws inside."""
-    corners = list(itertools.product(*[(-a, a) for a in limits.qdd_max]))
-    if samples < len(corners):
-        raise ValueError(f"at least {len(corners)} samples are needed for the corners")
-    rng = random.Random(seed)
-    inner = [
-        tuple(rng.uniform(-1.0, 1.0) * a for a in limits.qdd_max)
-        for _ in range(samples - len(corners))
-    ]
-    return corners + inner
+    """Every sign pattern of the full accelerations, then draws inside the box."""
+    most = np.asarray(limits.qdd_max, float)
+    n = 1 << len(most)
+    if samples < n:
+        raise ValueError(f"{samples} samples cannot hold all {n} corners")
+    bits = np.arange(n)[:, None] >> np.arange(len(most))[::-1] & 1
+    drawn = np.random.default_rng(seed).uniform(-1, 1, (samples - n, len(most)))
+    return [tuple(map(float, row * most)) for row in np.vstack([2 * bits - 1, drawn])]
 
 
 def substep_times(horizon: float, substep: float) -> list[float]:
-    times = [substep * k for k in range(math.floor(horizon / substep) + 1)]
-    return times if times[-1] >= horizon else [*times, horizon]
+    """Multiples of the substep, and the horizon itself."""
+    return np.minimum(np.arange(math.ceil(horizon / substep) + 1) * substep, horizon).tolist()
 
 
 def reachable_poses(

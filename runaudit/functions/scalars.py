@@ -57,7 +57,8 @@ def fixed_text(v: Column, decimals: int = V.FLOAT_DECIMALS) -> Column:
     `format_string` rounds the shortest decimal text, not the stored binary
     value, so its ties differ. Here the product v*10^d is split into a rounded
     part and its exact error (Veltkamp/Dekker splitting), and the error decides
-    a tie. Valid while |v| * 10^d < 2^52; NULL beyond.
+    a tie. From |v| * 10^d >= 2^52 on, up to 2^63, the fraction has so few bits
+    that it is scaled exactly by itself (for 6 decimals). NULL for NaN, infinities and beyond.
     """
     m = F.lit(float(10**decimals))
     split = F.lit(134217729.0)
@@ -77,7 +78,19 @@ def fixed_text(v: Column, decimals: int = V.FLOAT_DECIMALS) -> Column:
     scaled = n.cast("decimal(18,0)") * F.lit(Decimal(1).scaleb(-decimals))
     # outside ANSI mode a decimal zero prints with an exponent
     text = F.replace(scaled.cast("string"), F.lit(f"0E-{decimals}"), F.lit(f"{0:.{decimals}f}"))
-    return F.when(finite(v) & (F.abs(p) < float(2**52)), text)
+    size = F.abs(v)
+    whole = F.floor(size)
+    part = F.rint((size - whole) * m)
+    carried = part >= m
+    large = F.concat(
+        F.when(v < 0, F.lit("-")).otherwise(F.lit("")),
+        F.when(carried, whole + 1).otherwise(whole).cast("decimal(20,0)").cast("string"),
+        F.lit("."),
+        F.lpad(F.when(carried, F.lit(0)).otherwise(part.cast("long")).cast("string"), decimals, "0"),
+    )
+    return F.when(finite(v) & (F.abs(p) < float(2**52)), text).when(
+        finite(v) & (size < float(2**63)) & F.lit(decimals <= 6), large
+    )
 
 
 def digest(*parts: Column, length: int = 16) -> Column:

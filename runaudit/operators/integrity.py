@@ -1,9 +1,9 @@
 """Hash chains over record tables: sealing, links, heads, verification.
 
-Chain rows: run_id, chain, part, seq, record_id, head, prev_hash, mac, where
-`head` is the canonical text before prev_hash. A chain is one (run_id, chain,
-part): a writer opens a new part every few thousand records, so sealing, the
-one step that is sequential by nature, is bounded. Checking is parallel:
+Chain rows: run_id, chain, seq, record_id, head, prev_hash, mac, where `head` is
+the canonical text before prev_hash, NULL where the record holds a value that
+cannot be written. A chain is one (run_id, chain), however long. Sealing is
+sequential by nature and streams with one hash of state; checking is parallel:
 every record is hashed under its own stored prev_hash.
 """
 
@@ -23,7 +23,7 @@ from runaudit.functions import canonical as K
 from runaudit.functions import scalars as S
 from runaudit.operators.scan import Scan, durable, number_rows, running
 
-CHAIN = ("run_id", "chain", "part")
+CHAIN = ("run_id", "chain")
 ID = {"Declaration": "declaration_id", "Verdict": "verdict_id"}
 CHAIN_OF = {"Declaration": "policy", "Verdict": "enforcement"}
 
@@ -38,14 +38,15 @@ def seal(records: DataFrame, kind: str, key: bytes, fmt: K.Format = K.Format())
 
     Each record's hash needs the one before, so a chain is a stream through
     one sorted partition with a single hash of state; batches are never
-    gathered. Chains are short (parts), so partitions stay even.
+    gathered. A record without a head gets neither link nor MAC, and the next one
+    starts from genesis, as checking expects.
     """
     link, record, signing = fmt.domain(K.LINK), fmt.domain(K.RECORD), fmt.domain(K.SIGNING)
     rid = ID[kind]
     rows = (
         records.withColumn("_head", K.head(kind))
-        .repartition("run_id", "part")
-        .sortWithinPartitions("run_id", "part", "seq", rid)
+        .repartition("run_id")
+        .sortWithinPartitions("run_id", "seq", rid)
     )
     schema = T.StructType(
         [f for f in rows.schema.fields if f.name != "_head"]
@@ -55,11 +56,15 @@ def seal(records: DataFrame, kind: str, key: bytes, fmt: K.Format = K.Format())
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, prev = None, V.GENESIS
         for batch in batches:
-            runs, parts = batch.column("run_id").to_pylist(), batch.column("part").to_pylist()
             prevs, macs = [], []
-            for r, p, head in zip(runs, parts, batch.column("_head").to_pylist()):
-                if at != (r, p):
-                    at, prev = (r, p), V.GENESIS
+            for r, head in zip(batch.column("run_id").to_pylist(), batch.column("_head").to_pylist()):
+                if at != r:
+                    at, prev = r, V.GENESIS
+                if head is None:
+                    prevs.append(None)
+                    macs.append(None)
+                    prev = V.GENESIS
+                    continue
                 body = (head + _frame("prev_hash", prev)).encode()
                 mac = hmac_lib.digest(key, signing + body, "sha256").hex()
                 prevs.append(prev)
@@ -78,7 +83,7 @@ def seal(records: DataFrame, kind: str, key: bytes, fmt: K.Format = K.Format())
 
 def chain_rows(records: DataFrame, kind: str) -> DataFrame:
     return records.select(
-        "run_id", F.lit(CHAIN_OF[kind]).alias("chain"), "part", "seq",
+        "run_id", F.lit(CHAIN_OF[kind]).alias("chain"), "seq",
         F.col(ID[kind]).alias("record_id"), K.head(kind).alias("head"), "prev_hash", "mac",
     )
 
@@ -261,12 +266,12 @@ def chain_state(per_chain: DataFrame) -> DataFrame:
 def chain_heads(rows: DataFrame, fmt: K.Format = K.Format()) -> DataFrame:
     """H3: the fold from genesis that ignores stored prev_hash.
 
-    Where every link of a part holds, the fold equals the last record's own
-    hash, so the head is an aggregate. Only broken parts are folded in order,
+    Where every link of a chain holds, the fold equals the last record's own
+    hash, so the head is an aggregate. Only broken chains are folded in order,
     streamed through sorted partitions with one hash of state.
     """
     g = links(rows, fmt).groupBy(*CHAIN).agg(
-        F.count(F.when(F.col("link") != "ok", 1)).alias("breaks"),
+        F.count(F.when((F.col("link") != "ok") | F.col("own_hash").isNull(), 1)).alias("breaks"),
         F.max(F.struct("seq", "record_id", "own_hash")).alias("_last"),
     )
     intact = g.filter("breaks = 0").select(*CHAIN, F.col("_last.own_hash").alias("chain_head"))
@@ -303,17 +308,20 @@ def fold_heads(rows: DataFrame, fmt: K.Format = K.Format()) -> DataFrame:
                     if at is not None:
                         yield out(at, head)
                     at, head = keys, bytes.fromhex(V.GENESIS)
-                head = hashlib.sha256(link + head + record + text.encode()).digest()
+                if text is None:  # cannot be written
+                    head = bytes.fromhex(V.GENESIS)
+                else:
+                    head = hashlib.sha256(link + head + record + text.encode()).digest()
         if at is not None:
             yield out(at, head)
 
     return ordered.mapInArrow(fold, schema)
 
 
-def heads_by_part(heads: DataFrame) -> DataFrame:
-    """Both heads of a part side by side; an empty chain's head is genesis."""
+def heads_by_run(heads: DataFrame) -> DataFrame:
+    """Both heads of a run side by side; an empty chain's head is genesis."""
     pick = {c: F.max(F.when(F.col("chain") == c, F.col("chain_head"))) for c in V.CHAINS}
-    return heads.groupBy("run_id", "part").agg(
+    return heads.groupBy("run_id").agg(
         F.coalesce(pick["policy"], F.lit(V.GENESIS)).alias("declaration_head"),
         F.coalesce(pick["enforcement"], F.lit(V.GENESIS)).alias("verdict_head"),
     )
@@ -322,10 +330,10 @@ def heads_by_part(heads: DataFrame) -> DataFrame:
 def commit_heads(
     heads: DataFrame, witness_id: str, key: bytes, fmt: K.Format = K.Format()
 ) -> DataFrame:
-    """What a witness signs at close: both heads of each part."""
+    """What a witness signs at close: both heads of each run."""
     s, w = F.lit(V.WITNESS_SCHEME), F.lit(witness_id)
     return heads.select(
-        "run_id", "part", s.alias("scheme"), w.alias("witness_id"), "declaration_head", "verdict_head",
+        "run_id", s.alias("scheme"), w.alias("witness_id"), "declaration_head", "verdict_head",
         K.hmac_sha256(
             key, K.commitment_bytes(fmt, s, w, F.col("declaration_head"), F.col("verdict_head"))
         ).alias("signature"),
@@ -340,9 +348,9 @@ def verify_commitment(
     could-not-evaluate; moved heads are invalid without any key; only then
     does the signature count."""
     h = heads.select(
-        "run_id", "part", F.col("declaration_head").alias("_d"), F.col("verdict_head").alias("_v")
+        "run_id", F.col("declaration_head").alias("_d"), F.col("verdict_head").alias("_v")
     )
-    j = commitments.join(h, ["run_id", "part"], "left")
+    j = commitments.join(h, "run_id", "left")
     genesis = F.lit(V.GENESIS)
     d, v = F.coalesce("_d", genesis), F.coalesce("_v", genesis)
     moved_d, moved_v = d != F.col("declaration_head"), v != F.col("verdict_head")
@@ -377,7 +385,7 @@ def verify_commitment(
         state = F.when(cond, F.lit(st)) if state is None else state.when(cond, F.lit(st))
         reason = F.when(cond, F.lit(why)) if reason is None else reason.when(cond, F.lit(why))
     return j.select(
-        "run_id", "part", state.otherwise(F.lit(V.VALID)).alias("state"),
+        "run_id", state.otherwise(F.lit(V.VALID)).alias("state"),
         reason.otherwise(F.lit("heads match and are signed")).alias("reason"),
     )
 

@@ -25,8 +25,8 @@ def attestation_edges(
     )
     if regions is not None:
         declared = declared.join(
-            regions.filter(F.col("source") == "declared").select(F.col("region_id").alias("dst_id")),
-            "dst_id", "left_semi",
+            regions.filter(F.col("source") == "declared").select("run_id", F.col("region_id").alias("dst_id")),
+            ["run_id", "dst_id"], "left_semi",
         ).select(*EDGE_COLUMNS)
     adjudicated = verdicts.filter(F.col("declaration_id").isNotNull()).select(
         "run_id", F.lit("ADJUDICATED").alias("type"), F.col("verdict_id").alias("src_id"),
@@ -47,11 +47,11 @@ def attestation_edges(
 def record_union(declarations: DataFrame, verdicts: DataFrame) -> DataFrame:
     d = declarations.select(
         "run_id", F.lit("Declaration").alias("kind"), F.col("declaration_id").alias("record_id"),
-        "seq", "part", F.col("t_issued").alias("t"),
+        "seq", F.col("t_issued").alias("t"),
     )
     v = verdicts.select(
         "run_id", F.lit("Verdict").alias("kind"), F.col("verdict_id").alias("record_id"),
-        "seq", "part", "t",
+        "seq", "t",
     )
     return d.unionByName(v)
 
@@ -63,8 +63,8 @@ def follows(declarations: DataFrame, verdicts: DataFrame, chunk_rows: int = V.CH
     )
     linked = running(
         recs, ["run_id", "kind"], "chunk", ["seq", "record_id"],
-        [Scan("_prev", "lag", F.struct("record_id", "t", "part"))],
-    ).filter(F.col("_prev").isNotNull() & (F.col("_prev.part") == F.col("part")))
+        [Scan("_prev", "lag", F.struct("record_id", "t"))],
+    ).filter(F.col("_prev").isNotNull())
     return linked.select(
         "run_id", F.lit("FOLLOWS").alias("type"), "kind", F.col("record_id").alias("src_id"),
         F.col("_prev.record_id").alias("dst_id"),

@@ -357,12 +357,12 @@ def declaration_rows(declarations: DataFrame, edges: DataFrame, regions: DataFra
     """Declarations with the region each claimed, where it survives."""
     regions = regions.filter(F.col("source") == "declared")
     e = edges.filter(F.col("type") == "DECLARED").select(
-        F.col("src_id").alias("declaration_id"), F.col("dst_id").alias("region_id")
+        "run_id", F.col("src_id").alias("declaration_id"), F.col("dst_id").alias("region_id")
     )
     return (
         declarations.select("run_id", "declaration_id", "seq", "t_issued", "horizon", "action_class")
-        .join(e, "declaration_id", "left")
-        .join(regions.select("region_id", "area"), "region_id", "left")
+        .join(e, ["run_id", "declaration_id"], "left")
+        .join(regions.select("run_id", "region_id", "area"), ["run_id", "region_id"], "left")
         .select(
             "run_id", "declaration_id", "seq", "t_issued", "horizon", "action_class",
             "region_id", "area",
@@ -376,14 +376,14 @@ def verdict_rows(
     """Adjudications with the declaration they name and the bound applied."""
     regions = regions.filter(F.col("source") == "clamped")
     e = edges.filter(F.col("type") == "ENFORCED").select(
-        F.col("src_id").alias("verdict_id"), F.col("dst_id").alias("region_id")
+        "run_id", F.col("src_id").alias("verdict_id"), F.col("dst_id").alias("region_id")
     )
-    d = declarations.select(F.col("declaration_id").alias("_did"))
+    d = declarations.select("run_id", "declaration_id", F.col("declaration_id").alias("_did"))
     return (
         verdicts.select("run_id", "verdict_id", "declaration_id", "seq", "t", "outcome", "fault")
-        .join(d, F.col("declaration_id") == F.col("_did"), "left")
-        .join(e, "verdict_id", "left")
-        .join(regions.select("region_id", "area"), "region_id", "left")
+        .join(d, ["run_id", "declaration_id"], "left")
+        .join(e, ["run_id", "verdict_id"], "left")
+        .join(regions.select("run_id", "region_id", "area"), ["run_id", "region_id"], "left")
         .select(
             "run_id", "verdict_id", F.col("_did").alias("declaration_id"), "seq", "t", "outcome",
             "fault", "region_id", "area",

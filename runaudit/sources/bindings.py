@@ -225,7 +225,6 @@ class Records:
             F.concat(F.lit("d"), F.col("o_orderkey").cast("string")).alias("declaration_id"),
             F.col("o_orderkey").alias("order_key"),
             "seq",
-            F.floor(F.col("seq") / V.ROTATE_RECORDS).cast("long").alias("part"),
             _days("o_orderdate").alias("t_issued"),
             (F.lit(30) + F.col("o_orderkey") % 60).cast("double").alias("horizon"),
             F.try_element_at(action, F.col("o_orderpriority")).alias("action_class"),
@@ -274,7 +273,6 @@ class Records:
                     ~nameless, F.concat(F.lit("d"), F.col("l_orderkey").cast("string"))
                 ).alias("declaration_id"),
                 "seq",
-                F.floor(F.col("seq") / V.ROTATE_RECORDS).cast("long").alias("part"),
                 _days("l_shipdate").alias("t"),
                 "outcome",
                 "fault",

@@ -57,7 +57,7 @@ def header_layouts(lines: DataFrame) -> DataFrame:
 
 def provenance(lines: DataFrame, keys: list[str]) -> DataFrame:
     """key=value rows of the comment block."""
-    kv = F.split(F.trim(F.substring("value", 2, 1 << 20)), "=", 2)
+    kv = F.split(F.trim(F.expr("substring(value, 2)")), "=", 2)
     return (
         lines.filter(F.col("value").startswith("#") & F.col("value").contains("="))
         .select(*keys, F.trim(kv[0]).alias("key"), F.trim(kv[1]).alias("value"))

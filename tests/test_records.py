@@ -18,12 +18,12 @@ KEY = b"policy"
 @pytest.fixture(scope="module")
 def chain(spark):
     rows = [
-        (r, s // 5, f"d{r}-{s}", s, 0.5 * s, 0.5, "reach", bytearray(b"x%d" % s))
+        (r, f"d{r}-{s}", s, 0.5 * s, 0.5, "reach", bytearray(b"x%d" % s))
         for r in range(3) for s in range(12)
     ]
     df = spark.createDataFrame(
         rows,
-        "run_id long, part long, declaration_id string, seq long, t_issued double, horizon double, "
+        "run_id long, declaration_id string, seq long, t_issued double, horizon double, "
         "action_class string, declared_envelope binary",
     )
     return G.seal(df, "Declaration", KEY).cache()
@@ -33,11 +33,11 @@ def test_seal_is_the_plain_fold(chain):
     def field(n, tag, v):
         return f"{n}\x1f{tag}\x1f{len(v.encode())}\x1f{v}\x1e"
 
-    rows = sorted(chain.collect(), key=lambda r: (r["run_id"], r["part"], r["seq"]))
+    rows = sorted(chain.collect(), key=lambda r: (r["run_id"], r["seq"]))
     at, prev = None, None
     for r in rows:
-        if at != (r["run_id"], r["part"]):
-            at, prev = (r["run_id"], r["part"]), "0" * 64
+        if at != r["run_id"]:
+            at, prev = r["run_id"], "0" * 64
         body = "Declaration\x1e" + field("declaration_id", "s", r["declaration_id"]) + field("seq", "i", str(r["seq"]))
         body += field("t_issued", "f", f"{r['t_issued']:.6f}") + field("horizon", "f", f"{r['horizon']:.6f}")
         body += field("action_class", "s", r["action_class"]) + field("declared_envelope", "x", bytes(r["declared_envelope"]).hex())
@@ -77,16 +77,16 @@ def test_chain_matrix(chain):
 def test_heads_move_when_links_are_rewritten(chain):
     heads = G.chain_heads(G.chain_rows(chain, "Declaration")).collect()
     folded = G.fold_heads(G.chain_rows(chain, "Declaration")).collect()
-    assert sorted(map(tuple, heads)) == sorted(map(tuple, folded)) and len(heads) == 9
+    assert sorted(map(tuple, heads)) == sorted(map(tuple, folded)) and len(heads) == 3
     # relinked after an edit: own hashes agree again, the fold does not
     edited = chain.withColumn("horizon", F.when(F.col("seq") == 1, 9.5).otherwise(F.col("horizon")))
-    moved = {(r["run_id"], r["part"]): r["chain_head"] for r in G.chain_heads(G.chain_rows(edited, "Declaration")).collect()}
-    same = {(r["run_id"], r["part"]): r["chain_head"] for r in heads}
-    assert all((moved[k] != same[k]) == (k[1] == 0) for k in same)
+    moved = {r["run_id"]: r["chain_head"] for r in G.chain_heads(G.chain_rows(edited, "Declaration")).collect()}
+    same = {r["run_id"]: r["chain_head"] for r in heads}
+    assert all(moved[k] != same[k] for k in same)
 
 
 def test_commitment_states(chain, spark):
-    heads = G.heads_by_part(G.chain_heads(G.chain_rows(chain, "Declaration")))
+    heads = G.heads_by_run(G.chain_heads(G.chain_rows(chain, "Declaration")))
     c = G.commit_heads(heads, "w", b"wk")
 
     def state(commit, now, name="w", key=b"wk"):

@@ -16,7 +16,7 @@ def col(spark, values, kind="double"):
 def test_fixed_text_matches_exact_rounding(spark):
     rng = random.Random(1)
     vals = [k * 5e-7 for k in range(-2000, 2000)] + [rng.uniform(-1e5, 1e5) for _ in range(500)]
-    vals += [0.0, -0.0, -1e-9, 1e-9, 0.5, 2.5, 1.0000005, 4e9]
+    vals += [0.0, -0.0, -1e-9, 1e-9, 0.5, 2.5, 1.0000005, 4e9, 4.6e9, 5e9 + 2**-20, -7e9 - 0.4999995, 2.0**53 + 2, 9.9e17, 6e9 + 1 - 2**-20]
     got = [r[0] for r in col(spark, vals).orderBy("i").select(S.fixed_text(F.col("v"))).collect()]
     # Python formats the stored value exactly; -0.000000 is written 0.000000
     want = [f"{v:.6f}" for v in vals]
