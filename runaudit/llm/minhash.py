@@ -8,7 +8,7 @@ exactly. Links are joined to components.
 A bucket is never turned into all of its pairs. Equal sets are one node. In a
 bucket every member is checked against the least and the greatest member; only
 members that are then still in other components than the bucket's commonest are
-checked against the members outside their component. Links between members of one
+checked against the members outside their component, in blocks. Links between members of one
 component could not change the result, so no link is lost that the bands found.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,6 +30,8 @@ SHINGLE = 5
 ROWS, BANDS = 4, 24
 HASHES = ROWS * BANDS
 SLACK = 4.5  # standard errors a signature may lie below the threshold
+BLOCK = 512  # members of a bucket that are compared at once with as many others
+COLUMNS = 1 << 14  # shingles counted at once
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -149,19 +152,87 @@ def star_pairs(buckets: DataFrame) -> DataFrame:
     return low.union(high).distinct()
 
 
-def rest_pairs(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different components, but for pairs with both ends in
-    the bucket's commonest component (those have one component)."""
+def rest_blocks(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """(band, i, j, left, node, component): buckets that still hold several
+    components, cut to blocks. Members outside the bucket's commonest component are
+    on the left, each in one block i and beside every block j; all members are on the right,
+    each in one block j and beside every block i. So every pair that could
+    join two components meets in one (band, i, j), of 2 * BLOCK members or so."""
     placed = buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("_n"))
     main = counts.groupBy("band").agg(
-        F.max_by("component", F.struct("_n", "component")).alias("_main"), F.count(F.lit(1)).alias("_k")
+        F.max_by("component", F.struct("_n", "component")).alias("_main"),
+        F.ceil(F.sum("_n") / BLOCK).cast("int").alias("_j"),
+        F.ceil((F.sum("_n") - F.max("_n")) / BLOCK).cast("int").alias("_i"),
+        F.count(F.lit(1)).alias("_k"),
     )
-    mixed = placed.join(main.where("_k > 1"), "band")
-    some = mixed.where("component != _main").select("band", F.col("node").alias("x"), F.col("component").alias("_cx"))
-    other = mixed.select("band", F.col("node").alias("y"), F.col("component").alias("_cy"))
-    met = some.join(other, "band").where("_cx != _cy")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    mixed = placed.join(stored(main.where("_k > 1").drop("_k"), "mixed"), "band")
+    spot = F.xxhash64("node", F.lit("block"))
+
+    def side(rows, i, j, left):
+        return rows.select("band", i.alias("i"), j.alias("j"), F.lit(left).alias("left"), "node", "component")
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = side(mixed.where("component != _main"), F.pmod(spot, F.col("_i")).cast("int"), every("_j"), True)
+    return one.unionAll(side(mixed, every("_i"), F.pmod(spot, F.col("_j")).cast("int"), False))
+
+
+def _met(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows on the left, rows on the right, and which of them differ in component."""
+    one, two = np.flatnonzero(group["left"].to_numpy()), np.flatnonzero(~group["left"].to_numpy())
+    part = group["component"].to_numpy()
+    return one, two, part[one][:, None] != part[two][None, :]
+
+
+def rest_links(
+    buckets: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFrame, limit: float, text: str, key: str, percent: int
+) -> DataFrame:
+    """Links between the components that star links left apart: blocks are compared
+    by signature first, then exactly. Pairs stay inside the tasks; what comes out
+    is members, and one link per member and component."""
+    floor = HASHES * max(0.0, limit - SLACK * (limit * (1 - limit) / HASHES) ** 0.5)
+    blocks = rest_blocks(buckets, found).join(nodes.select("node", "signature"), "node")
+    fields = "band long, i int, j int, left boolean, node long, component long"
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def close(group: pd.DataFrame) -> pd.DataFrame:
+        signed = np.frombuffer(b"".join(group["signature"]), np.uint32).reshape(-1, HASHES)
+        one, two, apart = _met(group)
+        same = np.zeros((len(one), len(two)), np.int16)
+        for h in range(HASHES):
+            same += signed[one, h][:, None] == signed[two, h][None, :]
+        near = apart & (same >= floor)
+        return group.iloc[np.sort(np.concatenate([one[near.any(axis=1)], two[near.any(axis=0)]]))][names]
+
+    def linked(group: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+        size = np.array([len(x) for x in sets])
+        one, two, apart = _met(group)
+        shared = np.intersect1d(np.concatenate([sets[k] for k in one]), np.concatenate([sets[k] for k in two]))
+        both = np.zeros((len(one), len(two)))
+        at = [np.searchsorted(shared, x[np.isin(x, shared, assume_unique=True)]) for x in sets]
+        for lo in range(0, len(shared), COLUMNS):
+            held = np.zeros((len(sets), min(COLUMNS, len(shared) - lo)), np.float32)
+            for k, x in enumerate(at):
+                held[k, x[(x >= lo) & (x < lo + COLUMNS)] - lo] = 1
+            both += held[one] @ held[two].T
+        union = size[one][:, None] + size[two][None, :] - both
+        x, y = np.nonzero(apart & (100 * both >= percent * union))
+        got = pd.DataFrame({"a": group["node"].to_numpy()[one[x]], "b": group["node"].to_numpy()[two[y]]})
+        return got[~pd.DataFrame({"a": got["a"], "c": group["component"].to_numpy()[two[y]]}).duplicated().to_numpy()]
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in slices(batches, text):
+            sets = shingle_sets(utf8(batch, text), known)
+            yield table(node=batch.column(0), shingles=pa.array([x.tobytes() for x in sets], pa.binary()))
+
+    kept = stored(blocks.groupBy("band", "i", "j").applyInPandas(close, fields), "rest")
+    if kept.isEmpty():
+        return kept.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    some = docs.join(kept.select(F.col("node").alias(key)).distinct(), key).select(key, text)
+    sets = stored(some.mapInArrow(listed, "node long, shingles binary"), "sets")
+    return stored(kept.join(sets, "node").groupBy("band", "i", "j").applyInPandas(linked, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -189,9 +260,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", key:
     limit = percent / 100
     links = stored(verified(agree(star_pairs(buckets), nodes, limit), docs, text, key, percent), "links")
     found = components(links)
-    rest = stored(agree(rest_pairs(buckets, found), nodes, limit), "rest")
-    if not rest.isEmpty():
-        links = links.union(stored(verified(rest, docs, text, key, percent), "links"))
+    links = links.union(rest_links(buckets, found, nodes, docs, limit, text, key, percent))
     found = components(links.union(equal))
     placed = signed.select(key, "n_shingles").join(found, F.col(key) == F.col("node"), "left")
     return placed.select(
