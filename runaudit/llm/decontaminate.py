@@ -32,7 +32,8 @@ from runaudit.llm.common import WordHashes, slices, table, utf8
 WALKS, TABLES, SAMPLES = 2, 4, 4
 SPAN = 1.5  # samples lie in the first SPAN * n steps of an item of n words; the walk needs about 2 n
 BLOCK_ITEMS, BLOCK_WORDS = 1024, 1 << 17
-CHUNK = 1 << 16  # windows that walk together
+CHUNK = 1 << 15  # windows that walk together
+FLAGS = 1 << 12  # bits by which an item's words are known in the count filter
 
 
 def lowered(texts: list[bytes]) -> list[bytes]:
@@ -46,8 +47,8 @@ def step_bits(hashes: np.ndarray, walk: int, step: int) -> np.ndarray:
 
 
 def size_class(n: int) -> int:
-    """Items within about 20 % of each other's length share a class."""
-    return int(np.floor(np.log(n) / np.log(1.2)))
+    """Items up to twice as long as the shortest share a class."""
+    return int(n).bit_length()
 
 
 def sampled_steps(least: int, walk: int, t: int) -> list[int]:
@@ -64,6 +65,7 @@ class Index:
     ids: list
     classes: dict[int, int]  # class -> its least number of words
     keys: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]]  # (class, walk, table) -> sorted keys, items
+    flags: np.ndarray  # per item, the words it may hold
 
     @staticmethod
     def of(items: list[np.ndarray], ids: list) -> Index:
@@ -71,7 +73,10 @@ class Index:
         for x in items:
             c = size_class(len(x))
             classes[c] = min(classes.get(c, len(x)), len(x))
-        index = Index(items, ids, classes, {})
+        flags = np.zeros((len(items), FLAGS), bool)
+        for i, x in enumerate(items):
+            flags[i, (x % np.uint64(FLAGS - 1)).astype(np.int64)] = True
+        index = Index(items, ids, classes, {}, flags)
         n = np.array([len(x) for x in items], np.int64)
         first = np.cumsum(n + 1) - n - 1
         laid = np.concatenate([np.append(x, np.uint64(0)) for x in items]) if items else np.zeros(0, np.uint64)
@@ -122,13 +127,11 @@ class Index:
         return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
 
-def distance(item: np.ndarray, text: np.ndarray, limit: int) -> tuple[int, int]:
-    """Least edit distance in words between the item and a prefix of the text, and
-    the length of that prefix; limit + 1 if it is larger."""
-    width = min(len(text), len(item) + limit)
-    text = text[:width]
-    row = np.arange(width + 1)
-    ramp = np.arange(width + 1)
+def distance(item: np.ndarray, text: np.ndarray, limit: int, free: bool = False) -> tuple[int, int]:
+    """Least edit distance in words between the item and a prefix of the text (any
+    stretch of it if `free`), and where that ends; limit + 1 if it is larger."""
+    ramp = np.arange(len(text) + 1)
+    row = np.zeros_like(ramp) if free else ramp
     for i, word in enumerate(item.tolist(), 1):
         new = row + 1
         new[1:] = np.minimum(new[1:], row[:-1] + (text != word))
@@ -160,30 +163,48 @@ def blocks(benchmark: DataFrame, text: str, key: str) -> Iterator[Index]:
         yield Index.of(items, ids)
 
 
+def _enough(index: Index, laid: np.ndarray, at: np.ndarray, stop: np.ndarray, low: np.ndarray, met: np.ndarray, percent: int) -> np.ndarray:
+    """Candidates whose surroundings hold as many of the item's words as a match
+    within the limit must have. Counts by flag bits are never too low."""
+    size = np.array([len(x) for x in index.items])[met[:, 1]]
+    limit = size * percent // 100
+    open_, close = np.maximum(low[met[:, 0]], at[met[:, 0]] - limit), np.minimum(stop[met[:, 0]], at[met[:, 0]] + size + limit)
+    flag = (laid % np.uint64(FLAGS - 1)).astype(np.int64)
+    keep = np.zeros(len(met), bool)
+    for c in range(0, len(met), 4096):
+        part = slice(c, c + 4096)
+        wide = int((close[part] - open_[part]).max(initial=0))
+        spot = open_[part, None] + np.arange(wide)
+        inside = spot < close[part, None]
+        held = index.flags[met[part, 1][:, None], flag[np.minimum(spot, len(laid) - 1)]] & inside
+        keep[part] = held.sum(axis=1) >= size[part] - limit[part]
+    return keep
+
+
 def _matches(index: Index, laid: np.ndarray, first: np.ndarray, n: np.ndarray, percent: int) -> list[tuple[int, int, int, int, int]]:
     """(text, item, start, words, distance) of the best match of an item in a text."""
     owner = np.repeat(np.arange(len(n)), n)
     at = np.repeat(first, n) + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    stop = np.repeat(first + n, n)
+    low, stop = np.repeat(first, n), np.repeat(first + n, n)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for lo in range(0, len(at), CHUNK):
         part = slice(lo, lo + CHUNK)
         a, z = int(at[lo]), int(stop[part][-1]) + 1
-        met = index.candidates(laid[a:z], at[part] - a, stop[part] - a)
+        met = index.candidates(laid[a:z], at[part] - a, stop[part] - a) + [lo, 0]
+        met = met[_enough(index, laid, at, stop, low, met, percent)]
         for w, i in met.tolist():
-            item, begin, text = index.items[i], int(at[lo + w]), int(owner[lo + w])
+            item, begin, text = index.items[i], int(at[w]), int(owner[w])
             limit = len(item) * percent // 100
             found = best.get((text, i))
-            if found and found[0] == 0:
-                continue
-            for shift in range(-min(limit, begin - int(first[text])), limit + 1):
-                d, size = distance(item, laid[begin + shift : int(stop[lo + w])], limit if not found else min(limit, found[0]))
-                if d <= limit and (not found or (d, begin + shift) < found[:2]):
-                    found = (d, begin + shift, size)
-                    if d == 0:
-                        break
             if found:
-                best[text, i] = found
+                limit = found[0] - 1
+            if limit < 0:
+                continue
+            a, z = max(int(low[w]), begin - limit), min(int(stop[w]), begin + len(item) + limit)
+            d, end = distance(item, laid[a:z], limit, free=True)
+            if d <= limit:
+                size = distance(item[::-1], laid[a : a + end][::-1], d)[1]
+                best[text, i] = (d, a + end - size, size)
     return [(t, i, b - int(first[t]), size, d) for (t, i), (d, b, size) in best.items()]
 
 
