@@ -116,7 +116,7 @@ SQL["level_lost"] = build("""
 SQL["crossover"] = build("""
   SELECT f.run_id, crossed_at, smallest, largest, count(*) FILTER (WHERE frame_idx > crossed_at AND value / 100.0::DOUBLE < 1.0) AS fell_back
   FROM fr f JOIN (SELECT run_id, min(frame_idx) FILTER (WHERE value / 100.0::DOUBLE >= 1.0) AS crossed_at, min(frame_idx) AS smallest, max(frame_idx) AS largest
-                  FROM fr WHERE frame_idx % 5 = 0 GROUP BY 1) x USING (run_id) WHERE frame_idx % 5 = 0 GROUP BY 1, 2, 3, 4""", "fr")
+                  FROM fr GROUP BY 1) x USING (run_id) GROUP BY 1, 2, 3, 4""", "fr")
 SQL["rate_multiple"] = """
   SELECT user_id AS run_id, arg_min(value, event_id) AS low, arg_max(value, event_id) AS high,
     CASE WHEN count(*) > 1 AND arg_min(value, event_id) > 0 THEN arg_max(value, event_id) / arg_min(value, event_id) END AS multiple FROM events GROUP BY 1"""

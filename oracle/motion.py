@@ -116,8 +116,7 @@ define("ev", """
   SELECT run_id, t_issued AS t, 0 AS side, seq, declaration_id, CASE WHEN order_key % 40 = 7 THEN seq - 1 ELSE seq END AS claimed, horizon * 8 AS horizon,
     CASE WHEN order_key % 70 = 2 THEN 'lunge' ELSE action_class END AS action_class,
     CASE WHEN order_key % 50 = 3 THEN 'unattributed' WHEN order_key % 70 = 2 THEN 'out_of_vocabulary_action' WHEN order_key % 60 = 1 THEN 'envelope_overclaim' END AS offer_fault, NULL::BOOLEAN AS escapes FROM decl
-  UNION ALL SELECT v.run_id, v.t, 1, v.seq, NULL, NULL, NULL, NULL, NULL, outcome = 'CLAMP' FROM verd v
-  JOIN (SELECT run_id, min(t_issued) AS t0 FROM decl GROUP BY 1) d ON d.run_id = v.run_id AND v.t >= t0""", "decl", "verd")
+  UNION ALL SELECT v.run_id, v.t, 1, v.seq, NULL, NULL, NULL, NULL, NULL, outcome = 'CLAMP' FROM verd v""", "decl", "verd")
 define("ev1", """
   SELECT *, row_number() OVER w AS pos, max(claimed) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS maxseq,
     greatest(coalesce(max(CASE WHEN side = 0 THEN t END) OVER w, 0.0), 0.0) AS heard,

@@ -34,6 +34,6 @@ def stream_intervals(spark, sf):
 def stream_watchdog(spark, sf):
     """X2 over all offers and actions."""
     root = shared_path(spark, "watch")
-    ev = events(Records(spark, sf)).select("run_id", "t", "side", "horizon")
+    ev = events(Records(spark, sf)).select("run_id", "t", "side", "seq", "horizon")
     src = L.as_stream(ev, f"{root}/in")
     return L.run_available(L.stream_watchdog(src, 400.0, 0.0), f"{root}/out", f"{root}/check")

@@ -175,7 +175,7 @@ def level_lost(spark, sf):
 @register
 def crossover(spark, sf):
     f = Scene(spark, sf).frames()
-    pts = f.filter(F.col("frame_idx") % 5 == 0).select(
+    pts = f.select(
         "run_id", F.col("frame_idx").alias("frames"), (F.col("value") / 100.0).alias("ratio")
     )
     return GR.crossover(pts)

@@ -167,9 +167,6 @@ def events(rc: Records, acks: bool = False):
         F.lit(None).cast("string").alias("action_class"), (F.col("outcome") == "CLAMP").alias("escapes"),
         F.lit(None).cast("string").alias("offer_fault"),
     )
-    # actions before the first offer would passivate every run at once
-    start = d.groupBy("run_id").agg(F.min("t").alias("_t0"))
-    v = v.join(start, "run_id").filter(F.col("t") >= F.col("_t0")).drop("_t0")
     out = d.drop("_attributed", "_excess").withColumn("horizon", F.col("horizon") * 8).unionByName(v)
     if acks:
         a = v.filter((F.col("run_id") % 3 == 0) & (F.col("seq") % 4 == 1))
@@ -180,10 +177,10 @@ def events(rc: Records, acks: bool = False):
 @register
 def adjudicate_sql(spark, sf):
     """E2."""
-    return A.adjudicate_windows(events(Records(spark, sf)), 400.0, 0.0, 3650.0)
+    return A.adjudicate_windows(events(Records(spark, sf)), 400.0, 0.0, 30.0)
 
 
 @register
 def adjudicate(spark, sf):
     """E1 with E5: every third run has acknowledgments."""
-    return A.adjudicate(events(Records(spark, sf), acks=True), 400.0, 0.0, 3650.0)
+    return A.adjudicate(events(Records(spark, sf), acks=True), 400.0, 0.0, 30.0)

@@ -166,7 +166,7 @@ def passivation_spans(verdicts: DataFrame, chunk_rows: int = V.CHUNK_ROWS) -> Da
 
 
 def asof_declaration(
-    declarations: DataFrame, verdicts: DataFrame, chunk_span: float = 3650.0
+    declarations: DataFrame, verdicts: DataFrame, chunk_span: float = 30.0
 ) -> DataFrame:
     """The latest declaration issued at or before each action, by one
     ordered pass over both streams instead of a range join."""
@@ -196,7 +196,7 @@ def asof_declaration(
 
 def watchdog_gaps(
     declarations: DataFrame, verdicts: DataFrame, period: float, t_start: float,
-    chunk_span: float = 3650.0,
+    chunk_span: float = 30.0,
 ) -> DataFrame:
     """Actions later than `period` after the last message heard; any
     offer counts as heard, a refused one too."""

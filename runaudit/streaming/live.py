@@ -70,7 +70,7 @@ def _watch(watchdog: float, t_start: float):
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         heard, expires = state.get if state.exists else (t_start, None)
         alarms = []
-        rows = pd.concat(list(batches)).sort_values(["t", "side"])
+        rows = pd.concat(list(batches)).sort_values(["t", "side", "seq"])
         for t, side, horizon in zip(rows["t"], rows["side"], rows["horizon"]):
             if side == 0:
                 heard, expires = max(heard, float(t)), float(t) + float(horizon)
