@@ -23,8 +23,9 @@ from runaudit.llm.common import slices, stored, table, utf8
 
 
 def index_shared(marks: DataFrame) -> DataFrame:
-    """Grams that two documents hold."""
-    return marks.groupBy("gram").agg(F.min("doc").alias("_a"), F.max("doc").alias("_z")).where("_a < _z")
+    """Grams that two documents hold, in different texts."""
+    ends = [f(c).alias(f"_{c}{i}") for c in ("doc", "row") for i, f in enumerate((F.min, F.max))]
+    return marks.groupBy("gram").agg(*ends).where("_doc0 < _doc1 and _row0 < _row1")
 
 
 def parse(docs: DataFrame, window: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -40,9 +41,9 @@ def parse(docs: DataFrame, window: int = 50, text: str = "text", key: str = "doc
     rows = spans.keyed(docs, text, key)
     marks = stored(spans.anchors(rows, window), "anchors")
     whole = stored(spans.copies(marks), "copies")
-    rest = marks.where("pos >= 0").join(whole, ["doc", "row"], "left_anti")
+    rest = marks.where("pos >= 0")
     shared = stored(index_shared(rest).select("gram"), "shared")  # a table, so that a common gram's join can be split
-    found = spans.windows(rows, spans.places(rest, shared), window)
+    found = spans.windows(rows, spans.places(rest, shared, whole), window)
     hits = stored(spans.earlier(found), "hits")
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

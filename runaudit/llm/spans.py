@@ -1,7 +1,7 @@
 """Repeated word windows across documents: the steps that the substring
 operators share.
 
-A window of WINDOW words holds 12-word grams at 39 places. The least of their
+A window of 50 words holds 20-word grams at 31 places. The least of their
 hashes marks a place that depends on the window's words alone, so equal windows
 have their marked gram in common: only grams found in two documents can lie in a
 repeated window, and only windows whose marked gram is such a gram are compared,
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from runaudit.llm.common import WordHashes, rolling, slices, sliding, starts, table, utf8
 
-GRAM = 12
+GRAM = 20
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -63,8 +63,8 @@ class Marks:
 
 def anchors(rows: DataFrame, window: int, following: bool = False) -> DataFrame:
     """(doc, row, pos, gram, more): a row for every marked gram; `more` is the hash
-    of the 12 words after it if `following`. A row with pos -1 per text of `window` words or
-    more carries the 128-bit identity of its word sequence in gram and more."""
+    of the words after it if `following`. A row with pos -n per text of n >= `window`
+    words carries the 128-bit identity of its word sequence in gram and more."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -86,7 +86,7 @@ def anchors(rows: DataFrame, window: int, following: bool = False) -> DataFrame:
             yield table(
                 doc=doc,
                 row=row,
-                pos=np.concatenate([marks.place[at], np.full(len(long), -1)]).astype(np.int32),
+                pos=np.concatenate([marks.place[at], -n[long]]).astype(np.int32),
                 gram=np.concatenate([marks.grams[at].view(np.int64), identity[:, 0]]),
                 more=np.concatenate([more, identity[:, 1]]),
             )
@@ -99,15 +99,18 @@ def kind(rows: DataFrame) -> str:
 
 
 def copies(marks: DataFrame) -> DataFrame:
-    """(doc, row, source): texts whose whole word sequence is that of a smaller doc."""
-    whole = marks.where("pos = -1")
+    """(doc, row, n, source): texts of n words whose whole word sequence is that of a
+    smaller doc."""
+    whole = marks.where("pos < 0")
     first = whole.groupBy("gram", "more").agg(F.min("doc").alias("source"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return whole.join(first, ["gram", "more"]).where("source < doc").select("doc", "row", "source").distinct()
+    return whole.join(first, ["gram", "more"]).where("source < doc").select("doc", "row", (-F.col("pos")).alias("n"), "source").distinct()
 
 
-def places(marks: DataFrame, shared: DataFrame) -> DataFrame:
-    """(doc, row, at): the places of a text's marked grams that are shared."""
-    return marks.join(shared.select("gram"), "gram").groupBy("doc", "row").agg(F.collect_set("pos").alias("at"))
+def places(marks: DataFrame, shared: DataFrame, whole: DataFrame) -> DataFrame:
+    """(doc, row, at): the places of a text's marked grams that are shared; copies of
+    a whole text, which need no windows, are left out."""
+    at = marks.join(shared.select("gram"), "gram").groupBy("doc", "row").agg(F.collect_set("pos").alias("at"))
+    return at.join(whole.select("doc", "row"), ["doc", "row"], "left_anti")
 
 
 def windows(rows: DataFrame, at: DataFrame, window: int) -> DataFrame:

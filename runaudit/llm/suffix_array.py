@@ -13,16 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runaudit.llm import spans
 from runaudit.llm.common import stored, table
+from runaudit.llm.rlz import index_shared
 
 
 def sorted_shared(marks: DataFrame) -> DataFrame:
-    """Leading grams on which two neighbouring suffixes of different documents
-    agree. A range of equal grams may be cut between tasks: the first and the last
+    """Leading grams on which neighbouring suffixes of different documents, and of
+    different texts, agree. A range of equal grams may be cut between tasks: the first and the last
     suffix of every task come out too and are compared among themselves."""
     order = ["gram", "more", "doc", "pos"]
     kind = spans.kind(marks)
@@ -38,19 +40,20 @@ def sorted_shared(marks: DataFrame) -> DataFrame:
                 batch = pa.concat_batches([last, batch])
             gram = batch.column(0).to_numpy()
             same = np.flatnonzero(gram[1:] == gram[:-1])
-            docs = batch.column(1)
-            differ = [i for i, a, b in zip(same.tolist(), docs.take(pa.array(same)).to_pylist(), docs.take(pa.array(same + 1)).to_pylist(), strict=True) if a != b]
-            ends = np.array(differ, np.int64)
-            _, once = np.unique(gram[ends], return_index=True)
-            pairs = np.sort(np.concatenate([ends[once], ends[once] + 1]))
-            yield batch.take(pa.array(pairs, pa.int64()))
+            pairs = []
+            for column in (batch.column(1), batch.column(2)):
+                unlike = pc.not_equal(column.take(pa.array(same)), column.take(pa.array(same + 1)))
+                ends = same[unlike.to_numpy(zero_copy_only=False)]
+                _, once = np.unique(gram[ends], return_index=True)
+                pairs += [ends[once], ends[once] + 1]
+            yield batch.take(pa.array(np.unique(np.concatenate(pairs)), pa.int64()))
             last = batch.slice(batch.num_rows - 1)
         if last is not None:
             yield last
 
     ranged = marks.repartitionByRange(*order).sortWithinPartitions(*order)
-    met = ranged.select("gram", "doc").mapInArrow(neighbours, f"gram long, doc {kind}")
-    return met.groupBy("gram").agg(F.min("doc").alias("_a"), F.max("doc").alias("_z")).where("_a < _z")
+    met = ranged.select("gram", "doc", "row").mapInArrow(neighbours, f"gram long, doc {kind}, row long")
+    return index_shared(met)
 
 
 def repeated_spans(docs: DataFrame, window: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -65,9 +68,9 @@ def repeated_spans(docs: DataFrame, window: int = 50, text: str = "text", key: s
     rows = spans.keyed(docs, text, key)
     marks = stored(spans.anchors(rows, window, following=True), "suffixes")
     whole = stored(spans.copies(marks), "copies")
-    rest = marks.where("pos >= 0").join(whole, ["doc", "row"], "left_anti")
+    rest = marks.where("pos >= 0")
     shared = stored(sorted_shared(rest).select("gram"), "shared")  # a table, so that a common gram's join can be split
-    found = spans.windows(rows, spans.places(rest, shared), window)
+    found = spans.windows(rows, spans.places(rest, shared, whole), window)
     kind = spans.kind(rows)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,6 +87,4 @@ def repeated_spans(docs: DataFrame, window: int = 50, text: str = "text", key: s
 
     fields = f"doc {kind}, row long, start long, n_words long, source {kind}"
     partial = spans.earlier(found).select("doc", "row", "hits").mapInArrow(merged, fields)
-    words = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
-    full = rows.join(whole, ["doc", "row"]).select("doc", "row", F.lit(0).cast("long"), words.cast("long"), "source")
-    return partial.unionAll(full.distinct())
+    return partial.unionAll(whole.select("doc", "row", F.lit(0).cast("long"), F.col("n").cast("long"), "source"))
