@@ -80,7 +80,8 @@ def test_draws(spark):
 def test_odd_tables(spark):
     df = spark.createDataFrame([(1, None, 2), (None, "some text " * 60, 3), (4, "", 5), (4, "ab", 5)], "doc_id long, text string, n_words long")
     none = spark.createDataFrame([], LABELS)
-    got = quality_rules.judge(df, none).collect()
+    got = quality_rules.judge(df, none, keep=tuple(df.columns)).collect()
+    assert len(got) == 4 and sorted(r.n_words for r in got) == [0, 0, 1, 120]
     assert len(got) == 4 and all(r.log_ratio == 0 for r in got)
     assert quality_rules.judge(df.limit(0), none).count() == 0
     some = spark.createDataFrame([(4, 1, None), (None, 1, 0), (1, 0, 1)], LABELS)
