@@ -31,21 +31,24 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a != b").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node above has one link, to a node that is above none."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(
+        edges.select(F.col("b").alias("node"), F.lit(0), F.lit(1))
+    )
+    seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b): component is the least
     node that can be reached. Loops, repeats and both directions are fine; null ends
     are dropped. Without edges there are no rows."""
-    edges = stored(edges.where("a != b").select("a", "b").distinct(), "edges")
+    high, low = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+    edges = stored(edges.where("a != b").select(high, low).distinct(), "edges")
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    before = None
-    while True:
+    while not _stars(edges):
         edges = stored(_star(_star(edges, large=True), large=False), "edges")
-        now = edges.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.max("a")
-        ).first()
-        if now == before:
-            break
-        before = now
     return nodes.join(edges.select(F.col("a").alias("node"), "b"), "node", "left").select(
         "node", F.coalesce("b", "node").alias("component")
     )

@@ -17,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -69,6 +68,16 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def band_keys(signed: np.ndarray) -> np.ndarray:
+    """One 64-bit key per set and band."""
+    rows = signed.reshape(len(signed), BANDS, ROWS).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        keys = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for r in range(ROWS):
+            keys = mix(keys + rows[:, :, r])
+    return keys
+
+
 def signatures(docs: DataFrame, text: str, key: str) -> DataFrame:
     """(key, n_shingles, s1, s2, bands, signature); s1 and s2 identify the set."""
 
@@ -83,11 +92,7 @@ def signatures(docs: DataFrame, text: str, key: str) -> DataFrame:
             packed: list = [None] * len(sets)
             if len(full):
                 got = minima([sets[i] for i in full])
-                rows = got.reshape(len(full), BANDS, ROWS).astype(np.uint64)
-                with np.errstate(over="ignore"):
-                    keys = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                    for r in range(ROWS):
-                        keys = mix(keys + rows[:, :, r])
+                keys = band_keys(got)
                 for j, i in enumerate(full):
                     whole = xxhash.xxh3_128_digest(sets[i].tobytes())
                     s1[i], s2[i] = np.frombuffer(whole, np.int64)
@@ -177,13 +182,70 @@ def rest_blocks(buckets: DataFrame, found: DataFrame) -> DataFrame:
     return one.unionAll(side(mixed, every("_i"), F.pmod(spot, F.col("_j")).cast("int"), False))
 
 
-def _met(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of every (band, i, j), which lie together, as one batch."""
+    left = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if left is not None:
+            batch = pa.concat_batches([left, batch])
+        keys = np.stack([batch.column(c).to_numpy() for c in range(3)])
+        cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            yield batch.slice(a, z - a)
+        left = batch.slice(cuts[-1])
+    if left is not None:
+        yield left
+
+
+def sides(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows on the left, rows on the right, and which of them differ in component."""
-    one, two = np.flatnonzero(group["left"].to_numpy()), np.flatnonzero(~group["left"].to_numpy())
-    part = group["component"].to_numpy()
+    left, part = block.column(3).to_numpy(zero_copy_only=False), block.column(5).to_numpy()
+    one, two = np.flatnonzero(left), np.flatnonzero(~left)
     return one, two, part[one][:, None] != part[two][None, :]
 
 
+def close_rows(block: pa.RecordBatch, floor: float) -> np.ndarray:
+    """Rows with a partner whose signature agrees in `floor` places. A pair counts in
+    the first band that it shares alone."""
+    one, two, near = sides(block)
+    if not near.any():
+        return one[:0]
+    signed = np.frombuffer(b"".join(block.column(6).to_pylist()), np.uint32).reshape(-1, HASHES)
+    here = int(np.flatnonzero(band_keys(signed[:1])[0].view(np.int64) == block.column(0)[0].as_py())[0])
+    same = np.zeros(near.shape, np.int16)
+    for band in range(BANDS):
+        equal = [signed[one, h][:, None] == signed[two, h][None, :] for h in range(band * ROWS, (band + 1) * ROWS)]
+        for e in equal:
+            same += e
+        if band < here:
+            near &= ~np.logical_and.reduce(equal)
+    near &= same >= floor
+    return np.sort(np.concatenate([one[near.any(axis=1)], two[near.any(axis=0)]]))
+
+
+def exact_links(block: pa.RecordBatch, percent: int) -> list[tuple[int, int]]:
+    """Links between components, one for a row on the left and a component."""
+    one, two, apart = sides(block)
+    sets = [np.frombuffer(x, np.uint64) for x in block.column(6).to_pylist()]
+    if not len(one) or not len(two):
+        return []
+    size = np.array([len(x) for x in sets])
+    shared = np.intersect1d(np.concatenate([sets[k] for k in one]), np.concatenate([sets[k] for k in two]))
+    both = np.zeros(apart.shape)
+    at = [np.searchsorted(shared, x[np.isin(x, shared, assume_unique=True)]) for x in sets]
+    for lo in range(0, len(shared), COLUMNS):
+        held = np.zeros((len(sets), min(COLUMNS, len(shared) - lo)), np.float32)
+        for k, x in enumerate(at):
+            held[k, x[(x >= lo) & (x < lo + COLUMNS)] - lo] = 1
+        both += held[one] @ held[two].T
+    union = size[one][:, None] + size[two][None, :] - both
+    x, y = np.nonzero(apart & (100 * both >= percent * union))
+    node, part = block.column(4).to_numpy(), block.column(5).to_numpy()
+    return list({(int(node[one[a]]), int(part[two[b]])): (int(node[one[a]]), int(node[two[b]])) for a, b in zip(x, y, strict=True)}.values())
+
+
 def rest_links(
     buckets: DataFrame, found: DataFrame, nodes: DataFrame, docs: DataFrame, limit: float, text: str, key: str, percent: int
 ) -> DataFrame:
@@ -191,35 +253,23 @@ def rest_links(
     by signature first, then exactly. Pairs stay inside the tasks; what comes out
     is members, and one link per member and component."""
     floor = HASHES * max(0.0, limit - SLACK * (limit * (1 - limit) / HASHES) ** 0.5)
-    blocks = rest_blocks(buckets, found).join(nodes.select("node", "signature"), "node")
     fields = "band long, i int, j int, left boolean, node long, component long"
     names = [f.split()[0] for f in fields.split(", ")]
+    block = ["band", "i", "j"]
 
-    def close(group: pd.DataFrame) -> pd.DataFrame:
-        signed = np.frombuffer(b"".join(group["signature"]), np.uint32).reshape(-1, HASHES)
-        one, two, apart = _met(group)
-        same = np.zeros((len(one), len(two)), np.int16)
-        for h in range(HASHES):
-            same += signed[one, h][:, None] == signed[two, h][None, :]
-        near = apart & (same >= floor)
-        return group.iloc[np.sort(np.concatenate([one[near.any(axis=1)], two[near.any(axis=0)]]))][names]
-
-    def linked(group: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
-        size = np.array([len(x) for x in sets])
-        one, two, apart = _met(group)
-        shared = np.intersect1d(np.concatenate([sets[k] for k in one]), np.concatenate([sets[k] for k in two]))
-        both = np.zeros((len(one), len(two)))
-        at = [np.searchsorted(shared, x[np.isin(x, shared, assume_unique=True)]) for x in sets]
-        for lo in range(0, len(shared), COLUMNS):
-            held = np.zeros((len(sets), min(COLUMNS, len(shared) - lo)), np.float32)
-            for k, x in enumerate(at):
-                held[k, x[(x >= lo) & (x < lo + COLUMNS)] - lo] = 1
-            both += held[one] @ held[two].T
-        union = size[one][:, None] + size[two][None, :] - both
-        x, y = np.nonzero(apart & (100 * both >= percent * union))
-        got = pd.DataFrame({"a": group["node"].to_numpy()[one[x]], "b": group["node"].to_numpy()[two[y]]})
-        return got[~pd.DataFrame({"a": got["a"], "c": group["component"].to_numpy()[two[y]]}).duplicated().to_numpy()]
+    def together(df: DataFrame) -> DataFrame:
+        return df.repartition(*block).sortWithinPartitions(*block)
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in each_block(batches):
+            rows = close_rows(got, floor)
+            if len(rows):
+                yield got.select(names).take(pa.array(rows))
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in each_block(batches):
+            if found := exact_links(got, percent):
+                yield table(a=[a for a, _ in found], b=[b for _, b in found])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
@@ -227,12 +277,14 @@ def rest_links(
             sets = shingle_sets(utf8(batch, text), known)
             yield table(node=batch.column(0), shingles=pa.array([x.tobytes() for x in sets], pa.binary()))
 
-    kept = stored(blocks.groupBy("band", "i", "j").applyInPandas(close, fields), "rest")
+    signed = rest_blocks(buckets, found).join(nodes.select("node", "signature"), "node").select(*names, "signature")
+    kept = stored(together(signed).mapInArrow(close, fields), "rest")
     if kept.isEmpty():
         return kept.select(F.col("node").alias("a"), F.col("node").alias("b"))
     some = docs.join(kept.select(F.col("node").alias(key)).distinct(), key).select(key, text)
     sets = stored(some.mapInArrow(listed, "node long, shingles binary"), "sets")
-    return stored(kept.join(sets, "node").groupBy("band", "i", "j").applyInPandas(linked, "a long, b long"), "links")
+    full = kept.join(sets, "node").select(*names, "shingles")
+    return stored(together(full).mapInArrow(linked, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
