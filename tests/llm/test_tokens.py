@@ -1,5 +1,6 @@
 import random
 import zlib
+from functools import cache
 from itertools import accumulate
 
 import numpy as np
@@ -15,6 +16,7 @@ SF = "/root/testdata/sf0.01"
 WORD, BYTE = (public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k"))
 
 
+@cache
 def plain(file, end):
     made = Tokenizer.from_file(file)
     made.encode_special_tokens = True
