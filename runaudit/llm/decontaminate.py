@@ -33,6 +33,7 @@ WALKS, TABLES, SAMPLES = 2, 4, 4
 SPAN = 1.5  # samples lie in the first SPAN * n steps of an item of n words; the walk needs about 2 n
 BLOCK_ITEMS, BLOCK_WORDS = 1024, 1 << 17
 CHUNK = 1 << 15  # windows that walk together
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
 FLAGS = 1 << 12  # bits by which an item's words are known in the count filter
 
 
@@ -81,15 +82,15 @@ class Index:
         first = np.cumsum(n + 1) - n - 1
         laid = np.concatenate([np.append(x, np.uint64(0)) for x in items]) if items else np.zeros(0, np.uint64)
         member = np.array([size_class(len(x)) for x in items])
-        for name, key in index.embed(laid, first, first + n):
+        for name, key in index.embed(laid, first):
             rows = np.flatnonzero(member == name[0])
             order = rows[np.argsort(key[rows], kind="stable")]
             index.keys[name] = (key[order], order)
         return index
 
-    def embed(self, laid: np.ndarray, at: np.ndarray, stop: np.ndarray) -> Iterator[tuple[tuple[int, int, int], np.ndarray]]:
-        """Table keys of the windows that open at `at`; a walk stays at `stop`, where
-        the word is 0, and writes it on."""
+    def embed(self, laid: np.ndarray, at: np.ndarray) -> Iterator[tuple[tuple[int, int, int], np.ndarray]]:
+        """Table keys of the windows that open at `at`. The word 0 after each sequence
+        has no step bit set, so a walk stays there and writes it on."""
         for walk in range(WALKS):
             wanted: dict[int, list] = {}
             for c, least in self.classes.items():
@@ -98,22 +99,24 @@ class Index:
                         wanted.setdefault(s, []).append((c, walk, t, k))
             keys: dict = {}
             place = at.astype(np.int32)
-            stop32 = stop.astype(np.int32)
             for s in range(max(wanted, default=-1) + 1):
                 if s in wanted:
                     word = laid[place]
                     for c, w, t, k in wanted[s]:
                         name = (c, w, t)
-                        keys[name] = word * np.uint64(0xD6E8FEB86659FD93) if k == 0 else (keys[name] + word) * np.uint64(0xD6E8FEB86659FD93)
+                        if k == 0:
+                            keys[name] = word * _SPREAD
+                        else:
+                            keys[name] += word
+                            keys[name] *= _SPREAD
                         if k == SAMPLES - 1:
                             yield name, keys.pop(name)
                 place += step_bits(laid, walk, s)[place]
-                np.minimum(place, stop32, out=place)
 
-    def candidates(self, laid: np.ndarray, at: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    def candidates(self, laid: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Distinct (window, item) pairs that share a table key."""
         out = []
-        for name, key in self.embed(laid, at, stop):
+        for name, key in self.embed(laid, at):
             have, item = self.keys[name]
             maybe = np.zeros(1 << 16, bool)
             maybe[(have >> np.uint64(48)).astype(np.int64)] = True
@@ -163,20 +166,19 @@ def blocks(benchmark: DataFrame, text: str, key: str) -> Iterator[Index]:
         yield Index.of(items, ids)
 
 
-def _enough(index: Index, laid: np.ndarray, at: np.ndarray, stop: np.ndarray, low: np.ndarray, met: np.ndarray, percent: int) -> np.ndarray:
+def _enough(index: Index, flag: np.ndarray, at: np.ndarray, stop: np.ndarray, low: np.ndarray, met: np.ndarray, percent: int) -> np.ndarray:
     """Candidates whose surroundings hold as many of the item's words as a match
     within the limit must have. Counts by flag bits are never too low."""
     size = np.array([len(x) for x in index.items])[met[:, 1]]
     limit = size * percent // 100
     open_, close = np.maximum(low[met[:, 0]], at[met[:, 0]] - limit), np.minimum(stop[met[:, 0]], at[met[:, 0]] + size + limit)
-    flag = (laid % np.uint64(FLAGS - 1)).astype(np.int64)
     keep = np.zeros(len(met), bool)
     for c in range(0, len(met), 4096):
         part = slice(c, c + 4096)
         wide = int((close[part] - open_[part]).max(initial=0))
         spot = open_[part, None] + np.arange(wide)
         inside = spot < close[part, None]
-        held = index.flags[met[part, 1][:, None], flag[np.minimum(spot, len(laid) - 1)]] & inside
+        held = index.flags[met[part, 1][:, None], flag[np.minimum(spot, len(flag) - 1)]] & inside
         keep[part] = held.sum(axis=1) >= size[part] - limit[part]
     return keep
 
@@ -186,12 +188,13 @@ def _matches(index: Index, laid: np.ndarray, first: np.ndarray, n: np.ndarray, p
     owner = np.repeat(np.arange(len(n)), n)
     at = np.repeat(first, n) + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
     low, stop = np.repeat(first, n), np.repeat(first + n, n)
+    flag = (laid % np.uint64(FLAGS - 1)).astype(np.int32)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for lo in range(0, len(at), CHUNK):
         part = slice(lo, lo + CHUNK)
         a, z = int(at[lo]), int(stop[part][-1]) + 1
-        met = index.candidates(laid[a:z], at[part] - a, stop[part] - a) + [lo, 0]
-        met = met[_enough(index, laid, at, stop, low, met, percent)]
+        met = index.candidates(laid[a:z], at[part] - a) + [lo, 0]
+        met = met[_enough(index, flag, at, stop, low, met, percent)]
         for w, i in met.tolist():
             item, begin, text = index.items[i], int(at[w]), int(owner[w])
             limit = len(item) * percent // 100
