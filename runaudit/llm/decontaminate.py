@@ -1,16 +1,12 @@
-"""Benchmark decontamination by CGK embedding and bit-sampling LSH.
+"""Benchmark decontamination by exact pieces of items and edit distance.
 
-Text and items are sequences of lower-cased words. The CGK walk reads a sequence
-with a random step function for each of its steps: it writes the word it stands
-on and, by that word's bit, stays or moves on. Sequences a small edit distance
-apart soon walk in step again, so their embeddings differ in few places (Hamming
-distance). Every word of a text opens an item-sized window; the walks of all
-windows go on together, since step j needs only the place each has reached.
-
-Bit sampling reads an embedding at a few random steps; windows that agree with an
-item on all of one table's samples are candidates. Several tables over several
-walks reach the target recall. Each candidate is then checked by its exact edit
-distance.
+Text and items are sequences of lower-cased words. An item of n words that may
+take k edits is cut to k + 1 pieces of nearly equal length. Every edit touches one
+piece at most, so a stretch of text within k edits of the item holds one of its
+pieces unchanged, and not more than k words from where the item would put it. The
+places of the pieces in a text are therefore all the candidates there are: no
+match is missed, whatever its edits, and an item too short for an edit is
+one piece. Each candidate is then checked by its exact edit distance.
 
 Items go to the tasks in blocks of a bounded number and size; the texts are never
 shuffled.
@@ -27,13 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runaudit.llm.common import WordHashes, slices, table, utf8
+from runaudit.llm.common import WordHashes, rolling, slices, table, utf8
 
-WALKS, TABLES, SAMPLES = 2, 4, 4
-SPAN = 1.5  # samples lie in the first SPAN * n steps of an item of n words; the walk needs about 2 n
 BLOCK_ITEMS, BLOCK_WORDS = 1024, 1 << 17
-CHUNK = 1 << 15  # windows that walk together
-_SPREAD = np.uint64(0xD6E8FEB86659FD93)
+CHUNK = 1 << 15  # words looked up together
+KNOWN_BITS = 18  # leading bits of a piece's hash in the first lookup
 FLAGS = 1 << 12  # bits by which an item's words are known in the count filter
 
 
@@ -41,93 +35,55 @@ def lowered(texts: list[bytes]) -> list[bytes]:
     return [t.decode().lower().encode() for t in texts]
 
 
-def step_bits(hashes: np.ndarray, walk: int, step: int) -> np.ndarray:
-    """Whether the walk moves on from each word at this step."""
-    odd = np.uint64((0x9E3779B97F4A7C15 * (2 * (walk * 1_000_003 + step) + 1)) & 0xFFFFFFFFFFFFFFFF | 1)
-    return ((hashes * odd) >> np.uint64(63)).astype(np.int32)
-
-
-def size_class(n: int) -> int:
-    """Items up to twice as long as the shortest share a class."""
-    return int(n).bit_length()
-
-
-def sampled_steps(least: int, walk: int, t: int) -> list[int]:
-    """The steps at which table t of a walk reads windows of a class."""
-    last = max(SAMPLES, int(SPAN * least))
-    return sorted(np.random.default_rng([least, walk, t]).choice(last, SAMPLES, replace=False).tolist())
+def pieces(n: int, limit: int) -> list[tuple[int, int]]:
+    """(offset, words) of the pieces of an item of n words; `limit` edits leave one whole."""
+    parts = min(limit + 1, n)
+    cuts = [n * i // parts for i in range(parts + 1)]
+    return [(a, z - a) for a, z in zip(cuts, cuts[1:], strict=False)]
 
 
 @dataclass(frozen=True)
 class Index:
-    """A block of items: words, and the item numbers under each table key."""
+    """A block of items: words, and where the pieces of each length come from."""
 
     items: list[np.ndarray]
     ids: list
-    classes: dict[int, int]  # class -> its least number of words
-    keys: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]]  # (class, walk, table) -> sorted keys, items
+    keys: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # words -> leading bits, sorted hashes, items, offsets
     flags: np.ndarray  # per item, the words it may hold
 
     @staticmethod
-    def of(items: list[np.ndarray], ids: list) -> Index:
-        classes: dict[int, int] = {}
-        for x in items:
-            c = size_class(len(x))
-            classes[c] = min(classes.get(c, len(x)), len(x))
+    def of(items: list[np.ndarray], ids: list, percent: int) -> Index:
         flags = np.zeros((len(items), FLAGS), bool)
+        cut: dict[int, list] = {}
         for i, x in enumerate(items):
             flags[i, (x % np.uint64(FLAGS - 1)).astype(np.int64)] = True
-        index = Index(items, ids, classes, {}, flags)
-        n = np.array([len(x) for x in items], np.int64)
-        first = np.cumsum(n + 1) - n - 1
-        laid = np.concatenate([np.append(x, np.uint64(0)) for x in items]) if items else np.zeros(0, np.uint64)
-        member = np.array([size_class(len(x)) for x in items])
-        for name, key in index.embed(laid, first):
-            rows = np.flatnonzero(member == name[0])
-            order = rows[np.argsort(key[rows], kind="stable")]
-            index.keys[name] = (key[order], order)
-        return index
-
-    def embed(self, laid: np.ndarray, at: np.ndarray) -> Iterator[tuple[tuple[int, int, int], np.ndarray]]:
-        """Table keys of the windows that open at `at`. The word 0 after each sequence
-        has no step bit set, so a walk stays there and writes it on."""
-        for walk in range(WALKS):
-            wanted: dict[int, list] = {}
-            for c, least in self.classes.items():
-                for t in range(TABLES):
-                    for k, s in enumerate(sampled_steps(least, walk, t)):
-                        wanted.setdefault(s, []).append((c, walk, t, k))
-            keys: dict = {}
-            place = at.astype(np.int32)
-            for s in range(max(wanted, default=-1) + 1):
-                if s in wanted:
-                    word = laid[place]
-                    for c, w, t, k in wanted[s]:
-                        name = (c, w, t)
-                        if k == 0:
-                            keys[name] = word * _SPREAD
-                        else:
-                            keys[name] += word
-                            keys[name] *= _SPREAD
-                        if k == SAMPLES - 1:
-                            yield name, keys.pop(name)
-                place += step_bits(laid, walk, s)[place]
-
-    def candidates(self, laid: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Distinct (window, item) pairs that share a table key."""
-        out = []
-        for name, key in self.embed(laid, at):
-            have, item = self.keys[name]
-            maybe = np.zeros(1 << 16, bool)
-            maybe[(have >> np.uint64(48)).astype(np.int64)] = True
-            hit = np.flatnonzero(maybe[(key >> np.uint64(48)).astype(np.int64)])
+            for offset, size in pieces(len(x), len(x) * percent // 100):
+                cut.setdefault(size, []).append((i, offset))
+        keys = {}
+        for size, places in cut.items():
+            hashes = rolling(np.concatenate([items[i][o : o + size] for i, o in places]), size)[::size]
+            order = np.argsort(hashes, kind="stable")
+            item, offset = np.array(places, np.int64)[order].T
+            known = np.zeros(1 << KNOWN_BITS, bool)
+            known[(hashes >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)] = True
+            keys[size] = (known, hashes[order], item, offset)
+        return Index(items, ids, keys, flags)
+
+    def candidates(self, laid: np.ndarray, owner: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """Distinct (text, begin, item): where in `laid` the item would begin by a piece
+        found at lo..hi. A piece holds no 0, so none reaches over the end of a text."""
+        out = [np.zeros((0, 3), np.int64)]
+        for size, (known, have, item, offset) in self.keys.items():
+            key = rolling(laid[lo : hi + size - 1], size)
+            hit = np.flatnonzero(known[(key >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)])
             a, z = np.searchsorted(have, key[hit], "left"), np.searchsorted(have, key[hit], "right")
             more = z > a
-            hit, a, z = hit[more], a[more], z[more]
+            hit, a, z = lo + hit[more], a[more], z[more]
             each = z - a
             spot = np.repeat(a, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-            out.append(np.stack([np.repeat(hit, each), item[spot]], axis=1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+            place = np.repeat(hit, each)
+            out.append(np.stack([owner[place], place - offset[spot], item[spot]], axis=1))
+        return np.unique(np.concatenate(out), axis=0)
 
 
 def distance(item: np.ndarray, text: np.ndarray, limit: int, free: bool = False) -> tuple[int, int]:
@@ -147,7 +103,7 @@ def distance(item: np.ndarray, text: np.ndarray, limit: int, free: bool = False)
     return best, int(ends[np.argmin(np.abs(ends - len(item)))])
 
 
-def blocks(benchmark: DataFrame, text: str, key: str) -> Iterator[Index]:
+def blocks(benchmark: DataFrame, text: str, key: str, percent: int) -> Iterator[Index]:
     """Items with words, as indexes of bounded size; an item longer than a block is
     a block of its own."""
     known = WordHashes()
@@ -158,52 +114,49 @@ def blocks(benchmark: DataFrame, text: str, key: str) -> Iterator[Index]:
         if not len(words):
             continue
         if items and (len(items) >= BLOCK_ITEMS or sum(map(len, items)) + len(words) > BLOCK_WORDS):
-            yield Index.of(items, ids)
+            yield Index.of(items, ids, percent)
             items, ids = [], []
         items.append(words)
         ids.append(row[0])
     if items:
-        yield Index.of(items, ids)
+        yield Index.of(items, ids, percent)
 
 
-def _enough(index: Index, flag: np.ndarray, at: np.ndarray, stop: np.ndarray, low: np.ndarray, met: np.ndarray, percent: int) -> np.ndarray:
+def _enough(index: Index, flag: np.ndarray, first: np.ndarray, n: np.ndarray, met: np.ndarray, percent: int) -> np.ndarray:
     """Candidates whose surroundings hold as many of the item's words as a match
     within the limit must have. Counts by flag bits are never too low."""
-    size = np.array([len(x) for x in index.items])[met[:, 1]]
+    text, begin, item = met.T
+    size = np.array([len(x) for x in index.items])[item]
     limit = size * percent // 100
-    open_, close = np.maximum(low[met[:, 0]], at[met[:, 0]] - limit), np.minimum(stop[met[:, 0]], at[met[:, 0]] + size + limit)
+    open_, close = np.maximum(first[text], begin - limit), np.minimum(first[text] + n[text], begin + size + limit)
     keep = np.zeros(len(met), bool)
     for c in range(0, len(met), 4096):
         part = slice(c, c + 4096)
         wide = int((close[part] - open_[part]).max(initial=0))
         spot = open_[part, None] + np.arange(wide)
         inside = spot < close[part, None]
-        held = index.flags[met[part, 1][:, None], flag[np.minimum(spot, len(flag) - 1)]] & inside
+        held = index.flags[item[part, None], flag[np.minimum(spot, len(flag) - 1)]] & inside
         keep[part] = held.sum(axis=1) >= size[part] - limit[part]
     return keep
 
 
 def _matches(index: Index, laid: np.ndarray, first: np.ndarray, n: np.ndarray, percent: int) -> list[tuple[int, int, int, int, int]]:
     """(text, item, start, words, distance) of the best match of an item in a text."""
-    owner = np.repeat(np.arange(len(n)), n)
-    at = np.repeat(first, n) + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    low, stop = np.repeat(first, n), np.repeat(first + n, n)
+    owner = np.repeat(np.arange(len(n)), n + 1)  # the 0 after a text is its own
     flag = (laid % np.uint64(FLAGS - 1)).astype(np.int32)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for lo in range(0, len(at), CHUNK):
-        part = slice(lo, lo + CHUNK)
-        a, z = int(at[lo]), int(stop[part][-1]) + 1
-        met = index.candidates(laid[a:z], at[part] - a) + [lo, 0]
-        met = met[_enough(index, flag, at, stop, low, met, percent)]
-        for w, i in met.tolist():
-            item, begin, text = index.items[i], int(at[w]), int(owner[w])
+    for lo in range(0, len(laid), CHUNK):
+        met = index.candidates(laid, owner, lo, lo + CHUNK)
+        met = met[_enough(index, flag, first, n, met, percent)]
+        for text, begin, i in met.tolist():
+            item = index.items[i]
             limit = len(item) * percent // 100
             found = best.get((text, i))
             if found:
                 limit = found[0] - 1
             if limit < 0:
                 continue
-            a, z = max(int(low[w]), begin - limit), min(int(stop[w]), begin + len(item) + limit)
+            a, z = max(int(first[text]), begin - limit), min(int(first[text] + n[text]), begin + len(item) + limit)
             d, end = distance(item, laid[a:z], limit, free=True)
             if d <= limit:
                 size = distance(item[::-1], laid[a : a + end][::-1], d)[1]
@@ -228,7 +181,7 @@ def matches(
         fields = fields.add(c, "long")
     item_type = pa.array(pd.Series([], dtype="int64")).type if fields[1].dataType.simpleString() in ("bigint", "int") else pa.string()
     spark, out = docs.sparkSession, None
-    for index in blocks(benchmark, text, item_key):
+    for index in blocks(benchmark, text, item_key, percent):
         sent = spark.sparkContext.broadcast(index)
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

@@ -55,6 +55,29 @@ def test_recall_and_precision(spark):
         assert exact <= r.distance <= len(items[r.item_id]) // 5
 
 
+def test_every_edit_rate_up_to_the_limit(spark):
+    """No match within the limit is missed, and its distance is the least one, at each rate by itself."""
+    rnd = random.Random(9)
+    pool = [f"w{i}" for i in range(400)]
+    items = [[rnd.choice(pool) for _ in range(rnd.randrange(5, 60))] for _ in range(40)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    docs, rate = [], {}
+    for percent in (5, 10, 15, 20):
+        for i, x in enumerate(items):
+            t = [rnd.choice(pool) for _ in range(80)]
+            at = rnd.randrange(len(t) + 1)
+            t[at:at] = edited(x, len(x) * percent // 100, rnd)
+            rate[len(docs)] = (percent, i)
+            docs.append((len(docs), " ".join(t), "x"))
+    got = decontaminate.matches(spark.createDataFrame(docs, SCHEMA).drop("item_id"), bench).collect()
+    found = {(r.doc_id, r.item_id): r.distance for r in got}
+    for percent in (5, 10, 15, 20):
+        hit = [(d, i) in found for d, (p, i) in rate.items() if p == percent]
+        assert sum(hit) == len(hit), (percent, sum(hit), len(hit))
+    for (d, i), distance in found.items():
+        assert distance == edits(items[i], docs[d][1].split())
+
+
 def test_exact_copies_are_always_found(spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     texts = [r.text for r in bench.orderBy("item_id").collect()]
