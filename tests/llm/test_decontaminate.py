@@ -88,6 +88,16 @@ def test_exact_copies_are_always_found(spark):
     assert {(i, k) for i, k in enumerate(ids)} | {(1000 + i, k) for i, k in enumerate(ids)} <= exact
 
 
+def test_items_of_one_to_three_words_inside_a_sentence(spark):
+    rnd = random.Random(3)
+    pool = [f"w{i}" for i in range(300)]
+    items = [[f"i{i}" if k == 0 else rnd.choice(pool) for k in range(1 + i % 3)] for i in range(60)]
+    docs = [(i, " ".join([rnd.choice(pool) for _ in range(9)] + x + [rnd.choice(pool) for _ in range(9)])) for i, x in enumerate(items)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    rows = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.start, r.n_words, r.distance) for r in rows) == [(i, i, 9, len(x), 0) for i, x in enumerate(items)]
+
+
 def test_distance():
     def a(s):
         return np.array([hash(c) & 0xFFFF for c in s], np.uint64)
