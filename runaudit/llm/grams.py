@@ -21,6 +21,7 @@ from runaudit.llm.common import slices, table, utf8
 
 GRAM = 5
 BUCKETS = 1 << 18
+PASSAGE = 16  # grams over which a peak is taken: a word or two
 
 
 def bucket_ids(texts: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -85,32 +86,57 @@ class Ratio:
     def means(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Each text's number of grams and mean log ratio (0 without any)."""
         ids, n = bucket_ids(texts)
+        return n, self.mean_of(ids, n)
+
+    def mean_of(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0.0], np.cumsum(self.weights[ids], dtype=np.float64)])
         end = np.cumsum(n)
-        return n, np.round((total[end] - total[end - n]) / np.maximum(n, 1), 9)
+        return np.round((total[end] - total[end - n]) / np.maximum(n, 1), 9)
 
-    def score(self, docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-        """`keep` columns, `n_grams` and `log_ratio`."""
+    def peak_of(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Each text's largest mean log ratio over PASSAGE consecutive grams, or over all
+        it has if fewer (0 without any). Sums are whole numbers, so equal texts have equal peaks."""
+        total = np.concatenate([[0], np.cumsum(np.round(self.weights * 65536.0).astype(np.int64)[ids])])
+        end = np.cumsum(n)
+        out = (total[end] - total[end - n]) / np.maximum(n, 1)
+        long = n >= PASSAGE
+        if long.any():
+            sums = np.append(total[PASSAGE:] - total[:-PASSAGE], 0)
+            cuts = np.stack([(end - n)[long], end[long] - PASSAGE + 1], axis=1).ravel()
+            out[long] = np.maximum.reduceat(sums, cuts)[::2] / PASSAGE
+        return out / 65536.0
+
+    def score(self, docs: DataFrame, text: str, keep: list[str], peak: bool = False) -> DataFrame:
+        """`keep` columns, `n_grams` and `log_ratio`, the mean or the peak."""
         sent = docs.sparkSession.sparkContext.broadcast(self)  # BUCKETS floats
 
         def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, text):
-                n, mean = sent.value.means(utf8(batch, text))
-                yield table(**{c: batch.column(batch.schema.get_field_index(c)) for c in keep}, n_grams=n, log_ratio=mean)
+                ids, n = bucket_ids(utf8(batch, text))
+                found = sent.value.peak_of(ids, n) if peak else sent.value.mean_of(ids, n)
+                yield table(**{c: batch.column(batch.schema.get_field_index(c)) for c in keep}, n_grams=n, log_ratio=found)
 
         out = docs.select(*keep).schema.add("n_grams", "long").add("log_ratio", "double")
         return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(scored, out)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, text: str, key: str = "doc_id", bound: int = 1 << 16) -> DataFrame:
-    """(text, _good, _held) of labelled rows: _good is true where every label of the
-    key is fine (quality 1, not toxic), _held for a quarter of the keys, on which no
+    """(text, _good, _low, _toxic, _held) of labelled rows: _good is true where every label
+    of the key is fine (quality 1, not toxic), _low and _toxic where one is of low quality or toxic, _held for a quarter of the keys, on which no
     model is fitted. At most `bound` keys are taken, those with the
     least hash, so they can be sent to every task and no text is shuffled."""
-    said = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(fine()).alias("_good"))
+    said = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(fine()).alias("_good"), F.max(low()).alias("_low"), F.max(toxic()).alias("_toxic"))
     some = said.orderBy(F.xxhash64(key), key).limit(bound)
-    return docs.select(key, text).join(F.broadcast(some), key).select(text, "_good", (F.pmod(F.xxhash64(F.lit("held"), key), F.lit(4)) == 0).alias("_held"))
+    return docs.select(key, text).join(F.broadcast(some), key).select(text, "_good", "_low", "_toxic", (F.pmod(F.xxhash64(F.lit("held"), key), F.lit(4)) == 0).alias("_held"))
+
+
+def low() -> Column:
+    return F.coalesce(F.col("quality"), F.lit(0)) != 1
+
+
+def toxic() -> Column:
+    return F.coalesce(F.col("toxic"), F.lit(0)) != 0
 
 
 def fine() -> Column:
-    return (F.coalesce(F.col("quality"), F.lit(0)) == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
+    return ~low() & ~toxic()

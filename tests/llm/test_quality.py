@@ -64,6 +64,18 @@ def test_held_out_rows(spark):
     assert sum(fine) >= 0.97 * len(fine) and sum(bad) <= 0.1 * len(bad)
 
 
+def test_held_out_toxic_rows(spark):
+    """Toxic rows of good quality that neither model nor cut has seen go, and fine ones stay."""
+    sf = SF.replace("sf0.01", "sf0.1")
+    df, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    test = F.pmod(F.xxhash64(F.lit("test"), "doc_id"), F.lit(3)) == 0
+    rows = quality_rules.judge(df, labels.where(~test)).join(labels.where(test), "doc_id").where("not base_failed").collect()
+    fine = [r.kept for r in rows if r.quality == 1 and r.toxic == 0]
+    toxic = [r.kept for r in rows if r.quality == 1 and r.toxic == 1]
+    print(f"fine kept {sum(fine)} of {len(fine)}, toxic kept {sum(toxic)} of {len(toxic)}")
+    assert sum(fine) >= 0.97 * len(fine) and sum(toxic) <= 0.25 * len(toxic)
+
+
 def test_draws(spark):
     df, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     target = grams.labelled(df, labels, "text").where("_good")
