@@ -87,17 +87,57 @@ def repeated_runs(docs: DataFrame, min_lines: int, text: str, key: str) -> DataF
     ).select("doc", "row", "start", "last", "n_lines", F.col("fd").alias("source"), "source_line")
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
+def short_runs(docs: DataFrame, min_lines: int, min_words: int, text: str, key: str) -> DataFrame:
+    """(doc, row, start, last): runs of fewer than `min_lines` lines, with `min_words` words
+    or more, that start earlier somewhere else. Every size is ranked by itself, so a run
+    counts even where its lines were first met apart."""
+    lines = docs.where(F.col(key).isNotNull()).select(
+        F.col(key).alias("doc"), F.xxhash64(text).alias("row"), F.posexplode(numbered(text)).alias("i", "s")
+    )
+    named = stored(
+        lines.select(
+            "doc", "row", "i", F.col("s.j").alias("j"), F.col("s.j").alias("last"),
+            F.xxhash64("s.line").alias("h1"), F.xxhash64(F.lit("second"), "s.line").alias("h2"),
+            F.regexp_count("s.line", F.lit(_WORD + "+")).alias("words"),
+        ).distinct(),
+        "lines",
+    )
+    counted = named.select("doc", "row", F.col("i").alias("_at"), "words")
+    ranked, out = stored(classes(named, ["h1", "h2"]), "ranks"), None
+    for size in range(1, min_lines):
+        if size > 1:
+            ranked = doubled(ranked, 1)
+        later = ranked.where("fd < doc or (fd = doc and fi < i)").select(
+            "doc", "row", "i", "j", "last", F.explode(F.sequence(F.col("i"), F.col("i") + F.lit(size - 1))).alias("_at")
+        )
+        part = (
+            later.join(counted, ["doc", "row", "_at"])
+            .groupBy("doc", "row", "i", F.col("j").alias("start"), "last")
+            .agg(F.sum("words").alias("_words"))
+            .where(F.col("_words") >= min_words)
+            .select("doc", "row", "start", "last")
+        )
+        out = part if out is None else out.unionAll(part)
+    return out if out is not None else named.select("doc", "row", F.col("j").alias("start"), "last").limit(0)
+
+
+def dedup_lines(
+    docs: DataFrame, min_lines: int = 3, text: str = "text", key: str = "doc_id", min_words: int | None = None
+) -> DataFrame:
     """Every row of `docs` with all its columns; `text` without the repeated runs,
     `n_lines` and `n_deleted` counting its lines with a word, before and of those deleted.
 
     A line goes if `min_lines` consecutive lines around it, blank lines apart, also
     start at an earlier place: in a document with a smaller key, or further up in the
-    same one. Blank lines inside a deleted run go with it. Null keys have no order:
+    same one. With `min_words`, fewer lines do if together they have so many words; without
+    it, shorter runs stay however long their lines are. Blank lines inside a deleted run go with it. Null keys have no order:
     those rows stay whole. Null text stays null and has no lines. Rows equal in
     key and text are one text. An empty table gives no rows.
     """
-    runs = repeated_runs(docs, min_lines, text, key).groupBy("doc", "row").agg(
+    found = repeated_runs(docs, min_lines, text, key).select("doc", "row", "start", "last")
+    if min_words is not None:
+        found = found.unionAll(short_runs(docs, min_lines, min_words, text, key))
+    runs = found.groupBy("doc", "row").agg(
         F.collect_list(F.struct("start", "last")).alias("_runs")
     )
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]

@@ -45,6 +45,16 @@ def test_maximal_runs(spark):
     assert sorted((r.doc, r.start, r.last, r.n_lines, r.source, r.source_line) for r in runs.collect()) == [(2, 1, 4, 4, 1, 0), (3, 0, 2, 3, 1, 2)]
 
 
+def test_long_runs_of_few_lines(spark):
+    """With min_words, one or two lines of that many words go; lines first met apart count together."""
+    a, b, long = "a " * 30 + "a", "b " * 30 + "b", "c " * 60 + "c"
+    docs = [(1, f"x\n{a}\ny\n{long}"), (2, f"{b}\nz"), (3, f"p\n{a}\n\n{b}\nq"), (4, f"r\n{a}\n{b}\ns"), (5, f"t\n{long}\nu\n{a}"), (6, "x\nz")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, min_words=50).collect()}
+    assert got == {**dict(docs), 4: "r\ns", 5: f"t\nu\n{a}"}
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()} == dict(docs)
+
+
 def test_native_plan(spark):
     df = spark.createDataFrame([(1, "a\nb")], "doc_id long, text string")
     plan = line_dedup.dedup_lines(df)._jdf.queryExecution().toString()
