@@ -9,7 +9,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runaudit.llm import decontaminate, grams, line_dedup, minhash, packing, quality_classifier, quality_rules, rlz, sharding, suffix_array, token_files
+from runaudit.llm import (
+    decontaminate, grams, line_dedup, minhash, packing, periodic, pieces, quality_classifier, quality_rules, rlz, sharding,
+    suffix_array, token_files, turns,
+)
 from runaudit.llm.common import folder, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +130,48 @@ FROM raw LEFT JOIN gone USING (doc_id, j) GROUP BY doc_id
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in documents, up to a fifth of their words edited."""
     return decontaminate.matches(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged, with the cheapest edits that put it right."""
+    rows = load(spark, sf_dir, "conversations")
+    summary, left = turns.repair(turns.damage(rows))
+    sums = turns.digests(left).withColumnRenamed("conv", "_c")
+    known = rows.select("conv_id").distinct()
+    found = known.join(summary, F.col("conv_id").eqNullSafe(F.col("conv")), "left").join(sums, F.col("conv_id").eqNullSafe(F.col("_c")), "left")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return found.select(
+        "conv_id",
+        *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts),
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+@query
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces and back again."""
+    file = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode(load(spark, sf_dir, "documents"), file).select(
+        "doc_id", "n_tokens", "n_bytes", F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("spanned_bytes"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids",
+    )
+    keep = ["doc_id", "n_tokens", "n_bytes", "spanned_bytes", "ids_sha256"]
+    return pieces.decode(encoded, file, keep).select(*keep, F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every document, and what is left without them."""
+    found = periodic.collapse(periodic.plant(load(spark, sf_dir, "documents")))
+    best = F.col("strongest")
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"),
+        *(best[c].alias(c) for c in ("start", "length", "period")),
+        F.expr("(1000 * strongest.length) div strongest.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
