@@ -47,20 +47,34 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spare(columns: Sequence[str], *names: str) -> list[str]:
+    """Names that no column has (in any case): each as given, or with underscores before it."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def gapless(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, blocks: int = 256) -> DataFrame:
     """0-based gapless number within keys. Rows are dealt to hashed blocks and
     numbered there, so that no key is a single task; a block's offset comes from
-    the block counts, of which there are (number of keys) * blocks at most."""
-    keyed = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = keyed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    local = Window.partitionBy(*keys, "_b").orderBy(*order)
-    numbered = keyed.withColumn("_rn", F.row_number().over(local))
+    the block counts, of which there are (number of keys) * blocks at most. Names of columns
+    do not matter, but `out` is replaced."""
+    df = df.drop(out)
+    block, place, before_, count = spare([*df.columns, out], "_b", "_rn", "_off", "_n")
+    keyed = df.withColumn(block, F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
+    before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy(*keys, block).agg(F.count(F.lit(1)).alias(count))
+    offsets = counts.select(*keys, block, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(before_))
+    local = Window.partitionBy(*keys, block).orderBy(*order)
+    numbered = keyed.withColumn(place, F.row_number().over(local))
     return (
-        numbered.join(offsets, [*keys, "_b"])
-        .withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("long"))
-        .drop("_b", "_rn", "_off")
+        numbered.join(offsets, [*keys, block])
+        .withColumn(out, (F.col(before_) + F.col(place) - 1).cast("long"))
+        .drop(block, place, before_)
     )
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runaudit.llm.common import gapless, slices, stored
+from runaudit.llm.common import gapless, slices, spare, stored
 from runaudit.llm.tokens import encoder, texts
 
 UNIT = 8  # tokens; a piece wastes fewer than this by rounding
@@ -82,6 +82,21 @@ def best_pattern(value: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     return float(best[room]), counts
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """Inverse by elimination with the largest pivot. Only element-wise operations: threads of
+    a linear algebra library cannot stall the driver, nor change the last digits."""
+    size = len(matrix)
+    rows = np.hstack([matrix.astype(float), np.eye(size)])
+    for i in range(size):
+        pivot = i + int(np.argmax(np.abs(rows[i:, i])))
+        rows[[i, pivot]] = rows[[pivot, i]]
+        rows[i] /= rows[i, i]
+        factor = rows[:, i].copy()
+        factor[i] = 0
+        rows -= factor[:, None] * rows[i]
+    return rows[:, size:]
+
+
 def column_generation(demand: np.ndarray, rounds: int = 4000) -> list[tuple[np.ndarray, float]]:
     """Patterns over the classes with demand and how often each is used, by the
     revised simplex method; the basis starts with one pattern per class."""
@@ -98,17 +113,19 @@ def column_generation(demand: np.ndarray, rounds: int = 4000) -> list[tuple[np.n
         bound = max(bound, amount.sum() / worth)
         if amount.sum() <= bound * (1 + GAP):
             break
-        step = inverse @ counts[used]
+        held = counts[used]
+        some = np.flatnonzero(held)
+        step = (inverse[:, some] * held[some]).sum(axis=1)
         ratio = np.where(step > _EPS, amount / np.where(step > _EPS, step, 1), np.inf)
         out = int(np.argmin(ratio))
         amount = np.maximum(amount - ratio[out] * step, 0)
         amount[out] = ratio[out]
-        basis[:, out] = counts[used]
+        basis[:, out] = held
         row = inverse[out] / step[out]
         inverse -= np.outer(step, row)
         inverse[out] = row
         if turn % 500 == 499:  # against rounding errors
-            inverse = np.linalg.inv(basis)
+            inverse = inverted(basis)
     return [(_spread(basis[:, j], used, room), amount[j]) for j in range(len(used)) if amount[j] > _EPS]
 
 
@@ -176,15 +193,21 @@ class Places:
 def pack(cut: DataFrame, length: int, order: list[Column], size: str = "length") -> DataFrame:
     """Adds `sequence_id` and `offset` to pieces of 1..`length` tokens. A sequence
     holds `length` at most, and its pieces lie end to end from 0. Equal pieces get
-    places of their own. An empty table gives no rows.
+    places of their own. Columns of any other name stay, those two are replaced. An empty
+    table gives no rows.
+
+    The packing depends on the pieces alone, not on the machine: the solver adds and
+    multiplies in one order.
     """
     room = length // UNIT
-    cut = stored(cut.withColumn("_class", (F.ceil(F.col(size) / UNIT) - 1).cast("int")), "pieces")
+    cut = cut.drop("sequence_id", "offset")
+    of_class, rank = spare([*cut.columns, "sequence_id", "offset"], "_class", "_rank")
+    cut = stored(cut.withColumn(of_class, (F.ceil(F.col(size) / UNIT) - 1).cast("int")), "pieces")
     demand = np.zeros(room, np.int64)
-    for c, n in cut.groupBy("_class").count().collect():  # room rows at most
+    for c, n in cut.groupBy(of_class).count().collect():  # room rows at most
         demand[c] = n
     places = Places.of(rounded(demand, column_generation(demand)), room)
-    ranked = gapless(cut, ["_class"], order, "_rank")
+    ranked = gapless(cut, [of_class], order, rank)
 
     @F.pandas_udf("long")
     def place(classes: pd.Series, ranks: pd.Series) -> pd.Series:
@@ -192,7 +215,7 @@ def pack(cut: DataFrame, length: int, order: list[Column], size: str = "length")
 
     inside = Window.partitionBy("sequence_id").orderBy(F.desc(size), *order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        ranked.withColumn("sequence_id", place("_class", "_rank"))
+        ranked.withColumn("sequence_id", place(of_class, rank))
         .withColumn("offset", F.coalesce(F.sum(size).over(inside), F.lit(0)))
-        .drop("_class", "_rank")
+        .drop(of_class, rank)
     )

@@ -30,12 +30,13 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder(dict):
-    """Ids of texts as little-endian unsigned 32-bit integers, with an end id. The
-    strings of special tokens are ordinary text."""
+    """Ids of texts as little-endian unsigned 32-bit integers, with an end id: those of the
+    library's plain call. A text that holds the string of an added token, in any case, goes
+    to it whole."""
 
     def __init__(self, file: str, end: int):
         self.tokenizer, self.end, self.before = Tokenizer.from_file(file), array("I", [end]).tobytes(), {}
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.folds = self.tokenizer.normalizer is not None
 
@@ -73,7 +74,7 @@ class Encoder(dict):
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return self.end
-        if not plain(text):
+        if not plain(text) or any(map(text.lower().__contains__, self.added)):
             return self.whole(text) + self.end
         first, *rest = text.split(" ")
         return self.whole(first) + b"".join(map(self.__getitem__, rest)) + self.end

@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 import zlib
 from functools import cache
 from itertools import accumulate
@@ -19,7 +22,6 @@ WORD, BYTE = (public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byt
 @cache
 def plain(file, end):
     made = Tokenizer.from_file(file)
-    made.encode_special_tokens = True
     return lambda t: np.array([*made.encode(t or "", add_special_tokens=False).ids, end], "<u4")
 
 
@@ -28,6 +30,7 @@ def test_encoder_is_exact(file, end):
     rnd = random.Random(1)
     letters = "ab \n\t'sèΣ́漢字１٣ 　\r\x0b\x1c\x85!?…’ ll N<|endoftext|> ÉßµªİZ.,;"
     texts = ["".join(rnd.choice(letters) for _ in range(rnd.randrange(30))) for _ in range(4000)]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|> y.", "<|ENDOFTEXT|> z"]
     texts += ["", None, " ", "\n", "Don't stop, it's  fine.\nReally fine. ", "é" * 3000, "word " * 4000]
     for t in texts:
         assert encoder(file, end)(t) == plain(file, end)(t).tobytes(), t
@@ -86,6 +89,9 @@ def test_packing(spark):
 def test_odd_packing(spark):
     rows = [(1, None, 9), (2, "", 9), (3, "word " * 2047, 9), (4, "word " * 5000, 9)] + [(10 + i, "a b c", 9) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, offset long")
+    named = packing.pieces(df, BYTE, 1, 2048).selectExpr("*", "length _class", "start _rank", "start _b", "1 _off", "2 sequence_id", "length __b")
+    again = packing.pack(named, 2048, [F.col("doc_id"), F.col("start")])
+    assert {(r._class, r._rank, r._b, r._off) for r in again.collect()} == {(r.length, r.start, r.start, 1) for r in named.collect()}
     order = [F.col("doc_id"), F.col("start")]
     got = packing.pack(packing.pieces(df, BYTE, 1, 2048), 2048, order).collect()
     check_packing(got, {r[0]: plain(BYTE, 1)(r[1]) for r in rows}, 2048)
@@ -94,6 +100,30 @@ def test_odd_packing(spark):
     assert packing.pack(packing.pieces(df.limit(0), BYTE, 1, 2048), 2048, order).count() == 0
 
 
+def test_packing_is_the_same_with_any_threads(tmp_path):
+    """The solver ends in time and gives one packing, whatever threads a linear algebra library has."""
+    code = """
+import hashlib
+import numpy as np
+from runaudit.llm import packing
+rng = np.random.default_rng(4)
+demand = np.bincount(np.minimum(255, rng.gamma(1.3, 40, 3000).astype(int)), minlength=256)
+found = packing.rounded(demand, packing.column_generation(demand))
+print(hashlib.sha256(repr([(c.tolist(), t) for c, t in found]).encode()).hexdigest())
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    said = []
+    for threads in ("1", "8"):
+        env = {**os.environ, "OPENBLAS_NUM_THREADS": threads, "OMP_NUM_THREADS": threads, "PYTHONPATH": root}
+        said.append(subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=180, check=True).stdout)
+    assert said[0] == said[1] and len(said[0].strip()) == 64
+
+
+def test_inverse():
+    a = np.random.default_rng(5).integers(0, 9, (40, 40)).astype(float)
+    assert np.abs((packing.inverted(a)[:, :, None] * a[None]).sum(axis=1) - np.eye(40)).max() < 1e-8
+
+
 def test_column_generation_meets_its_bound():
     demand = np.bincount(np.random.default_rng(3).integers(0, 64, 5000), minlength=64)
     patterns = packing.rounded(demand, packing.column_generation(demand))
