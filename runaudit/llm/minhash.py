@@ -30,6 +30,7 @@ ROWS, BANDS = 4, 24
 HASHES = ROWS * BANDS
 SLACK = 4.5  # standard errors a signature may lie below the threshold
 BLOCK = 512  # members of a bucket that are compared at once with as many others
+SET = ["node", "s1", "s2"]  # a node's set: one document may have several
 COLUMNS = 1 << 14  # shingles counted at once
 
 
@@ -56,6 +57,12 @@ def shingle_sets(texts: list[bytes], known: WordHashes) -> list[np.ndarray]:
     return out
 
 
+def identity(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets apart, as two longs."""
+    one, two = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64).tolist()
+    return one, two
+
+
 def minima(sets: list[np.ndarray]) -> np.ndarray:
     """Signatures, one row of HASHES unsigned 32-bit minima per non-empty set."""
     a, b = _coefficients()
@@ -94,8 +101,7 @@ def signatures(docs: DataFrame, text: str, key: str) -> DataFrame:
                 got = minima([sets[i] for i in full])
                 keys = band_keys(got)
                 for j, i in enumerate(full):
-                    whole = xxhash.xxh3_128_digest(sets[i].tobytes())
-                    s1[i], s2[i] = np.frombuffer(whole, np.int64)
+                    s1[i], s2[i] = identity(sets[i])
                     bands[i] = keys[j].view(np.int64)
                     packed[i] = got[j].tobytes()
             yield table(
@@ -115,10 +121,9 @@ def signatures(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def agree(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
-    """Pairs whose signatures agree about as often as the threshold asks for."""
+    """Pairs of nodes whose signatures agree about as often as the threshold asks for."""
     floor = HASHES * max(0.0, threshold - SLACK * (threshold * (1 - threshold) / HASHES) ** 0.5)
-    a = signed.select(F.col("node").alias("a"), F.col("signature").alias("_sa"))
-    b = signed.select(F.col("node").alias("b"), F.col("signature").alias("_sb"))
+    a, b = (signed.select(F.struct(*SET).alias(c), F.col("signature").alias(f"_s{c}")) for c in "ab")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,8 +132,8 @@ def agree(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
                 enough = pa.array((one == two).sum(axis=1) >= floor)
                 yield batch.select([0, 1]).filter(enough)
 
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", "_sa", "_sb")
-    return both.mapInArrow(close, "a long, b long")
+    both = pairs.join(a, "a").join(b, "b").select(F.col("a.node").alias("a"), F.col("b.node").alias("b"), "_sa", "_sb")
+    return both.mapInArrow(close, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text: str, key: str, percent: int) -> DataFrame:
@@ -149,16 +154,17 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, key: str, percent: in
 
 
 def star_pairs(buckets: DataFrame) -> DataFrame:
-    """Each member of a bucket with the bucket's least and greatest member."""
-    ends = buckets.groupBy("band").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo < _hi")
-    met = buckets.join(ends, "band")
-    low = met.where("node > _lo").select(F.col("_lo").alias("a"), F.col("node").alias("b"))
-    high = met.where("node < _hi and node > _lo").select(F.col("node").alias("a"), F.col("_hi").alias("b"))
-    return low.union(high).distinct()
+    """Each set of a bucket with the bucket's least and greatest one, as structs of SET."""
+    one = F.struct(*SET)
+    ends = buckets.groupBy("band").agg(F.min(one).alias("_lo"), F.max(one).alias("_hi")).where("_lo < _hi")
+    met = buckets.join(ends, "band").select(one.alias("_one"), "_lo", "_hi")
+    low = met.where("_one > _lo").select(F.col("_lo").alias("a"), F.col("_one").alias("b"))
+    high = met.where("_one < _hi and _one > _lo").select(F.col("_one").alias("a"), F.col("_hi").alias("b"))
+    return low.union(high).where("a.node != b.node").distinct()
 
 
 def rest_blocks(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """(band, i, j, left, node, component): buckets that still hold several
+    """(band, i, j, left, node, s1, s2, component): buckets that still hold several
     components, cut to blocks. Members outside the bucket's commonest component are
     on the left, each in one block i and beside every block j; all members are on the right,
     each in one block j and beside every block i. So every pair that could
@@ -172,10 +178,10 @@ def rest_blocks(buckets: DataFrame, found: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("_k"),
     )
     mixed = placed.join(stored(main.where("_k > 1").drop("_k"), "mixed"), "band")
-    spot = F.xxhash64("node", F.lit("block"))
+    spot = F.xxhash64(*SET, F.lit("block"))
 
     def side(rows, i, j, left):
-        return rows.select("band", i.alias("i"), j.alias("j"), F.lit(left).alias("left"), "node", "component")
+        return rows.select("band", i.alias("i"), j.alias("j"), F.lit(left).alias("left"), *SET, "component")
 
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     one = side(mixed.where("component != _main"), F.pmod(spot, F.col("_i")).cast("int"), every("_j"), True)
@@ -201,7 +207,7 @@ def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sides(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows on the left, rows on the right, and which of them differ in component."""
-    left, part = block.column(3).to_numpy(zero_copy_only=False), block.column(5).to_numpy()
+    left, part = block.column("left").to_numpy(zero_copy_only=False), block.column("component").to_numpy()
     one, two = np.flatnonzero(left), np.flatnonzero(~left)
     return one, two, part[one][:, None] != part[two][None, :]
 
@@ -212,7 +218,7 @@ def close_rows(block: pa.RecordBatch, floor: float) -> np.ndarray:
     one, two, near = sides(block)
     if not near.any():
         return one[:0]
-    signed = np.frombuffer(b"".join(block.column(6).to_pylist()), np.uint32).reshape(-1, HASHES)
+    signed = np.frombuffer(b"".join(block.column("signature").to_pylist()), np.uint32).reshape(-1, HASHES)
     here = int(np.flatnonzero(band_keys(signed[:1])[0].view(np.int64) == block.column(0)[0].as_py())[0])
     same = np.zeros(near.shape, np.int16)
     for band in range(BANDS):
@@ -228,7 +234,7 @@ def close_rows(block: pa.RecordBatch, floor: float) -> np.ndarray:
 def exact_links(block: pa.RecordBatch, percent: int) -> list[tuple[int, int]]:
     """Links between components, one for a row on the left and a component."""
     one, two, apart = sides(block)
-    sets = [np.frombuffer(x, np.uint64) for x in block.column(6).to_pylist()]
+    sets = [np.frombuffer(x, np.uint64) for x in block.column("shingles").to_pylist()]
     if not len(one) or not len(two):
         return []
     size = np.array([len(x) for x in sets])
@@ -242,7 +248,7 @@ def exact_links(block: pa.RecordBatch, percent: int) -> list[tuple[int, int]]:
         both += held[one] @ held[two].T
     union = size[one][:, None] + size[two][None, :] - both
     x, y = np.nonzero(apart & (100 * both >= percent * union))
-    node, part = block.column(4).to_numpy(), block.column(5).to_numpy()
+    node, part = block.column("node").to_numpy(), block.column("component").to_numpy()
     return list({(int(node[one[a]]), int(part[two[b]])): (int(node[one[a]]), int(node[two[b]])) for a, b in zip(x, y, strict=True)}.values())
 
 
@@ -253,7 +259,7 @@ def rest_links(
     by signature first, then exactly. Pairs stay inside the tasks; what comes out
     is members, and one link per member and component."""
     floor = HASHES * max(0.0, limit - SLACK * (limit * (1 - limit) / HASHES) ** 0.5)
-    fields = "band long, i int, j int, left boolean, node long, component long"
+    fields = "band long, i int, j int, left boolean, node long, s1 long, s2 long, component long"
     names = [f.split()[0] for f in fields.split(", ")]
     block = ["band", "i", "j"]
 
@@ -275,15 +281,17 @@ def rest_links(
         known = WordHashes()
         for batch in slices(batches, text):
             sets = shingle_sets(utf8(batch, text), known)
-            yield table(node=batch.column(0), shingles=pa.array([x.tobytes() for x in sets], pa.binary()))
+            named = np.array([identity(x) for x in sets], np.int64).reshape(-1, 2)
+            shingles = pa.array([x.tobytes() for x in sets], pa.binary())
+            yield table(node=batch.column(0), s1=named[:, 0], s2=named[:, 1], shingles=shingles)
 
-    signed = rest_blocks(buckets, found).join(nodes.select("node", "signature"), "node").select(*names, "signature")
+    signed = rest_blocks(buckets, found).join(nodes.select(*SET, "signature"), SET).select(*names, "signature")
     kept = stored(together(signed).mapInArrow(close, fields), "rest")
     if kept.isEmpty():
         return kept.select(F.col("node").alias("a"), F.col("node").alias("b"))
     some = docs.join(kept.select(F.col("node").alias(key)).distinct(), key).select(key, text)
-    sets = stored(some.mapInArrow(listed, "node long, shingles binary"), "sets")
-    full = kept.join(sets, "node").select(*names, "shingles")
+    sets = stored(some.mapInArrow(listed, "node long, s1 long, s2 long, shingles binary").dropDuplicates(SET), "sets")
+    full = kept.join(sets, SET).select(*names, "shingles")
     return stored(together(full).mapInArrow(linked, "a long, b long"), "links")
 
 
@@ -305,7 +313,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, text: str = "text", key:
         sets.join(firsts, ["s1", "s2"]).where(F.col(key) == F.col("node")).select("node", "s1", "s2", "bands", "signature").dropDuplicates(["node", "s1", "s2"]),
         "nodes",
     )
-    buckets = nodes.select("node", F.explode("bands").alias("band"))
+    buckets = nodes.select(*SET, F.explode("bands").alias("band"))
     crowded = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("band")
     buckets = stored(buckets.join(crowded, "band"), "buckets")
 

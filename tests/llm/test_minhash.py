@@ -45,6 +45,19 @@ def test_given_documents(spark):
     assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == want
 
 
+def test_repeated_keys_in_mixed_buckets(spark, monkeypatch):
+    """Texts that share bands but are not linked, and keys that have several of them."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rnd = random.Random(8)
+    docs = [(rnd.randrange(45), t) for t in near_copies(90, rnd)]
+    sets = [(d, brute.shingles(t)) for d, t in docs]
+    links = [(a, b) for i, (a, x) in enumerate(sets) for b, y in sets[:i] if 100 * len(x & y) >= 95 * len(x | y)]
+    found = brute.components({d for d, _ in docs}, links)
+    got = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 95).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((d, len(s), found[d]) for d, s in sets)
+    assert 10 < len(set(found.values())) < 45
+
+
 def test_odd_tables(spark):
     schema = "doc_id long, text string"
     assert minhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
