@@ -27,7 +27,8 @@ from runaudit.llm.common import slices, table, utf8
 from runaudit.llm.tokens import lists
 
 SIGN = "▁"  # stands for a space
-PARTS = 1 << 19  # parts a worker remembers for sure, and as many of the ones before
+PARTS = 1 << 18  # parts a worker remembers for sure, and as many of the ones before
+BATCH = 1 << 13  # parts that the library gets at once
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 codecs.register_error("one_sign_a_byte", lambda e: ("�" * (e.end - e.start), e.end))
@@ -104,7 +105,7 @@ class Model(dict):
         self.prefix, self.trim = spec.normalizer_spec.add_dummy_prefix, spec.normalizer_spec.remove_extra_whitespaces
         self.ids = {p.piece: i for i, p in enumerate(spec.pieces) if p.type == NORMAL}
         self.other = {p.piece: i for i, p in enumerate(spec.pieces) if p.type == BYTE}
-        self.packed = {p: (array("I", [i]).tobytes(), array("I", [len(p.encode())]).tobytes()) for p, i in self.ids.items()}
+        self.packed = {p: array("I", [i, len(p.encode())]).tobytes() for p, i in self.ids.items()}
         self.unknown, self.by_bytes = kinds.index(UNKNOWN), spec.trainer_spec.byte_fallback
         self.surface = [p.piece.replace(SIGN, " ").encode() if p.type == NORMAL else b"" for p in spec.pieces]
         self.surface[self.unknown] = (spec.trainer_spec.unk_surface or " ⁇ ").encode()
@@ -115,7 +116,7 @@ class Model(dict):
         spec.normalizer_spec.precompiled_charsmap = b""
         spec.normalizer_spec.add_dummy_prefix = spec.normalizer_spec.remove_extra_whitespaces = False
         self.merge = SentencePieceProcessor(model_proto=spec.SerializeToString())
-        self.before: dict[str, tuple[bytes, bytes]] = {}
+        self.before: dict[str, bytes] = {}
 
     def parts_pattern(self) -> str:
         """Parts: signs and the characters after them that occur in longer pieces;
@@ -128,33 +129,34 @@ class Model(dict):
         letters = re.sub(r"([\\\]\[^-])", r"\\\1", joined)
         return f"{SIGN}*[{letters}]+|{SIGN}+|."
 
-    def spelled(self, pieces: list[str]) -> tuple[bytes, bytes]:
-        """Ids of a part's pieces, and the bytes of it that each takes, as packed
+    def spelled(self, pieces: list[str]) -> bytes:
+        """For each of a part's pieces its id and the bytes of the part that it takes, as
         unsigned 32-bit integers. Bytes of one character but the last take none."""
         known = list(map(self.packed.get, pieces))
         if None not in known:
-            return b"".join([a for a, _ in known]), b"".join([b for _, b in known])
-        ids, taken, begun, size = array("I"), array("I"), 0, 0
+            return b"".join(known)
+        out, begun, size = array("I"), 0, 0
         for piece in pieces:
-            ids.append(self.other.get(piece, self.unknown) if piece not in self.ids else self.ids[piece])
             if piece in self.ids or piece not in self.other:
-                taken.append(len(piece.encode()))
+                out.extend((self.ids.get(piece, self.unknown), len(piece.encode())))
                 continue
             if not begun:
                 size = begun = max(1, len(format(int(piece[3:5], 16), "08b").split("0")[0]))
             begun -= 1
-            taken.append(0 if begun else size)
-        return ids.tobytes(), taken.tobytes()
+            out.extend((self.other[piece], 0 if begun else size))
+        return out.tobytes()
 
     def learn(self, parts: list[str]) -> None:
         """Have the library merge parts not seen before; it gets them normalised."""
-        if len(self) + len(parts) > PARTS:
-            self.before = dict(self)
-            self.clear()
-        for part, pieces in zip(parts, self.merge.encode(parts, out_type=str, num_threads=1), strict=True):
-            self[part] = self.spelled(pieces)
-
-    def __missing__(self, part: str) -> tuple[bytes, bytes]:
+        for a in range(0, len(parts), BATCH):
+            some = parts[a : a + BATCH]
+            if len(self) + len(some) > PARTS:
+                self.before = dict(self)
+                self.clear()
+            for part, pieces in zip(some, self.merge.encode(some, out_type=str, num_threads=1), strict=True):
+                self[part] = self.spelled(pieces)
+
+    def __missing__(self, part: str) -> bytes:
         got = self.before.get(part)
         if got is None:
             got = self.spelled(self.merge.encode(part, out_type=str))
@@ -199,9 +201,8 @@ class Model(dict):
         parts = [self.part.findall(norm) for norm, _ in seen]
         self.learn([p for p in {p for each in parts for p in each} if p not in self and p not in self.before])
         for each, (_, align) in zip(parts, seen, strict=True):
-            got = list(map(self.__getitem__, each))
-            ids = np.frombuffer(b"".join([a for a, _ in got]), "<u4")
-            taken = np.frombuffer(b"".join([b for _, b in got]), "<u4").astype(np.int64)
+            got = np.frombuffer(b"".join(map(self.__getitem__, each)), "<u4").reshape(-1, 2)
+            ids, taken = got[:, 0], got[:, 1].astype(np.int64)
             if not self.by_bytes and len(ids):  # neighbouring unknown characters are one piece
                 last = (ids != self.unknown) | (np.append(ids[1:], self.unknown + 1) != self.unknown)
                 ids, taken = ids[last], np.diff(np.cumsum(taken)[last], prepend=0)

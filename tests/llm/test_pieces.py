@@ -63,6 +63,7 @@ def test_longest_prefix():
 
 def test_forgotten_parts(monkeypatch):
     monkeypatch.setattr(pieces, "PARTS", 5)
+    monkeypatch.setattr(pieces, "BATCH", 3)
     with open(FILE, "rb") as f:
         ours = pieces.Model(f.read())
     library = sentencepiece.SentencePieceProcessor(model_file=FILE)
