@@ -1,10 +1,10 @@
 """Substring dedup by relative Lempel-Ziv parsing.
 
 The reference is the corpus itself in document order. Its phrases, the windows of
-WINDOW words, are indexed in blocks dealt by phrase digest, each phrase with the
+`window` words, are indexed in blocks dealt by their anchors, each phrase with the
 least document that holds it; every phrase of a document is looked up in the one
 block that could hold it, so no block of any document goes unread. From those
-references a document is parsed greedily: a factor is extended word by word while
+references a document is parsed from left to right: a factor goes on word by word while
 the same earlier document holds the next phrase. Factors overlap where they meet, so windows across
 a boundary are checked like all others. Words inside factors are removed.
 """
@@ -22,12 +22,6 @@ from runaudit.llm import spans
 from runaudit.llm.common import slices, stored, table, utf8
 
 
-def index_shared(marks: DataFrame) -> DataFrame:
-    """Grams that two documents hold, in different texts."""
-    ends = [f(c).alias(f"_{c}{i}") for c in ("doc", "row") for i, f in enumerate((F.min, F.max))]
-    return marks.groupBy("gram").agg(*ends).where("_doc0 < _doc1 and _row0 < _row1")
-
-
 def parse(docs: DataFrame, window: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc, row, text, n_words, n_removed, kept, factors) for every row of `docs`:
     `kept` is the words that are left, joined by one space, `factors` the
@@ -39,24 +33,14 @@ def parse(docs: DataFrame, window: int = 50, text: str = "text", key: str = "doc
     are judged against smaller keys only. An empty table gives no rows.
     """
     rows = spans.keyed(docs, text, key)
-    marks = stored(spans.anchors(rows, window), "anchors")
-    whole = stored(spans.copies(marks), "copies")
-    rest = marks.where("pos >= 0")
-    shared = stored(index_shared(rest).select("gram"), "shared")  # a table, so that a common gram's join can be split
-    found = spans.windows(rows, spans.places(rest, shared, whole), window)
-    hits = stored(spans.earlier(found), "hits")
+    hits = stored(spans.earlier(rows, window), "hits")
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             out: dict = {c: [] for c in ("n_words", "n_removed", "kept", "factors")}
-            for raw, hit, source in zip(utf8(batch, "text"), *(batch.column(i).to_pylist() for i in (3, 4)), strict=True):
+            for raw, hit in zip(utf8(batch, "text"), batch.column(3).to_pylist(), strict=True):
                 words = raw.split()
-                got = []
-                if source is not None:
-                    got = [(0, len(words), source)]
-                elif hit:
-                    pos = np.array([h["pos"] for h in hit])
-                    got = spans.factors(pos, np.array([h["source"] for h in hit], object), window)
+                got = spans.factors(*spans.held_windows(hit), window) if hit else []
                 keep = np.ones(len(words), bool)
                 for a, n, _ in got:
                     keep[a : a + n] = False
@@ -72,9 +56,9 @@ def parse(docs: DataFrame, window: int = 50, text: str = "text", key: str = "doc
             made["factors"] = pa.array(out["factors"], pa.list_(entry))
             yield table(doc=batch.column(0), row=batch.column(1), **made)
 
-    joined = rows.join(hits, ["doc", "row"], "left").join(whole, ["doc", "row"], "left")
+    joined = rows.join(hits, ["doc", "row"], "left")
     fields = f"doc {spans.kind(rows)}, row long, n_words long, n_removed long, kept string"
     fields += f", factors array<struct<start: long, length: long, source: {spans.kind(rows)}>>"
-    return joined.select("doc", "row", "text", "hits", "source").mapInArrow(parsed, fields)
+    return joined.select("doc", "row", "text", "hits").mapInArrow(parsed, fields)
 
 

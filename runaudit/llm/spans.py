@@ -1,16 +1,21 @@
 """Repeated word windows across documents: the steps that the substring
 operators share.
 
-A window of 50 words holds 20-word grams at 31 places. The least of their
-hashes marks a place that depends on the window's words alone, so equal windows
-have their marked gram in common: only grams found in two documents can lie in a
-repeated window, and only windows whose marked gram is such a gram are compared,
-by a 128-bit digest of all their words.
+A window of 50 words holds 20-word grams at 31 places. The first of the least of
+their hashes is its anchor: its place depends on the window's words alone, so equal windows
+have equal anchors. The windows of one anchor follow one another; their words together are
+the anchor's reach, some 65 words around it.
+
+Only anchors whose gram two documents hold can lie in a repeated window. Such a match is
+extended left and right at once: where the whole reach is that of an earlier document,
+one row settles all its windows. Where a match begins or ends within the reach, it is extended
+word by word: one anchor for every different reach is compared by each window, by a 128-bit digest
+of all its words, and what is found holds for every anchor of that reach.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runaudit.llm.common import WordHashes, rolling, slices, sliding, starts, table, utf8
+from runaudit.llm.common import WordHashes, rolling, slices, starts, stored, table, utf8
 
 GRAM = 20
 _MOST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -29,136 +34,151 @@ def keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
     return docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
 
 
-class Marks:
-    """Grams of texts laid end to end, and the least gram of each window."""
-
-    def __init__(self, hashes: np.ndarray, n: np.ndarray, window: int):
-        self.window, self.span = window, window - GRAM + 1
-        self.text, self.place, self.opens = starts(n, window)
-        total = len(hashes)
-        begins = starts(n, GRAM)[2]
-        self.grams = np.full(total, _MOST)
-        if total >= GRAM:
-            got = rolling(hashes, GRAM)
-            at = np.flatnonzero(begins[: len(got)])
-            self.grams[at] = np.minimum(got[at], _MOST - np.uint64(1))
-
-    def least(self, grams: np.ndarray) -> np.ndarray:
-        """Least gram of the window opening at each word; the top value if none opens."""
-        out = np.full(len(grams), _MOST)
-        if len(grams) >= self.span:
-            got = sliding(grams, self.span)
-            out[: len(got)] = np.where(self.opens[: len(got)], got, _MOST)
-        return out
-
-    def marked(self) -> np.ndarray:
-        """Words at which a gram begins that is the least of some window."""
-        if len(self.grams) < self.span:
-            return np.zeros(0, np.int64)
-        least = self.least(self.grams)
-        least = np.where(least == _MOST, np.uint64(0), least)
-        around = sliding(np.concatenate([np.zeros(self.span - 1, np.uint64), least]), self.span, least=False)
-        return np.flatnonzero((self.grams == around) & (around > 0))
-
-
-def anchors(rows: DataFrame, window: int, following: bool = False) -> DataFrame:
-    """(doc, row, pos, gram, more): a row for every marked gram; `more` is the hash
-    of the words after it if `following`. A row with pos -n per text of n >= `window`
-    words carries the 128-bit identity of its word sequence in gram and more."""
+def kind(rows: DataFrame) -> str:
+    return rows.schema["doc"].dataType.simpleString()
+
+
+def first_least(values: np.ndarray, w: int) -> np.ndarray:
+    """Place of the first least of each w consecutive values; shorter by w - 1."""
+    size, at = 1, np.arange(len(values))
+
+    def better(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(values[b] < values[a], b, a)
+
+    while size * 2 <= w:
+        at = better(at[:-size], at[size:])
+        size *= 2
+    n = len(values) - w + 1
+    return better(at[:n], at[w - size : w - size + n])
+
+
+def reaches(hashes: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts of n words laid end to end, for each anchor: its text, the place there of its first
+    window, the number of its windows, and its gram."""
+    none = np.zeros(0, np.int64)
+    text, place, opens = starts(n, window)
+    span = window - GRAM + 1
+    if len(hashes) < window or not opens.any():
+        return none, none, none, np.zeros(0, np.uint64)
+    grams = rolling(hashes, GRAM)
+    begin = np.flatnonzero(opens)
+    anchor = first_least(grams, span)[begin]
+    cut = np.flatnonzero((np.diff(anchor) != 0) | (np.diff(begin) != 1)) + 1
+    first = np.concatenate([[0], cut])
+    count = np.diff(np.concatenate([first, [len(begin)]]))
+    return text[begin[first]], place[begin[first]], count, grams[anchor[first]]
+
+
+def anchors(rows: DataFrame, window: int) -> DataFrame:
+    """(doc, row, start, count, gram, h1, h2): a row for every anchor, h1 and h2 being the
+    128-bit digest of its reach."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in slices(batches, "text"):
             hashes, n = known.of(utf8(batch, "text"))
-            marks = Marks(hashes, n, window)
-            at = marks.marked()
-            ends = np.cumsum(n)
-            long = np.flatnonzero(n >= window)
-            whole = [xxhash.xxh3_128_digest(hashes[ends[i] - n[i] : ends[i]].tobytes()) for i in long]
-            identity = np.frombuffer(b"".join(whole), np.int64).reshape(-1, 2)
-            text = np.concatenate([marks.text[at], long])
-            more: np.ndarray = np.zeros(len(at), np.int64)
-            if following and len(at):
-                ahead = at + GRAM
-                inside = (ahead < len(hashes)) & (marks.place[at] + 2 * GRAM <= n[marks.text[at]])
-                more[inside] = marks.grams[ahead[inside]].view(np.int64)
+            text, start, count, gram = reaches(hashes, n, window)
+            raw = memoryview(hashes.tobytes())
+            begin = 8 * ((np.cumsum(n) - n)[text] + start)
+            end = begin + 8 * (count + window - 1)
+            whole = b"".join([xxhash.xxh3_128_digest(raw[a:z]) for a, z in zip(begin.tolist(), end.tolist(), strict=True)])
+            digest = np.frombuffer(whole, np.int64).reshape(-1, 2)
             doc, row = (batch.column(batch.schema.get_field_index(c)).take(pa.array(text)) for c in ("doc", "row"))
             yield table(
                 doc=doc,
                 row=row,
-                pos=np.concatenate([marks.place[at], -n[long]]).astype(np.int32),
-                gram=np.concatenate([marks.grams[at].view(np.int64), identity[:, 0]]),
-                more=np.concatenate([more, identity[:, 1]]),
+                start=start.astype(np.int32),
+                count=count.astype(np.int32),
+                gram=gram.view(np.int64),
+                h1=digest[:, 0],
+                h2=digest[:, 1],
             )
 
-    return rows.where("doc is not null").mapInArrow(found, f"doc {kind(rows)}, row long, pos int, gram long, more long")
-
+    fields = f"doc {kind(rows)}, row long, start int, count int, gram long, h1 long, h2 long"
+    return rows.where("doc is not null").mapInArrow(found, fields)
 
-def kind(rows: DataFrame) -> str:
-    return rows.schema["doc"].dataType.simpleString()
-
-
-def copies(marks: DataFrame) -> DataFrame:
-    """(doc, row, n, source): texts of n words whose whole word sequence is that of a
-    smaller doc."""
-    whole = marks.where("pos < 0")
-    first = whole.groupBy("gram", "more").agg(F.min("doc").alias("source"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return whole.join(first, ["gram", "more"]).where("source < doc").select("doc", "row", (-F.col("pos")).alias("n"), "source").distinct()
-
-
-def places(marks: DataFrame, shared: DataFrame, whole: DataFrame) -> DataFrame:
-    """(doc, row, at): the places of a text's marked grams that are shared; copies of
-    a whole text, which need no windows, are left out."""
-    at = marks.join(shared.select("gram"), "gram").groupBy("doc", "row").agg(F.collect_set("pos").alias("at"))
-    return at.join(whole.select("doc", "row"), ["doc", "row"], "left_anti")
 
-
-def windows(rows: DataFrame, at: DataFrame, window: int) -> DataFrame:
-    """(doc, row, pos, h1, h2): digests of the windows whose marked gram is shared."""
+def windows(rows: DataFrame, reps: DataFrame, window: int) -> DataFrame:
+    """(doc, h1, h2, at, w1, w2): digests of each window of the anchors in `reps`, at places 0, 1, ... of
+    their reach."""
+    at = reps.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "count", "h1", "h2")).alias("at"))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in slices(batches, "text"):
-            batch = batch.filter(batch.column(3).is_valid())
-            if not batch.num_rows:
-                continue
             hashes, n = known.of(utf8(batch, "text"))
-            marks = Marks(hashes, n, window)
-            lists = batch.column(3)
-            first = np.repeat(np.cumsum(n) - n, np.diff(lists.offsets.to_numpy()))
-            a, z = lists.offsets[0].as_py(), lists.offsets[-1].as_py()
-            held = np.full(len(hashes), _MOST)
-            spots = lists.values.to_numpy()[a:z] + first
-            held[spots] = marks.grams[spots]
-            least = marks.least(marks.grams)
-            hit = np.flatnonzero((least != _MOST) & (marks.least(held) == least))
-            doc, row = (batch.column(i).take(pa.array(marks.text[hit])) for i in (0, 1))
+            one, two = rolling(hashes, window), rolling(hashes, window, 0xD6E8FEB86659FD93)
+            lists = batch.column(2)
+            of = np.repeat(np.arange(len(n)), np.diff(lists.offsets.to_numpy()))
+            places = lists.flatten()
+            start, count, h1, h2 = (places.field(c).to_numpy() for c in ("start", "count", "h1", "h2"))
+            spot = np.repeat((np.cumsum(n) - n)[of] + start, count)
+            offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             yield table(
-                doc=doc,
-                row=row,
-                pos=marks.place[hit].astype(np.int32),
-                h1=rolling(hashes, window)[hit].view(np.int64),
-                h2=rolling(hashes, window, 0xD6E8FEB86659FD93)[hit].view(np.int64),
+                doc=batch.column(0).take(pa.array(np.repeat(of, count))),
+                h1=np.repeat(h1, count),
+                h2=np.repeat(h2, count),
+                at=offset.astype(np.int32),
+                w1=one[spot + offset].view(np.int64),
+                w2=two[spot + offset].view(np.int64),
             )
 
-    held = rows.join(at, ["doc", "row"], "left").select("doc", "row", "text", "at")
-    return held.mapInArrow(digests, f"doc {kind(rows)}, row long, pos int, h1 long, h2 long")
-
-
-def earlier(found: DataFrame) -> DataFrame:
-    """(doc, row, hits): the windows of a text that a smaller doc holds too, each
-    with the least such doc."""
-    first = found.groupBy("h1", "h2").agg(F.min("doc").alias("source"))
-    hit = found.join(first, ["h1", "h2"]).where("source < doc")
-    return hit.groupBy("doc", "row").agg(F.collect_list(F.struct("pos", "source")).alias("hits"))
+    held = rows.join(at, ["doc", "row"]).select("doc", "text", "at")
+    return held.mapInArrow(digests, f"doc {kind(rows)}, h1 long, h2 long, at int, w1 long, w2 long")
+
+
+def shared_grams(marks: DataFrame) -> DataFrame:
+    """Grams that two documents hold."""
+    return marks.groupBy("gram").agg(F.min("doc").alias("_a"), F.max("doc").alias("_z")).where("_a < _z").select("gram")
+
+
+def earlier(rows: DataFrame, window: int, shared: Callable[[DataFrame], DataFrame] = shared_grams) -> DataFrame:
+    """(doc, row, hits): for each text the anchors with windows that a smaller doc holds too,
+    as structs (start, count, source, parts). All windows start..start + count - 1 are held by
+    `source`, if it is not null, but where a struct (at, source) of `parts` names a smaller one for
+    the window start + at; if it is null, only those are."""
+    marks = stored(anchors(rows, window), "anchors")
+    grams = stored(shared(marks), "grams")  # a table, so that a common gram's join can be split
+    near = stored(marks.join(grams, "gram"), "near")
+    reach = ["h1", "h2"]
+    classes = stored(near.groupBy(*reach).agg(F.min("doc").alias("source"), F.min("gram").alias("gram")), "reaches")
+    several = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("gram")
+    mixed = classes.join(several, "gram").select(*reach, "source")
+    reps = (
+        near.join(mixed, reach).where(F.col("doc") == F.col("source"))
+        .groupBy(*reach).agg(F.min(F.struct("doc", "row", "start", "count")).alias("_r")).select("_r.*", *reach)
+    )
+    held = stored(windows(rows, reps, window), "windows")
+    first = held.groupBy("w1", "w2").agg(F.min("doc").alias("source"), F.max("doc").alias("_z")).where("source < _z")
+    parts = (
+        held.join(first.drop("_z"), ["w1", "w2"]).where("source < doc")
+        .groupBy(*reach).agg(F.collect_list(F.struct("at", "source")).alias("parts"))
+    )
+    found = classes.select(*reach, "source").join(parts, reach, "left")
+    met = near.join(found, reach).where("source < doc or parts is not null")
+    source = F.when(F.col("source") < F.col("doc"), F.col("source")).alias("source")
+    return met.groupBy("doc", "row").agg(F.collect_list(F.struct("start", "count", source, "parts")).alias("hits"))
+
+
+def held_windows(hits: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a text's windows that a smaller doc holds, in order, and the least such doc of each."""
+    pos: list[int] = []
+    source: list = []
+    for hit in sorted(hits, key=lambda h: h["start"]):
+        of = [hit["source"]] * hit["count"]
+        for part in hit["parts"] or ():
+            of[part["at"]] = part["source"]
+        for i, s in enumerate(of):
+            if s is not None:
+                pos.append(hit["start"] + i)
+                source.append(s)
+    return np.array(pos, np.int64), np.array(source, object)
 
 
 def factors(pos: np.ndarray, source: np.ndarray, window: int) -> list[tuple[int, int, int]]:
     """(start, length, source): from the first window on, a factor runs as long as
     every next window is held by the same source; the next one begins with the
     first window that reaches beyond it, so factors overlap at their boundary."""
-    order = np.argsort(pos, kind="stable")
-    pos, source = pos[order], source[order]
     cut = np.flatnonzero((np.diff(pos) != 1) | (source[1:] != source[:-1])) + 1
     first = np.concatenate([[0], cut]) if len(pos) else cut
     last = np.concatenate([cut, [len(pos)]])[: len(first)] - 1

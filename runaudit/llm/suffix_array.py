@@ -1,10 +1,11 @@
 """Substring dedup by a sparse suffix array.
 
-Only suffixes at minimiser positions are retained: the places whose gram has the
+Only the suffixes at anchors are retained: the content-selected places whose gram has the
 least hash in some window of the wanted length, which equal passages have in
-common. The retained suffixes are sorted by their leading grams, dealt to tasks by
-range, and each is compared with its neighbour; where two documents share a
-leading gram, the match is extended left and right to the windows around it.
+common. They are sorted by their leading gram and dealt to tasks by range, and each is
+compared with its neighbour. Where neighbours of different documents agree on the gram, the match is
+extended left and right: over the whole reach of the anchor at once, and window by window
+where that differs (see `spans`).
 """
 
 from __future__ import annotations
@@ -15,18 +16,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from runaudit.llm import spans
-from runaudit.llm.common import stored, table
-from runaudit.llm.rlz import index_shared
+from runaudit.llm.common import table
 
 
 def sorted_shared(marks: DataFrame) -> DataFrame:
-    """Leading grams on which neighbouring suffixes of different documents, and of
-    different texts, agree. A range of equal grams may be cut between tasks: the first and the last
+    """Leading grams on which neighbouring suffixes of different documents agree. A range
+    of equal grams may be cut between tasks: the first and the last
     suffix of every task come out too and are compared among themselves."""
-    order = ["gram", "more", "doc", "pos"]
+    order = ["gram", "doc"]
     kind = spans.kind(marks)
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,22 +37,18 @@ def sorted_shared(marks: DataFrame) -> DataFrame:
                 yield batch.slice(0, 1)
             else:
                 batch = pa.concat_batches([last, batch])
-            gram = batch.column(0).to_numpy()
+            gram, doc = batch.column(0).to_numpy(), batch.column(1)
             same = np.flatnonzero(gram[1:] == gram[:-1])
-            pairs = []
-            for column in (batch.column(1), batch.column(2)):
-                unlike = pc.not_equal(column.take(pa.array(same)), column.take(pa.array(same + 1)))
-                ends = same[unlike.to_numpy(zero_copy_only=False)]
-                _, once = np.unique(gram[ends], return_index=True)
-                pairs += [ends[once], ends[once] + 1]
-            yield batch.take(pa.array(np.unique(np.concatenate(pairs)), pa.int64()))
+            unlike = pc.not_equal(doc.take(pa.array(same)), doc.take(pa.array(same + 1)))
+            ends = same[unlike.to_numpy(zero_copy_only=False)]
+            _, once = np.unique(gram[ends], return_index=True)
+            yield batch.take(pa.array(np.unique(np.concatenate([ends[once], ends[once] + 1])), pa.int64()))
             last = batch.slice(batch.num_rows - 1)
         if last is not None:
             yield last
 
-    ranged = marks.repartitionByRange(*order).sortWithinPartitions(*order)
-    met = ranged.select("gram", "doc", "row").mapInArrow(neighbours, f"gram long, doc {kind}, row long")
-    return index_shared(met)
+    ranged = marks.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    return spans.shared_grams(ranged.mapInArrow(neighbours, f"gram long, doc {kind}"))
 
 
 def repeated_spans(docs: DataFrame, window: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -66,19 +61,13 @@ def repeated_spans(docs: DataFrame, window: int = 50, text: str = "text", key: s
     rows.
     """
     rows = spans.keyed(docs, text, key)
-    marks = stored(spans.anchors(rows, window, following=True), "suffixes")
-    whole = stored(spans.copies(marks), "copies")
-    rest = marks.where("pos >= 0")
-    shared = stored(sorted_shared(rest).select("gram"), "shared")  # a table, so that a common gram's join can be split
-    found = spans.windows(rows, spans.places(rest, shared, whole), window)
     kind = spans.kind(rows)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict = {c: [] for c in ("i", "start", "n_words", "source")}
             for i, hits in enumerate(batch.column(2).to_pylist()):
-                pos, source = np.array([h["pos"] for h in hits]), np.array([h["source"] for h in hits], object)
-                for a, n, s in spans.factors(pos, source, window):
+                for a, n, s in spans.factors(*spans.held_windows(hits), window):
                     for c, v in zip(out, (i, a, n, s), strict=True):
                         out[c].append(v)
             doc, row = (batch.column(k).take(pa.array(out["i"], pa.int64())) for k in (0, 1))
@@ -86,5 +75,4 @@ def repeated_spans(docs: DataFrame, window: int = 50, text: str = "text", key: s
             yield table(doc=doc, row=row, **made, source=pa.array(out["source"], batch.schema.field("doc").type))
 
     fields = f"doc {kind}, row long, start long, n_words long, source {kind}"
-    partial = spans.earlier(found).select("doc", "row", "hits").mapInArrow(merged, fields)
-    return partial.unionAll(whole.select("doc", "row", F.lit(0).cast("long"), F.col("n").cast("long"), "source"))
+    return spans.earlier(rows, window, sorted_shared).select("doc", "row", "hits").mapInArrow(merged, fields)
