@@ -115,19 +115,23 @@ def time_bin(t: Column, period: Column, bin_frames: int = V.BIN_FRAMES) -> Colum
     return F.floor(t / (period * bin_frames)).cast("long")
 
 
+BLOCK_BINS = 4096  # bins a cell may hold at once
+
+
 def explode_bins(
     df: DataFrame, start: str, end: str, period: Column, bin_frames: int = V.BIN_FRAMES
 ) -> DataFrame:
     """Put an interval into every time bin it touches, so a range join has an
-    equality key and one run never meets itself pairwise."""
-    return df.withColumn(
-        "bin",
-        F.explode(
-            F.sequence(
-                time_bin(F.col(start), period, bin_frames),
-                time_bin(F.col(end), period, bin_frames),
-            )
-        ),
+    equality key and one run never meets itself pairwise. Blocks of bins are
+    dealt first, so that no cell holds all bins of a long interval."""
+    a, z = (time_bin(F.col(c), period, bin_frames) for c in (start, end))
+    block = lambda b: F.floor(b / F.lit(BLOCK_BINS)).cast("long")
+    first = F.col("_block") * BLOCK_BINS
+    bins = F.sequence(F.greatest(a, first), F.least(z, first + BLOCK_BINS - 1))
+    return (
+        df.withColumn("_block", F.explode(F.sequence(block(a), block(z))))
+        .withColumn("bin", F.explode(bins))
+        .drop("_block")
     )
 
 

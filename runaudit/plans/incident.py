@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from runaudit import vocab as V
 from runaudit.operators import intervals as I
+from runaudit.operators.ranges import overlapping, points_in
 from runaudit.operators.scan import Fold
 from runaudit.plans import questions as Q
 
@@ -49,9 +50,7 @@ def incident_report(
     ok = F.col("verdict") == V.ANSWERED
     window = bound.summary.filter(ok).select(*keys, "t0", "t1")
 
-    inside = verdicts.withColumnRenamed("t", "vt").join(window, "run_id").filter(
-        F.col("vt").between(F.col("t0"), F.col("t1"))
-    )
+    inside = points_in(verdicts.withColumnRenamed("t", "vt"), window, ["run_id"], "vt", "t0", "t1")
     refused = F.col("outcome") != V.PERMIT
     item = F.struct(
         "seq", "verdict_id", F.col("vt").alias("t"), "outcome", "fault", "declaration_id", "region_id", "area"
@@ -71,9 +70,7 @@ def incident_report(
 
     visits = (
         I.merge_adjacent(
-            intersects.join(window, "run_id").filter(
-                (F.col("t_start") <= F.col("t1")) & (F.col("t_end") >= F.col("t0"))
-            ),
+            overlapping(intersects, window, ["run_id"], "t_start", "t_end", "t0", "t1"),
             period, [], keys=("run_id", "t", "entity_id"),
         )
     )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from runaudit import vocab as V
 from runaudit.functions import scalars as S
 from runaudit.operators import intervals as I
+from runaudit.operators.ranges import overlapping, points_in
 from runaudit.operators.scan import Fold
 
 
@@ -93,7 +94,13 @@ def separation_timeline(
     sep = edges.filter(F.col("type") == "SEPARATION").select(
         "run_id", "entity_id", "t_start", "t_end", "frame_first", "min_distance"
     )
-    grid = asks.select("run_id", "entity_id").join(
+    # an ask that is refused whatever the frames hold meets no frame
+    open_ = (
+        _scene_base(asks, entities, layers)
+        .filter(F.col("declared") & F.col("edge_layer"))
+        .join(sep.select("run_id", "entity_id").distinct(), ["run_id", "entity_id"], "left_semi")
+    )
+    grid = open_.select("run_id", "entity_id").join(
         frames.select("run_id", "frame_idx", "t"), "run_id"
     )
     hit = I.covering(grid, sep, ("run_id", "entity_id"), period, how="left")
@@ -222,11 +229,9 @@ def reachable_entities(
     q = checked.filter(good).select(
         "run_id", "t0", "t1", S.quantize_time(F.col("t0")).alias("_w0"), S.quantize_time(F.col("t1")).alias("_w1")
     )
+    met = edges.filter(F.col("type") == "INTERSECTS").select("run_id", "entity_id", "t_start", "t_end")
     inside = (
-        edges.filter(F.col("type") == "INTERSECTS")
-        .select("run_id", "entity_id", "t_start", "t_end")
-        .join(q, "run_id")
-        .filter((F.col("t_start") <= F.col("_w1")) & (F.col("t_end") >= F.col("_w0")))
+        overlapping(met, q, ["run_id"], "t_start", "t_end", "_w0", "_w1")
         .select("run_id", "t0", "t1", "entity_id")
         .distinct()
     )
@@ -435,9 +440,7 @@ def declared_bound(
 
 def violations(asks: DataFrame, meta: DataFrame, rows: DataFrame) -> Answer:
     """Q9: refused actions in a closed window; record times are exact."""
-    v = rows.join(asks.select("run_id", "t0", "t1"), "run_id").filter(
-        F.col("t").between(F.col("t0"), F.col("t1"))
-    )
+    v = points_in(rows, asks.select("run_id", "t0", "t1"), ["run_id"], "t", "t0", "t1")
     refused = F.col("outcome") != V.PERMIT
     agg = v.groupBy("run_id", "t0", "t1").agg(
         F.count(F.lit(1)).alias("adjudications"),
