@@ -57,14 +57,14 @@ define("poses", """
     SELECT run_id, frame_idx, p0, p1 FROM s1 UNION ALL SELECT run_id, frame_idx, p0, p1 FROM s2)""", "s0", "s1", "s2")
 
 
-def raster(src, radius, extra=""):
-    """Distinct cells of the body at every pose of src(run_id, frame_idx, p0, p1)."""
+def raster(src, radius, first="0.5", key="frame_idx"):
+    """Distinct cells of the body at every pose of src(run_id, key, p0, p1)."""
     return f"""
-  SELECT DISTINCT run_id, frame_idx, (ix + 524288) * 1048576 + (iy + 524288) AS cell FROM (
+  SELECT DISTINCT run_id, {key}, (ix + 524288) * 1048576 + (iy + 524288) AS cell FROM (
     SELECT *, unnest(range(floor((least(y, y + len * sin(a)) - {radius}) / 0.08)::BIGINT, floor((greatest(y, y + len * sin(a)) + {radius}) / 0.08)::BIGINT + 1)) AS iy FROM (
       SELECT *, unnest(range(floor((least(x, x + len * cos(a)) - {radius}) / 0.08)::BIGINT, floor((greatest(x, x + len * cos(a)) + {radius}) / 0.08)::BIGINT + 1)) AS ix FROM (
-        SELECT run_id, frame_idx, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, p0 AS a, 0.5::DOUBLE AS len FROM {src}
-        UNION ALL SELECT run_id, frame_idx, 0.5::DOUBLE * cos(p0), 0.5::DOUBLE * sin(p0), p0 + p1, 0.4::DOUBLE FROM {src})))
+        SELECT run_id, {key}, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, p0 AS a, {first}::DOUBLE AS len FROM {src}
+        UNION ALL SELECT run_id, {key}, {first}::DOUBLE * cos(p0), {first}::DOUBLE * sin(p0), p0 + p1, 0.4::DOUBLE FROM {src})))
   WHERE ((ix + 0.5) * 0.08::DOUBLE - x) * cos(a) + ((iy + 0.5) * 0.08::DOUBLE - y) * sin(a) BETWEEN 0 AND len
     AND abs(((iy + 0.5) * 0.08::DOUBLE - y) * cos(a) - ((ix + 0.5) * 0.08::DOUBLE - x) * sin(a)) <= {radius}::DOUBLE"""
 
@@ -112,21 +112,49 @@ SQL["emit_declarations"] = build("""
 
 PASSIVATING = """('no_declaration', 'stale_declaration', 'envelope_overclaim', 'out_of_vocabulary_action', 'unattributed',
   'replay_or_reorder', 'watchdog_expiry', 'escalation_failure')"""
+UNIT_Q = "run_id % 628 / 100.0::DOUBLE - 3.14::DOUBLE AS p0, run_id % 200 / 100.0::DOUBLE - 1.0::DOUBLE AS p1"
+define("unit_pose", f"SELECT run_id, 0 AS k, {UNIT_Q} FROM (SELECT DISTINCT run_id FROM decl)", "decl")
+define("unit_wide", raster("unit_pose", "0.15", key="k"), "unit_pose")
+define("unit_long", raster("unit_pose", "0.15", first="0.8", key="k"), "unit_pose")
+define("unit_reach", """
+  SELECT run_id, far, count(*) AS cells, max(sqrt(pow(abs(((cell // 1048576 - 524288) + 0.5) * 0.08::DOUBLE) + 0.04::DOUBLE, 2)
+    + pow(abs(((cell % 1048576 - 524288) + 0.5) * 0.08::DOUBLE) + 0.04::DOUBLE, 2))) - (0.5::DOUBLE + 0.4::DOUBLE + 0.15::DOUBLE + 0.08::DOUBLE / sqrt(2.0::DOUBLE)) AS excess
+  FROM (SELECT run_id, false AS far, cell FROM unit_wide UNION ALL SELECT run_id, true, cell FROM unit_long) GROUP BY 1, 2""", "unit_wide", "unit_long")
+SQL["envelope_excess"] = build("""
+  SELECT d.run_id, declaration_id, cells, round_even(excess * 1e4, 0)::BIGINT AS excess_e4, excess > 0 AS overclaim
+  FROM decl d JOIN unit_reach u ON u.run_id = d.run_id AND u.far = (order_key % 60 = 1)""", "decl", "unit_reach")
+define("act_pose", f"""
+  SELECT run_id, seq, p0 + CASE WHEN seq % 7 = 3 THEN 0.35::DOUBLE ELSE seq * 13 % 10 / 200.0::DOUBLE END AS p0, p1
+  FROM (SELECT run_id, seq, {UNIT_Q} FROM verd)""", "verd")
+define("act_cells", raster("act_pose", "0.05", key="seq"), "act_pose")
+define("act_out", """
+  SELECT a.run_id, a.seq, max(CASE WHEN w.cell IS NULL THEN 1 ELSE 0 END) AS out_wide, max(CASE WHEN l.cell IS NULL THEN 1 ELSE 0 END) AS out_long
+  FROM act_cells a LEFT JOIN unit_wide w ON w.run_id = a.run_id AND w.cell = a.cell LEFT JOIN unit_long l ON l.run_id = a.run_id AND l.cell = a.cell GROUP BY 1, 2""",
+  "act_cells", "unit_wide", "unit_long")
+CLAMPED = """
+  SELECT o.run_id, o.t, o.side, o.seq, o.declaration_id, CASE WHEN x THEN 'CLAMP' ELSE outcome END AS outcome,
+    CASE WHEN x THEN 'declaration_action_mismatch' ELSE fault END AS fault FROM (
+    SELECT o.*, coalesce(outcome = 'PERMIT' AND CASE WHEN d.order_key % 60 = 1 THEN out_long ELSE out_wide END = 1, false) AS x
+    FROM {src} o LEFT JOIN act_out a ON o.side = 1 AND a.run_id = o.run_id AND a.seq = o.seq
+    LEFT JOIN decl d ON d.run_id = o.run_id AND d.declaration_id = o.declaration_id) o"""
 define("ev", """
-  SELECT run_id, t_issued AS t, 0 AS side, seq, declaration_id, CASE WHEN order_key % 40 = 7 THEN seq - 1 ELSE seq END AS claimed, horizon * 8 AS horizon,
-    CASE WHEN order_key % 70 = 2 THEN 'lunge' ELSE action_class END AS action_class,
-    CASE WHEN order_key % 50 = 3 THEN 'unattributed' WHEN order_key % 70 = 2 THEN 'out_of_vocabulary_action' WHEN order_key % 60 = 1 THEN 'envelope_overclaim' END AS offer_fault, NULL::BOOLEAN AS escapes FROM decl
-  UNION ALL SELECT v.run_id, v.t, 1, v.seq, NULL, NULL, NULL, NULL, NULL, outcome = 'CLAMP' FROM verd v""", "decl", "verd")
+  SELECT e.*, s.t_start FROM (
+    SELECT d.run_id, t_issued AS t, 0 AS side, seq, declaration_id, CASE WHEN order_key % 40 = 7 THEN seq - 1 ELSE seq END AS claimed, horizon * 8 AS horizon,
+      CASE WHEN order_key % 70 = 2 THEN 'lunge' ELSE action_class END AS action_class,
+      CASE WHEN order_key % 50 = 3 THEN 'unattributed' WHEN order_key % 70 = 2 THEN 'out_of_vocabulary_action' WHEN excess > 0 THEN 'envelope_overclaim' END AS offer_fault
+    FROM decl d JOIN unit_reach u ON u.run_id = d.run_id AND u.far = (order_key % 60 = 1)
+    UNION ALL SELECT v.run_id, v.t, 1, v.seq, NULL, NULL, NULL, NULL, NULL FROM verd v) e
+  JOIN (SELECT run_id, min(t_issued) AS t_start FROM decl GROUP BY 1) s ON s.run_id = e.run_id""", "decl", "verd", "unit_reach")
 define("ev1", """
   SELECT *, row_number() OVER w AS pos, max(claimed) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS maxseq,
-    greatest(coalesce(max(CASE WHEN side = 0 THEN t END) OVER w, 0.0), 0.0) AS heard,
+    greatest(coalesce(max(CASE WHEN side = 0 THEN t END) OVER w, t_start), t_start) AS heard,
     last_value(CASE WHEN side = 0 THEN declaration_id END IGNORE NULLS) OVER w AS oid, last_value(CASE WHEN side = 0 THEN t END IGNORE NULLS) OVER w AS ot,
     last_value(CASE WHEN side = 0 THEN horizon END IGNORE NULLS) OVER w AS oh
   FROM ev WINDOW w AS (PARTITION BY run_id ORDER BY t, side, seq)""", "ev")
 FIND = """CASE WHEN offer_fault IN ('unattributed', 'out_of_vocabulary_action') THEN offer_fault WHEN claimed <= {m} THEN 'replay_or_reorder' ELSE offer_fault END"""
 define("ev2", f"""
   SELECT *, CASE WHEN side = 0 THEN {FIND.format(m='maxseq')} WHEN t - heard > 400 THEN 'watchdog_expiry' WHEN oid IS NULL THEN 'no_declaration'
-      WHEN t > ot + oh THEN 'stale_declaration' WHEN escapes THEN 'declaration_action_mismatch' END AS cand FROM ev1""", "ev1")
+      WHEN t > ot + oh THEN 'stale_declaration' END AS cand FROM ev1""", "ev1")
 define("ev3", f"""
   SELECT e.*, f.p AS fp, coalesce(pos > f.p, false) AS aft, CASE WHEN side = 0 THEN {FIND.format(m='f.m')} END AS later
   FROM ev2 e LEFT JOIN (SELECT run_id, min(pos) AS p, arg_min(maxseq, pos) AS m FROM (SELECT run_id, pos, coalesce(maxseq, -99) AS maxseq FROM ev2 WHERE cand IN {PASSIVATING}) GROUP BY 1) f ON f.run_id = e.run_id""", "ev2")
@@ -134,7 +162,42 @@ define("ev4", """
   SELECT *, CASE WHEN aft AND side = 0 THEN coalesce(later, CASE WHEN action_class <> 'escalate' THEN 'escalation_failure' END) WHEN NOT aft THEN cand END AS f0 FROM ev3""", "ev3")
 define("ev5", f"""
   SELECT *, CASE WHEN aft AND side = 1 THEN last_value(CASE WHEN f0 IN {PASSIVATING} THEN f0 END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY pos) ELSE f0 END AS fault FROM ev4""", "ev4")
-SQL["adjudicate_sql"] = build("""
-  SELECT run_id, t, side, seq, CASE WHEN side = 0 THEN declaration_id WHEN NOT aft AND (outcome IN ('PERMIT', 'CLAMP') OR fault = 'stale_declaration') THEN oid END AS declaration_id, outcome, fault FROM (
+define("ev6", """
+  SELECT run_id, t, side, seq, CASE WHEN side = 0 THEN declaration_id WHEN NOT aft AND (outcome = 'PERMIT' OR fault = 'stale_declaration') THEN oid END AS declaration_id, outcome, fault FROM (
     SELECT *, CASE WHEN aft AND side = 1 THEN 'SAFE_STATE' WHEN fault IN ('watchdog_expiry', 'escalation_failure') THEN 'SAFE_STATE'
-      WHEN fault = 'declaration_action_mismatch' THEN 'CLAMP' WHEN fault IS NOT NULL THEN 'VETO' WHEN side = 1 THEN 'PERMIT' END AS outcome FROM ev5) WHERE outcome IS NOT NULL""", "ev5")
+      WHEN fault IS NOT NULL THEN 'VETO' WHEN side = 1 THEN 'PERMIT' END AS outcome FROM ev5) WHERE outcome IS NOT NULL""", "ev5")
+SQL["adjudicate_sql"] = build(CLAMPED.format(src="ev6"), "ev6", "act_out", "decl")
+# the same as a state machine: one row a run and event, in order
+define("ma", """
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY t, side, seq) AS pos FROM (
+    SELECT * FROM ev UNION ALL
+    SELECT run_id, t, 2, seq, NULL, NULL, NULL, NULL, NULL, t_start FROM ev WHERE side = 1 AND run_id % 3 = 0 AND seq % 4 = 1)""", "ev")
+define("ms", f"""
+  SELECT run_id, 0::BIGINT AS pos, NULL::DOUBLE AS t, NULL::INTEGER AS side, NULL::BIGINT AS seq, NULL::VARCHAR AS named, NULL::VARCHAR AS outcome, NULL::VARCHAR AS finding,
+    min(t_start) AS heard, NULL::VARCHAR AS oid, NULL::DOUBLE AS oend, NULL::BIGINT AS lastseq, NULL::VARCHAR AS fault, false AS acked, NULL::INTEGER AS cs, NULL::BIGINT AS cq
+  FROM ma GROUP BY run_id
+  UNION ALL
+  SELECT run_id, pos, t, side, seq,
+    CASE WHEN side = 0 THEN declaration_id WHEN side = 1 AND fault IS NULL AND (f IS NULL OR f = 'stale_declaration') THEN oid END,
+    CASE WHEN side = 2 THEN CASE WHEN fault IS NULL OR acked THEN 'REFUSED' ELSE 'ACKNOWLEDGED' END
+      WHEN side = 0 THEN CASE WHEN f IS NULL THEN NULL WHEN f = 'escalation_failure' THEN 'SAFE_STATE' ELSE 'VETO' END
+      WHEN fault IS NOT NULL OR f = 'watchdog_expiry' THEN 'SAFE_STATE' WHEN f IS NULL THEN 'PERMIT' ELSE 'VETO' END,
+    CASE WHEN side = 2 THEN CASE WHEN fault IS NULL THEN 'nothing_to_acknowledge' WHEN acked THEN 'already_acknowledged' ELSE fault END
+      WHEN side = 1 AND fault IS NOT NULL THEN fault ELSE f END,
+    CASE WHEN side = 0 THEN greatest(heard, t) ELSE heard END,
+    CASE WHEN f IS NOT NULL THEN NULL WHEN taken THEN declaration_id ELSE oid END, CASE WHEN taken THEN t + horizon ELSE oend END,
+    CASE WHEN taken THEN claimed ELSE lastseq END, CASE WHEN f IS NOT NULL THEN f WHEN taken THEN NULL ELSE fault END,
+    CASE WHEN f IS NOT NULL OR taken THEN false WHEN side = 2 THEN fault IS NOT NULL ELSE acked END,
+    CASE WHEN f IS NOT NULL THEN side ELSE cs END, CASE WHEN f IS NOT NULL THEN seq ELSE cq END
+  FROM (SELECT *, side = 0 AND f IS NULL AND (fault IS NULL OR acked) AS taken FROM (
+    SELECT e.run_id, e.pos, e.t, e.side, e.seq, e.declaration_id, e.claimed, e.horizon, m.heard, m.oid, m.oend, m.lastseq, m.fault, m.acked, m.cs, m.cq,
+      CASE WHEN e.side = 0 THEN CASE WHEN offer_fault IN ('unattributed', 'out_of_vocabulary_action') THEN offer_fault WHEN claimed <= lastseq THEN 'replay_or_reorder' WHEN offer_fault IS NOT NULL THEN offer_fault
+          WHEN m.fault IS NOT NULL AND NOT m.acked AND action_class <> 'escalate' THEN 'escalation_failure' END
+        WHEN e.side = 1 AND m.fault IS NULL THEN CASE WHEN e.t - m.heard > 400 THEN 'watchdog_expiry' WHEN m.oid IS NULL THEN 'no_declaration' WHEN e.t > m.oend THEN 'stale_declaration' END END AS f
+    FROM ms m JOIN ma e ON e.run_id = m.run_id AND e.pos = m.pos + 1))""", "ma")
+define("ma_out", """
+  SELECT run_id, t, side, seq, named AS declaration_id, outcome, finding AS fault FROM ms WHERE side < 2 AND outcome IS NOT NULL""", "ms")
+SQL["adjudicate"] = build(CLAMPED.format(src="ma_out"), "ma_out", "act_out", "decl")
+SQL["acknowledge"] = build("""
+  SELECT run_id, t, seq, outcome, finding AS fault, CASE WHEN outcome = 'ACKNOWLEDGED' THEN cs END AS cause_side, CASE WHEN outcome = 'ACKNOWLEDGED' THEN cq END AS cause_seq
+  FROM ms WHERE side = 2""", "ms")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runaudit.catalog import register
+from runaudit.functions import canonical as K
 from runaudit.functions import geometry as G
 from runaudit.functions import scalars as S
 from runaudit.operators import adjudicate as A
 from runaudit.operators import replan as P
+from runaudit.operators.scan import durable
 from runaudit.sources.bindings import Records, Scene
 
 # Fixed values of the arm and scene the fixtures describe.
@@ -113,10 +115,9 @@ def reach_overlap(spark, sf):
 def escape_cells(spark, sf):
     """Body cells of each frame outside the region its 4-frame group's
     first frame declared with a wider arm."""
-    wide = G.Limits(**{**ARM.__dict__, "link_radius": 0.15})
     m = moving(Scene(spark, sf))
     declared = m.filter(F.col("frame_idx") % 4 == 0).select(
-        "run_id", (F.col("frame_idx") / 4).cast("long").alias("g"), G.body_cells(q(), wide, CELL).alias("declared")
+        "run_id", (F.col("frame_idx") / 4).cast("long").alias("g"), G.body_cells(q(), WIDE, CELL).alias("declared")
     )
     body = m.select(
         "run_id", "frame_idx", F.floor(F.col("frame_idx") / 4).alias("g"), G.body_cells(q(), ARM, CELL).alias("body")
@@ -150,37 +151,91 @@ def emit_declarations(spark, sf):
     )
 
 
-def events(rc: Records, acks: bool = False):
-    """Offers from orders with planted findings; actions from line items."""
+WIDE = G.Limits(**{**ARM.__dict__, "link_radius": 0.15})
+LONG = G.Limits(**{**WIDE.__dict__, "link_lengths": (0.8, 0.4)})  # reaches beyond the bound of WIDE
+POLICY_KEY = b"policy"
+UNIT_Q = ("run_id % 628 / 100.0 - 3.14", "run_id % 200 / 100.0 - 1.0")  # the pose a run works about
+
+
+def offers(rc: Records):
+    """Declarations with the region each declares and a signature. Every 60th claims with a longer
+    arm, every 50th is signed with another key."""
     k = F.col("order_key")
-    d = rc.declarations().select(
+    pose = [F.expr(e) for e in UNIT_Q]
+    cells = F.when(k % 60 == 1, G.body_cells(pose, LONG, CELL)).otherwise(G.body_cells(pose, WIDE, CELL))
+    d = rc.declarations().withColumn("region", cells)
+    text = K.signing_bytes(K.Format(), K.head("Declaration"), F.lit("0" * 64))
+    signed = d.withColumn("declared_envelope", F.encode(F.array_join(F.col("region").cast("array<string>"), ","), "UTF-8"))
+    mac = F.when(k % 50 == 3, K.hmac_sha256(b"other", text)).otherwise(K.hmac_sha256(POLICY_KEY, text))
+    return durable(signed.withColumn("mac", mac))
+
+
+def action_bodies(rc: Records):
+    """Cells of the body at every action: near the run's pose, but turned away at every seventh."""
+    turn = F.when(F.col("seq") % 7 == 3, F.lit(0.35)).otherwise(F.col("seq") * 13 % 10 / 200.0)
+    pose = [F.expr(UNIT_Q[0]) + turn, F.expr(UNIT_Q[1])]
+    return rc.verdicts().select("run_id", "seq", G.body_cells(pose, ARM, CELL).alias("body"))
+
+
+def events(rc: Records, offered, acks: bool = False):
+    """Offers from orders, judged by what they hold; actions from line items. A run is listened to
+    from its first offer on."""
+    k = F.col("order_key")
+    valid = K.mac_state(K.Format(), POLICY_KEY, K.head("Declaration"), F.lit("0" * 64), F.col("mac")) == "valid"
+    excess = A.overclaim(F.col("region"), CELL, WIDE)
+    said = F.when(k % 70 == 2, F.lit("lunge")).otherwise(F.col("action_class"))
+    d = offered.select(
         "run_id", F.col("t_issued").alias("t"), F.lit(0).alias("side"), "seq", "declaration_id",
-        F.when(k % 40 == 7, F.col("seq") - 1).otherwise(F.col("seq")).alias("claimed"), "horizon",
-        F.when(k % 70 == 2, F.lit("lunge")).otherwise(F.col("action_class")).alias("action_class"),
-        (k % 50 != 3).alias("_attributed"), ((k % 60 == 1).cast("int") - 0.5).alias("_excess"),
-        F.lit(None).cast("boolean").alias("escapes"),
+        F.when(k % 40 == 7, F.col("seq") - 1).otherwise(F.col("seq")).alias("claimed"),
+        (F.col("horizon") * 8).alias("horizon"), said.alias("action_class"),
+        A.offer_fault(valid, said, excess).alias("offer_fault"),
     )
-    d = d.withColumn("offer_fault", A.offer_fault(F.col("_attributed"), F.col("action_class"), F.col("_excess")))
     v = rc.verdicts().select(
         "run_id", "t", F.lit(1).alias("side"), "seq", F.lit(None).cast("string").alias("declaration_id"),
         F.lit(None).cast("long").alias("claimed"), F.lit(None).cast("double").alias("horizon"),
-        F.lit(None).cast("string").alias("action_class"), (F.col("outcome") == "CLAMP").alias("escapes"),
-        F.lit(None).cast("string").alias("offer_fault"),
+        F.lit(None).cast("string").alias("action_class"), F.lit(None).cast("string").alias("offer_fault"),
     )
-    out = d.drop("_attributed", "_excess").withColumn("horizon", F.col("horizon") * 8).unionByName(v)
+    out = d.unionByName(v)
     if acks:
         a = v.filter((F.col("run_id") % 3 == 0) & (F.col("seq") % 4 == 1))
-        out = out.unionByName(a.withColumn("side", F.lit(2)).withColumn("escapes", F.lit(None).cast("boolean")))
-    return out
+        out = out.unionByName(a.withColumn("side", F.lit(2)))
+    first = d.groupBy("run_id").agg(F.min("t").alias("t_start"))
+    return out.join(first, "run_id")
+
+
+WATCHDOG, CHUNK = 400.0, 30.0
+
+
+def clamped(rc: Records, judge, acks: bool = False):
+    offered = offers(rc)
+    out = judge(durable(events(rc, offered, acks)), WATCHDOG, None, CHUNK)
+    return A.clamp_escapes(out, action_bodies(rc), offered.select("run_id", "declaration_id", "region"))
 
 
 @register
 def adjudicate_sql(spark, sf):
-    """E2."""
-    return A.adjudicate_windows(events(Records(spark, sf)), 400.0, 0.0, 30.0)
+    """E2, with escapes found from the cells of bodies and regions."""
+    return clamped(Records(spark, sf), A.adjudicate_windows)
 
 
 @register
 def adjudicate(spark, sf):
     """E1 with E5: every third run has acknowledgments."""
-    return A.adjudicate(events(Records(spark, sf), acks=True), 400.0, 0.0, 30.0)
+    return clamped(Records(spark, sf), A.adjudicate, acks=True)
+
+
+@register
+def acknowledge(spark, sf):
+    """E5: what became of every acknowledgment."""
+    rc = Records(spark, sf)
+    return A.acknowledgments(events(rc, offers(rc), acks=True), WATCHDOG)
+
+
+@register
+def envelope_excess(spark, sf):
+    """M7: how far each declared region reaches beyond the bound of the arm, in tenths of a millimetre."""
+    over = A.overclaim(F.col("region"), CELL, WIDE)
+    return offers(Records(spark, sf)).select(
+        "run_id", "declaration_id", F.size("region").cast("long").alias("cells"),
+        F.rint(over * 1e4).cast("long").alias("excess_e4"), (over > 0).alias("overclaim"),
+    )

@@ -1,14 +1,17 @@
 """Declared-versus-done: one verdict per action, and per refused offer.
 
-Events: run_id, t, side (0 offer, 1 action, 2 acknowledgment), seq, and
+Events: run_id, t, side (0 offer, 1 action, 2 acknowledgment), seq, optionally
+t_start (when listening to the run began), and
   offers:  declaration_id, claimed, horizon, action_class, offer_fault - the
            row-local finding (unattributed, out_of_vocabulary_action or
            envelope_overclaim), NULL when there is none
-  actions: escapes - whether the body leaves the declared region
+Whether an action leaves the region in force is found afterwards, by
+`clamp_escapes`: a clamped action changes nothing for those that follow.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,10 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runaudit import vocab as V
+from runaudit.functions import geometry as G
 from runaudit.operators.scan import Scan, durable, running
 
-OUT = "run_id long, t double, side int, seq long, declaration_id string, outcome string, fault string"
 COLUMNS = ("run_id", "t", "side", "seq", "declaration_id", "outcome", "fault")
+CAUSE = ("cause_side", "cause_seq")  # of an acknowledgment: the event that passivated
+ACKNOWLEDGED, REFUSED = "ACKNOWLEDGED", "REFUSED"
+NOTHING_TO_ACKNOWLEDGE, ALREADY_ACKNOWLEDGED = "nothing_to_acknowledge", "already_acknowledged"
 
 
 def offer_fault(attributed: Column, action_class: Column, excess: Column) -> Column:
@@ -32,6 +38,16 @@ def offer_fault(attributed: Column, action_class: Column, excess: Column) -> Col
     )
 
 
+def overclaim(region: Column, size: float, limits: G.Limits) -> Column:
+    """M7: how far a region of cells reaches beyond the bound of the body. A cell stands for a
+    point in it, so its furthest corner may lie half a diagonal outside."""
+    return G.region_reach(region, size) - F.lit(limits.bound + size / math.sqrt(2))
+
+
+def _started(events: DataFrame, t_start: float | None) -> DataFrame:
+    return events if t_start is None else events.withColumn("t_start", F.lit(float(t_start)))
+
+
 def _offer_finding(last_seq: Column) -> Column:
     early = F.col("offer_fault").isin("unattributed", "out_of_vocabulary_action")
     replay = F.coalesce(F.col("claimed") <= last_seq, F.lit(False))
@@ -43,7 +59,7 @@ def _offer_finding(last_seq: Column) -> Column:
 
 
 def adjudicate_windows(
-    events: DataFrame, watchdog: float, t_start: float, chunk_span: float
+    events: DataFrame, watchdog: float, t_start: float | None, chunk_span: float
 ) -> DataFrame:
     """Without acknowledgments, as ordered scans.
 
@@ -52,7 +68,7 @@ def adjudicate_windows(
     that finding on nothing is accepted: the last accepted seq is frozen, and
     every action carries the latest finding about an offer.
     """
-    ev = events.filter("side < 2").withColumn("chunk", F.floor(F.col("t") / chunk_span).cast("long"))
+    ev = _started(events, t_start).filter("side < 2").withColumn("chunk", F.floor(F.col("t") / chunk_span).cast("long"))
     is_offer = F.col("side") == 0
     opened = F.when(is_offer, F.struct("declaration_id", "t", "horizon"))
     one = durable(
@@ -65,13 +81,12 @@ def adjudicate_windows(
             ],
         )
     )
-    heard = F.greatest(F.coalesce("_heard", F.lit(t_start)), F.lit(t_start))
+    heard = F.greatest(F.coalesce("_heard", "t_start"), F.col("t_start"))
     expires = F.col("_open.t") + F.col("_open.horizon")
     action = (
         F.when(F.col("t") - heard > watchdog, F.lit("watchdog_expiry"))
         .when(F.col("_open").isNull(), F.lit("no_declaration"))
         .when(F.col("t") > expires, F.lit("stale_declaration"))
-        .when(F.col("escapes"), F.lit("declaration_action_mismatch"))
     )
     found = one.withColumn(
         "candidate", F.when(is_offer, _offer_finding(F.col("_seq"))).otherwise(action)
@@ -103,12 +118,11 @@ def adjudicate_windows(
         "outcome",
         F.when(F.col("_after") & ~is_offer, F.lit("SAFE_STATE"))
         .when(F.col("fault").isin("watchdog_expiry", "escalation_failure"), F.lit("SAFE_STATE"))
-        .when(F.col("fault") == "declaration_action_mismatch", F.lit("CLAMP"))
         .when(F.col("fault").isNotNull(), F.lit("VETO"))
         .when(~is_offer, F.lit("PERMIT")),
     )
     named = F.when(is_offer, F.col("declaration_id")).when(
-        ~F.col("_after") & (F.col("outcome").isin("PERMIT", "CLAMP") | (F.col("fault") == "stale_declaration")),
+        ~F.col("_after") & ((F.col("outcome") == "PERMIT") | (F.col("fault") == "stale_declaration")),
         F.col("_open.declaration_id"),
     )
     return out.filter(F.col("outcome").isNotNull()).select(
@@ -117,7 +131,7 @@ def adjudicate_windows(
 
 
 def adjudicate(
-    events: DataFrame, watchdog: float, t_start: float, chunk_span: float
+    events: DataFrame, watchdog: float, t_start: float | None, chunk_span: float
 ) -> DataFrame:
     """E1 with E5. Runs nobody acknowledged are evaluated by windows; a run
     with acknowledgments goes through the ordered state machine, streamed
@@ -130,40 +144,74 @@ def adjudicate(
     )
 
 
-def adjudicate_ordered(events: DataFrame, watchdog: float, t_start: float) -> DataFrame:
+def adjudicate_ordered(events: DataFrame, watchdog: float, t_start: float | None = None) -> DataFrame:
+    return _ordered(events, watchdog, t_start).filter("side < 2").select(*COLUMNS)
+
+
+def acknowledgments(events: DataFrame, watchdog: float, t_start: float | None = None) -> DataFrame:
+    """E5: a row per acknowledgment. One of the passivation in force names its fault and the
+    event that raised it; one without a passivation, or a second one of the same, is REFUSED
+    and clears nothing."""
+    acked = events.filter("side = 2").select("run_id").distinct()
+    found = _ordered(events.join(acked, "run_id", "left_semi"), watchdog, t_start).filter("side = 2")
+    return found.select("run_id", "t", "seq", "outcome", "fault", *CAUSE)
+
+
+def _ordered(events: DataFrame, watchdog: float, t_start: float | None) -> DataFrame:
     ordered = (
-        events.select(
+        _started(events, t_start).select(
             "run_id", "t", "side", "seq", "declaration_id", "claimed", "horizon", "action_class",
-            "offer_fault", "escapes",
+            "offer_fault", "t_start",
         )
         .repartition("run_id")
         .sortWithinPartitions("run_id", "t", "side", "seq")
     )
     passivating = frozenset(V.PASSIVATING_FAULTS)
+    schema = events.select("run_id", F.col("t").cast("double"), F.col("side").cast("int"), F.col("seq").cast("long")).schema
+    for c in ("declaration_id", "outcome", "fault"):
+        schema = schema.add(c, "string")
+    schema = schema.add("cause_side", "integer").add("cause_seq", "long")
+    names = schema.names
 
     def machine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = None
+        run = s = None
         for batch in batches:
-            out: list[tuple] = []
+            out: dict[str, list] = {c: [] for c in names}
             for row in batch.to_pylist():
-                if row["run_id"] != run:
-                    run, s = row["run_id"], _State(t_start)
+                if s is None or row["run_id"] != run:
+                    run, s = row["run_id"], _State(row["t_start"])
                 verdict = s.step(row, watchdog)
                 if verdict is None:
                     continue
                 outcome, fault, named, renews = verdict
                 if renews and fault in passivating:
-                    s.passivate(fault)
-                out.append((run, row["t"], row["side"], row["seq"], named, outcome, fault))
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(COLUMNS, r)) for r in out],
-                pa.schema(
-                    [("run_id", pa.int64()), ("t", pa.float64()), ("side", pa.int32()), ("seq", pa.int64()),
-                     ("declaration_id", pa.string()), ("outcome", pa.string()), ("fault", pa.string())]
-                ),
-            )
+                    s.passivate(fault, row)
+                cause = s.cause if row["side"] == 2 and outcome == ACKNOWLEDGED else (None, None)
+                for c, v in zip(names, (run, row["t"], row["side"], row["seq"], named, outcome, fault, *cause), strict=True):
+                    out[c].append(v)
+            kinds = [batch.schema.field("run_id").type, pa.float64(), pa.int32(), pa.int64(), *[pa.string()] * 3, pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(out[c], k) for c, k in zip(names, kinds, strict=True)], names=names)
+
+    return ordered.mapInArrow(machine, schema)
+
+
+def clamp_escapes(verdicts: DataFrame, bodies: DataFrame, regions: DataFrame) -> DataFrame:
+    """A permitted action whose body leaves the region in force is clamped.
 
-    return ordered.mapInArrow(machine, OUT)
+    `bodies` holds the cells the body takes at an action (run_id, seq, body), `regions` those
+    of a declaration (run_id, declaration_id, region). A declaration whose region is lost
+    contains nothing, so it permits nothing. Arrays of cells are bounded by the arm's workspace.
+    """
+    named = verdicts.join(regions, ["run_id", "declaration_id"], "left").join(
+        bodies.withColumn("side", F.lit(1)), ["run_id", "side", "seq"], "left"
+    )
+    out = escape_cells(F.coalesce("body", F.array().cast("array<long>")), F.coalesce("region", F.array().cast("array<long>")))
+    escapes = (F.col("outcome") == "PERMIT") & (F.size(out) > 0)
+    return named.select(
+        "run_id", "t", "side", "seq", "declaration_id",
+        F.when(escapes, F.lit("CLAMP")).otherwise(F.col("outcome")).alias("outcome"),
+        F.when(escapes, F.lit("declaration_action_mismatch")).otherwise(F.col("fault")).alias("fault"),
+    )
 
 
 class _State:
@@ -175,17 +223,26 @@ class _State:
         self.last_seq = None
         self.fault = None
         self.acked = False
+        self.cause = (None, None)
 
-    def passivate(self, fault: str) -> None:
+    def passivate(self, fault: str, event: dict) -> None:
         self.fault, self.acked, self.open = fault, False, None
+        self.cause = event["side"], event["seq"]
 
     def step(self, e: dict, watchdog: float):
         """(outcome, fault, declaration, renews passivation) or None."""
         if e["side"] == 2:
-            self.acked = self.fault is not None
-            return None
+            return self._acknowledge()
         return self._offer(e) if e["side"] == 0 else self._action(e, watchdog)
 
+    def _acknowledge(self):
+        if self.fault is None:
+            return REFUSED, NOTHING_TO_ACKNOWLEDGE, None, False
+        if self.acked:
+            return REFUSED, ALREADY_ACKNOWLEDGED, None, False
+        self.acked = True
+        return ACKNOWLEDGED, self.fault, None, False
+
     def _offer(self, e: dict):
         self.heard = max(self.heard, e["t"])
         local = e["offer_fault"]
@@ -212,8 +269,6 @@ class _State:
         name = self.open["declaration_id"]
         if e["t"] > self.open["t"] + self.open["horizon"]:
             return "VETO", "stale_declaration", name, True
-        if e["escapes"]:
-            return "CLAMP", "declaration_action_mismatch", name, False
         return "PERMIT", None, name, False
 
 

@@ -127,15 +127,15 @@ def random_events(seed, acks):
             if kind < 0.35:
                 claimed += rng.choice([1, 1, 1, 1, 1, 1, 0])
                 fault = rng.choice([None] * 30 + ["unattributed", "out_of_vocabulary_action", "envelope_overclaim"])
-                out.append((run, t, 0, k, f"d{run}-{k}", claimed, rng.choice([0.5, 1.0, 2.0]), rng.choice(["reach", "escalate"]), fault, None))
+                out.append((run, t, 0, k, f"d{run}-{k}", claimed, rng.choice([0.5, 1.0, 2.0]), rng.choice(["reach", "escalate"]), fault))
             elif kind < 0.95 or not acks:
-                out.append((run, t, 1, k, None, None, None, None, None, rng.random() < 0.1))
+                out.append((run, t, 1, k, None, None, None, None, None))
             else:
-                out.append((run, t, 2, k, None, None, None, None, None, None))
+                out.append((run, t, 2, k, None, None, None, None, None))
     return out
 
 
-SCHEMA = "run_id long, t double, side int, seq long, declaration_id string, claimed long, horizon double, action_class string, offer_fault string, escapes boolean"
+SCHEMA = "run_id long, t double, side int, seq long, declaration_id string, claimed long, horizon double, action_class string, offer_fault string"
 
 
 def test_windows_agree_with_the_ordered_machine(spark):
@@ -148,21 +148,33 @@ def test_windows_agree_with_the_ordered_machine(spark):
 
 def test_acknowledgment_reintegrates(spark):
     ev = [
-        (0, 0.0, 1, 0, None, None, None, None, None, False),          # nothing declared: veto
-        (0, 0.1, 0, 1, "d1", 1, 1.0, "reach", None, None),            # not an escalation: refused
-        (0, 0.2, 2, 2, None, None, None, None, None, None),           # acknowledged
-        (0, 0.25, 1, 3, None, None, None, None, None, False),         # still safe until a fresh offer
-        (0, 0.3, 0, 4, "d2", 2, 1.0, "reach", None, None),            # accepted
-        (0, 0.4, 1, 5, None, None, None, None, None, False),
-        (0, 0.5, 1, 6, None, None, None, None, None, True),
-        (0, 1.6, 1, 7, None, None, None, None, None, False),          # the channel went quiet
+        (0, 0.0, 1, 0, None, None, None, None, None),          # nothing declared: veto
+        (0, 0.1, 0, 1, "d1", 1, 1.0, "reach", None),           # not an escalation: refused
+        (0, 0.2, 2, 2, None, None, None, None, None),          # acknowledged
+        (0, 0.22, 2, 8, None, None, None, None, None),         # once is enough
+        (0, 0.25, 1, 3, None, None, None, None, None),         # still safe until a fresh offer
+        (0, 0.3, 0, 4, "d2", 2, 1.0, "reach", None),           # accepted
+        (0, 0.35, 2, 9, None, None, None, None, None),         # nothing to acknowledge now
+        (0, 0.4, 1, 5, None, None, None, None, None),
+        (0, 0.5, 1, 6, None, None, None, None, None),
+        (0, 1.6, 1, 7, None, None, None, None, None),          # the channel went quiet
     ]
-    out = A.adjudicate(spark.createDataFrame(ev, SCHEMA), 1.2, 0.0, 1.0).orderBy("seq").collect()
+    df = spark.createDataFrame(ev, SCHEMA)
+    bodies = spark.createDataFrame([(0, q, [1, 2] if q != 6 else [1, 3]) for q in range(8)], "run_id long, seq long, body array<long>")
+    regions = spark.createDataFrame([(0, "d2", [1, 2, 4])], "run_id long, declaration_id string, region array<long>")
+    out = A.clamp_escapes(A.adjudicate(df, 1.2, 0.0, 1.0), bodies, regions).orderBy("seq").collect()
     assert [(r["seq"], r["outcome"], r["fault"], r["declaration_id"]) for r in out] == [
         (0, "VETO", "no_declaration", None), (1, "SAFE_STATE", "escalation_failure", "d1"),
         (3, "SAFE_STATE", "escalation_failure", None), (5, "PERMIT", None, "d2"),
         (6, "CLAMP", "declaration_action_mismatch", "d2"), (7, "SAFE_STATE", "watchdog_expiry", None),
     ]
+    lost = A.clamp_escapes(A.adjudicate(df, 1.2, 0.0, 1.0), bodies, regions.limit(0)).filter("seq = 5").first()
+    assert lost["outcome"] == "CLAMP"  # a region nobody can read permits nothing
+    acks = A.acknowledgments(df, 1.2, 0.0).orderBy("seq").collect()
+    assert [(r["seq"], r["outcome"], r["fault"], r["cause_side"], r["cause_seq"]) for r in acks] == [
+        (2, "ACKNOWLEDGED", "escalation_failure", 0, 1), (8, "REFUSED", "already_acknowledged", None, None),
+        (9, "REFUSED", "nothing_to_acknowledge", None, None),
+    ]
 
 
 def test_cuts_are_greedy_across_chunks_and_gaps(spark):
