@@ -27,7 +27,7 @@ from runaudit.llm.common import slices, table, utf8
 from runaudit.llm.tokens import lists
 
 SIGN = "▁"  # stands for a space
-PARTS = 1 << 18  # parts a worker remembers for sure, and as many of the ones before
+PARTS = 1 << 17  # parts a worker remembers for sure, and as many of the ones before
 BATCH = 1 << 13  # parts that the library gets at once
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -235,11 +235,12 @@ def model(file: str) -> Model:
 SPAN = T.ArrayType(T.IntegerType())
 
 
-def encode(docs: DataFrame, file: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+def encode(docs: DataFrame, file: str, text: str = "text", key: str = "doc_id", decoded: bool = False) -> DataFrame:
     """(key, n_tokens, n_bytes, ids, begins, ends) for every row of `docs`: the ids of
     each whole text without begin or end ids, and the bytes begins[i]..ends[i] of
     the UTF-8 text that piece i stands for. The pieces of a byte each share a
-    character: it is the last one's.
+    character: it is the last one's. With `decoded`, the text of the ids comes along, as
+    `decode` gives it.
 
     A null text is empty and has no ids. Every row stands for itself, repeated keys and
     null keys too. Other columns are not read. An empty table gives no rows.
@@ -249,19 +250,21 @@ def encode(docs: DataFrame, file: str, text: str = "text", key: str = "doc_id")
         pieces = model(file)
         for batch in slices(batches, text):
             raw = utf8(batch, text)
-            ids, begins, ends = [], [], []
+            ids, begins, ends, back = [], [], [], []
             for got, span in pieces.encode([x.decode() for x in raw]):
                 ids.append(got.tobytes())
                 begins.append(span[:, 0].astype("<i4").tobytes())
                 ends.append(span[:, 1].astype("<i4").tobytes())
+                if decoded:
+                    back.append(pieces.decode(got))
             n = np.array([len(x) // 4 for x in ids], np.int64)
             size = np.array([len(x) for x in raw], np.int64)
-            yield table(**{key: batch.column(0)}, n_tokens=n, n_bytes=size, ids=lists(ids), begins=lists(begins), ends=lists(ends))
+            yield table(**{key: batch.column(0)}, n_tokens=n, n_bytes=size, ids=lists(ids), begins=lists(begins), ends=lists(ends), **({"decoded": pa.array(back, pa.string())} if decoded else {}))
 
     schema = docs.select(key).schema.add("n_tokens", "long").add("n_bytes", "long")
     for c in ("ids", "begins", "ends"):
         schema = schema.add(c, SPAN)
-    return docs.select(key, text).mapInArrow(encoded, schema)
+    return docs.select(key, text).mapInArrow(encoded, schema.add("decoded", "string") if decoded else schema)
 
 
 def decode(rows: DataFrame, file: str, keep: list[str], ids: str = "ids", out: str = "decoded") -> DataFrame:

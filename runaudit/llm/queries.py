@@ -153,12 +153,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as pieces and back again."""
     file = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = pieces.encode(load(spark, sf_dir, "documents"), file).select(
+    return pieces.encode(load(spark, sf_dir, "documents"), file, decoded=True).select(
         "doc_id", "n_tokens", "n_bytes", F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).cast("long").alias("spanned_bytes"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "ids",
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
-    keep = ["doc_id", "n_tokens", "n_bytes", "spanned_bytes", "ids_sha256"]
-    return pieces.decode(encoded, file, keep).select(*keep, F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query
