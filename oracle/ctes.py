@@ -6,6 +6,8 @@ ones they need, in order.
 
 from __future__ import annotations
 
+import re
+
 DEFS: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
@@ -28,7 +30,8 @@ def build(body: str, *names: str) -> str:
     if not order:
         return body
     ctes = ",\n".join(f"{n} AS ({DEFS[n][1]})" for n in order)
-    return f"WITH RECURSIVE {ctes}\n{body}"
+    again = any(re.search(rf"\b(FROM|JOIN)\s+{n}\b", DEFS[n][1]) for n in order)
+    return f"WITH {'RECURSIVE ' if again else ''}{ctes}\n{body}"
 
 
 # --- scene ---------------------------------------------------------------------

@@ -101,7 +101,8 @@ SQL["attestation_edges"] = build("SELECT * FROM att", "att")
 define("left_recs", "SELECT * FROM recs WHERE NOT (kind = 'Verdict' AND seq % 97 = 13)", "recs")
 SQL["dangling_links"] = build("""
   SELECT e.* FROM (SELECT run_id, kind, 'source' AS "end", src_id AS record_id FROM foll UNION ALL SELECT run_id, kind, 'target', dst_id FROM foll) e
-  WHERE NOT EXISTS (SELECT 1 FROM left_recs r WHERE r.run_id = e.run_id AND r.kind = e.kind AND r.record_id = e.record_id)""", "foll", "left_recs")
+  LEFT JOIN (SELECT DISTINCT run_id, kind, record_id FROM left_recs) r ON r.run_id = e.run_id AND r.kind = e.kind AND r.record_id = e.record_id
+  WHERE r.record_id IS NULL""", "foll", "left_recs")
 SQL["due_declarations"] = build("""
   SELECT run_id, declaration_id, CASE WHEN t_issued >= 0 AND t_issued::BIGINT % 3 = 0 THEN t_issued::BIGINT // 3 END AS frame_idx FROM decl""", "decl")
 SQL["probe_declaration"] = build("SELECT * FROM probes", "probes")

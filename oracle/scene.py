@@ -76,7 +76,8 @@ SQL["expand_to_frames"] = build("""
 SQL["silent_filter"] = build(
     "SELECT run_id, frame_idx, t, event_type FROM fr WHERE event_type <> 'signup'", "fr")
 SQL["unknown_entity"] = build("""
-  SELECT run_id, entity_id, CASE WHEN declared THEN 'ANSWERED' ELSE 'QUERY-ERROR' END AS verdict FROM asks""", "asks")
+  SELECT run_id, entity_id, CASE WHEN declared THEN 'ANSWERED' ELSE 'QUERY-ERROR' END AS verdict,
+    CASE WHEN NOT declared THEN 'entity ''' || entity_id || ''' is not declared in this run; it declares human, obs_a, spare' END AS message FROM asks""", "asks")
 SQL["available_layers"] = build("""
   SELECT run_id, run_id IN (SELECT run_id FROM sedges) AS edge_layer,
          (run_id % 5 = 0 AND run_id % 7 <> 0) AS occurrence_layer FROM ru""", "sedges", "ru")

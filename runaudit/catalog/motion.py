@@ -78,8 +78,7 @@ def outer_radius(spark, sf):
 
 
 def reach(sc: Scene):
-    controls = G.control_samples(ARM, 4, seed=0)
-    poses = G.reachable_poses(q(), qd(), ARM, HORIZON, SUBSTEP, controls)
+    poses = G.reachable_poses(q(), qd(), ARM, HORIZON, SUBSTEP, G.controls(ARM))
     m = moving(sc).withColumn("poses", poses)
     return m.withColumn("cells", G.region_cells(F.col("poses"), ARM, CELL)).drop("poses")
 

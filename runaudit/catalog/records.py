@@ -273,8 +273,8 @@ def validate_edges(spark, sf):
         F.when(F.col("src_id").endswith("55"), F.lit(0.5)).alias("overlap_area"),
         F.lit(None).cast("double").alias("min_distance"),
     )
-    nodes = R.record_union(d, v).select(F.col("record_id").alias("node_id"), "kind").unionByName(
-        rc.regions().select(F.col("region_id").alias("node_id"), F.lit("Envelope").alias("kind"))
+    nodes = R.record_union(d, v).select("run_id", F.col("record_id").alias("node_id"), "kind").unionByName(
+        rc.regions().select("run_id", F.col("region_id").alias("node_id"), F.lit("Envelope").alias("kind"))
     )
     return VA.validate_edges(e, nodes)
 

@@ -136,10 +136,11 @@ def silent_filter(spark, sf):
 @register
 def unknown_entity(spark, sf):
     sc = Scene(spark, sf)
-    d = Q.declared_entities(asks(sc), sc.entities())
+    d = Q.with_known(Q.declared_entities(asks(sc), sc.entities()), sc.entities())
     return d.select(
         "run_id", "entity_id",
         F.when(F.col("declared"), F.lit(V.ANSWERED)).otherwise(F.lit(V.QUERY_ERROR)).alias("verdict"),
+        Q.unknown_message(F.col("entity_id"), F.col("declared"), F.col("known")).alias("message"),
     )
 
 

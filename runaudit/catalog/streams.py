@@ -35,6 +35,7 @@ def written(spark, sf) -> str:
         .when(fault == 8, F.regexp_replace(line, r",[^,]*$", ""))
         .when(fault == 9, F.regexp_replace(line, r"^[^,]*", "abc"))
         .when(fault == 10, F.regexp_replace(line, r"^[^,]*", "Infinity"))
+        .when(fault == 11, F.concat(F.lit("t,"), line))
         .otherwise(line)
     )
     runs = sc.runs()
@@ -74,7 +75,7 @@ def scan_frames(spark, sf):
 def frame_quarantine(spark, sf):
     """S3."""
     _, bad = FR.read_frames(lines(spark, sf), ["run_id"])
-    return bad.select("run_id", "reason", F.sha2("value", 256).alias("row_digest"))
+    return bad.select("run_id", "line", "reason", F.sha2("value", 256).alias("row_digest"))
 
 
 @register
@@ -92,6 +93,14 @@ def provenance_kv(spark, sf):
     return FR.provenance(lines(spark, sf), ["run_id"])
 
 
+@register
+def software_stamps(spark, sf):
+    """The version that goes with each run's settings."""
+    r = F.col("run_id")
+    stamp = S.software_stamp("engine", 0.1 + r % 5 / 20.0, 4 + r % 3, r % 7, F.lit(0.05))
+    return Scene(spark, sf).runs().select("run_id", stamp.alias("sw_version"))
+
+
 @register
 def record_instants(spark, sf):
     """M9 to M12 and F13 on every event."""
@@ -105,6 +114,7 @@ def record_instants(spark, sf):
     return sc.frames().select(
         "run_id", "frame_idx", S.format_instant(ts).alias("t_utc"), S.instant_date(ts).alias("date"),
         S.fixed_text(F.col("value") / 3.0 - 40.0).alias("fixed"),
+        S.fixed_text(F.col("value") * F.pow(F.lit(2.0), F.col("frame_idx") * 7 % 105)).alias("large"),
         S.digest(F.col("run_id"), F.lit(None).cast("string"), F.col("event_type")).alias("digest"),
         S.valid_record_id(F.concat(F.lit("r"), F.when(F.col("frame_idx") % 5 == 0, F.lit(" ")).otherwise(F.lit("")), F.col("event_type"))).alias("id_ok"),
     )

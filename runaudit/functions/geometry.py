@@ -12,7 +12,6 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -165,29 +164,37 @@ def outer_radius(
     return F.when(within_limits(q, qd, limits), F.least(worst, F.lit(limits.bound)))
 
 
-def control_samples(limits: Limits, samples: int, seed: int) -> list[tuple[float, ...]]:
-    """Every sign pattern of the full accelerations, then draws inside the box."""
-    most = np.asarray(limits.qdd_max, float)
-    n = 1 << len(most)
-    if samples < n:
-        raise ValueError(f"{samples} samples cannot hold all {n} corners")
-    bits = np.arange(n)[:, None] >> np.arange(len(most))[::-1] & 1
-    drawn = np.random.default_rng(seed).uniform(-1, 1, (samples - n, len(most)))
-    return [tuple(map(float, row * most)) for row in np.vstack([2 * bits - 1, drawn])]
+def controls(limits: Limits, interior: int = 0, seed: int = 0) -> Column:
+    """Array of joint accelerations: full ones in every pattern of signs, and `interior` others
+    inside the box, drawn by hash from their number. The order has no meaning."""
+    most = limits.qdd_max
+    grid = 2.0**52
+
+    def corner(i: Column) -> Column:
+        signs = [F.when(F.getbit(i, F.lit(j)) == 1, F.lit(a)).otherwise(F.lit(-a)) for j, a in enumerate(most)]
+        return F.array(*signs)
+
+    def inside(i: Column) -> Column:
+        unit = lambda j: F.pmod(F.xxhash64(i, F.lit(j), F.lit(seed)), F.lit(1 << 52)) / F.lit(grid)
+        return F.array(*[(unit(j) * 2 - 1) * a for j, a in enumerate(most)])
+
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.lit((1 << len(most)) - 1).cast("long")), corner)
+    if not interior:
+        return every
+    return F.concat(every, F.transform(F.sequence(F.lit(1).cast("long"), F.lit(interior).cast("long")), inside))
 
 
 def substep_times(horizon: float, substep: float) -> list[float]:
-    """Multiples of the substep, and the horizon itself."""
-    return np.minimum(np.arange(math.ceil(horizon / substep) + 1) * substep, horizon).tolist()
+    """Multiples of the substep below the horizon, and the horizon itself."""
+    whole = math.ceil(horizon / substep * (1 - 1e-12))
+    return [i * substep for i in range(whole)] + [horizon]
 
 
 def reachable_poses(
-    q: list[Column], qd: list[Column], limits: Limits, horizon: float, substep: float,
-    controls: list[tuple[float, ...]],
+    q: list[Column], qd: list[Column], limits: Limits, horizon: float, substep: float, us: Column,
 ) -> Column:
-    """Array of poses (struct of joint angles) the sampled controls reach."""
+    """Array of poses (struct of joint angles) that the controls `us` reach."""
     n = len(q)
-    us = F.array(*[F.array(*[F.lit(float(x)) for x in u]) for u in controls])
     times = substep_times(horizon, substep)
     dts = F.array(*[F.lit(b - a) for a, b in zip(times, times[1:])])
 

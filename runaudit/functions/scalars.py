@@ -57,9 +57,12 @@ def fixed_text(v: Column, decimals: int = V.FLOAT_DECIMALS) -> Column:
     `format_string` rounds the shortest decimal text, not the stored binary
     value, so its ties differ. Here the product v*10^d is split into a rounded
     part and its exact error (Veltkamp/Dekker splitting), and the error decides
-    a tie. From |v| * 10^d >= 2^52 on, up to 2^63, the fraction has so few bits
-    that it is scaled exactly by itself (for 6 decimals). NULL for NaN, infinities and beyond.
+    a tie. From |v| * 10^d >= 2^52 on the fraction has so few bits that it is scaled
+    exactly by itself (for 9 decimals at most), and from 2^63 on there is none: the whole
+    number is expanded in limbs. NULL for NaN and infinities alone.
     """
+    if not 0 <= decimals <= 9:
+        raise ValueError(f"decimals must be 0 to 9, got {decimals}")
     m = F.lit(float(10**decimals))
     split = F.lit(134217729.0)
     p = v * m
@@ -88,10 +91,43 @@ def fixed_text(v: Column, decimals: int = V.FLOAT_DECIMALS) -> Column:
         F.lit("."),
         F.lpad(F.when(carried, F.lit(0)).otherwise(part.cast("long")).cast("string"), decimals, "0"),
     )
-    return F.when(finite(v) & (F.abs(p) < float(2**52)), text).when(
-        finite(v) & (size < float(2**63)) & F.lit(decimals <= 6), large
+    huge = F.concat(F.when(v < 0, F.lit("-")).otherwise(F.lit("")), whole_text(size), F.lit(f"{0:.{decimals}f}"[1:]))
+    return (
+        F.when(finite(v) & (F.abs(p) < float(2**52)), text)
+        .when(finite(v) & (size < float(2**63)), large)
+        .when(finite(v), huge)
+    )
+
+
+LIMB = 10**9
+SHIFT = 29  # a limb times 2^29 and a carry stay far below 2^63
+
+
+def whole_text(size: Column) -> Column:
+    """Decimal digits of a double of 2^63 or more, which is m * 2^e for whole m: the limbs of
+    m are doubled e times, 29 at once, with their carries."""
+    e = F.greatest(F.floor(F.log2(size)).cast("int") - 53, F.lit(0))
+    m = (size / F.pow(F.lit(2.0), e)).cast("long")
+    limb, zero = F.lit(LIMB).cast("long"), F.lit(0).cast("long")
+    div = lambda a, b: F.call_function("div", a, b)
+    limbs = F.array(m % limb, div(m, limb) % limb, div(div(m, limb), limb))
+    factors = F.concat(
+        F.array_repeat(F.lit(1 << SHIFT).cast("long"), F.floor(e / SHIFT).cast("int")),
+        F.array(F.pow(F.lit(2.0), e % SHIFT).cast("long")),
     )
 
+    def times(held: Column, factor: Column) -> Column:
+        def carry(s: Column, x: Column) -> Column:
+            t = x * factor + s["over"]
+            return F.struct(div(t, limb).alias("over"), F.array_append(s["out"], t % limb).alias("out"))
+
+        start = F.struct(zero.alias("over"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(held, start, carry, lambda s: F.array_append(s["out"], s["over"]))
+
+    found = F.reverse(F.aggregate(factors, limbs, times))
+    digits = F.array_join(F.transform(found, lambda x: F.lpad(x.cast("string"), 9, "0")), "")
+    return F.regexp_replace(digits, "^0+", "")
+
 
 def digest(*parts: Column, length: int = 16) -> Column:
     """Leading hex of SHA-256 over NUL-joined parts; NULL counts as empty."""
@@ -100,11 +136,10 @@ def digest(*parts: Column, length: int = 16) -> Column:
     return F.substring(F.sha2(joined, 256), 1, length)
 
 
-def software_stamp(name: str, horizon: float, samples: int, seed: int, substep: float) -> Column:
-    tag = digest(
-        F.lit(f"{horizon:.9f}"), F.lit(str(samples)), F.lit(str(seed)), F.lit(f"{substep:.9f}")
-    )
-    return F.concat(F.lit(f"{name}+env-"), F.substring(tag, 1, 8))
+def software_stamp(name: str, horizon: Column, samples: Column, seed: Column, substep: Column) -> Column:
+    """A version that names the settings its regions were computed with."""
+    tag = digest(fixed_text(horizon, 9), samples, seed, fixed_text(substep, 9), length=8)
+    return F.concat(F.lit(f"{name}+env-"), tag)
 
 
 INSTANT_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"

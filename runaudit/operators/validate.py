@@ -56,8 +56,8 @@ def validate_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             )
         ).alias("x"),
     ).select("run_id", F.col("_id").alias("row_id"), "x.*")
-    n = nodes.select("node_id", "kind").distinct()
-    joined = ends.join(n, "node_id", "left")
+    n = nodes.select("run_id", "node_id", "kind").distinct()
+    joined = ends.join(n, ["run_id", "node_id"], "left")
     refs = joined.filter(F.col("kind").isNull()).select(*OUT).unionByName(
         joined.filter(F.col("want").isNotNull() & (F.col("kind") != F.col("want"))).select(
             "run_id", "row_id", F.lit("endpoint of the wrong kind").alias("rule")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runaudit import vocab as V
@@ -69,6 +69,29 @@ def declared_entities(asks: DataFrame, entities: DataFrame) -> DataFrame:
     )
 
 
+NAMED = 20  # ids that a message lists; more are counted
+
+
+def with_known(asks: DataFrame, entities: DataFrame) -> DataFrame:
+    """Adds `known` to asks marked by `declared_entities`: the first NAMED ids their run declares, in order,
+    and how many there are."""
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("entity_id"))
+    runs = asks.filter(~F.col("declared")).select("run_id").distinct()
+    ids = entities.select("run_id", "entity_id").distinct().join(runs, "run_id", "left_semi")
+    first = ids.withColumn("_i", place).groupBy("run_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("_i") <= NAMED, F.col("entity_id")))).alias("ids"), F.count(F.lit(1)).alias("n")
+    )
+    return asks.join(first.select("run_id", F.struct("ids", "n").alias("known")), "run_id", "left")
+
+
+def unknown_message(entity: Column, declared: Column, known: Column) -> Column:
+    """what is wrong, and the ids that could have been meant."""
+    listed = F.coalesce(F.array_join(known["ids"], ", "), F.lit("nothing"))
+    more = F.when(known["n"] > NAMED, F.concat(F.lit(" and "), known["n"] - NAMED, F.lit(" more"))).otherwise(F.lit(""))
+    said = F.concat(F.lit("entity '"), entity, F.lit("' is not declared in this run; it declares "), listed, more)
+    return F.when(~declared, said)
+
+
 def _edge_counts(edges: DataFrame, *types: str, name: str = "n_rows") -> DataFrame:
     e = edges.filter(F.col("type").isin(*types)) if types else edges
     return e.groupBy("run_id", "entity_id").agg(F.count(F.lit(1)).alias(name))

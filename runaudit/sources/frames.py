@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runaudit.functions import scalars as S
@@ -39,22 +39,49 @@ def expected_header(joints: Column, obstacles: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Every line beside its file and the directory's partition columns."""
-    return spark.read.text(path).withColumn("file", F.col("_metadata.file_path"))
+    """Every line beside its file and the directory's partition columns. `block` is where the
+    part of the file begins that one task reads, `place` grows along it."""
+    return spark.read.text(path).select(
+        "*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+
+
+def line_numbers(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Adds `line`, the 1-based number in its file, to some of `lines`. Lines are counted a
+    block at a time, and the counts of the blocks before are added; no file is one task."""
+    counts = lines.groupBy("file", "block").agg(F.min("place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.select("file", "block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return (
+        rows.join(blocks, ["file", "block"])
+        .withColumn("line", F.col("_before") + F.col("place") - F.col("_first") + 1)
+        .drop("_before", "_first")
+    )
+
+
+def _content(lines: DataFrame) -> DataFrame:
+    return lines.filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
 
 
 def header_layouts(lines: DataFrame) -> DataFrame:
-    """S2 per file: joints and obstacles, and whether the header is exact."""
-    h = lines.filter(F.col("value").startswith("t,")).select(
-        "file", F.col("value").alias("header"),
-        F.size(F.regexp_extract_all("value", F.lit(r"(?:^|,)(q_\d+)"), 1)).alias("joints"),
-        F.size(F.regexp_extract_all("value", F.lit(r"(?:^|,)(obs_\d+_id)"), 1)).alias("obstacles"),
+    """S2 per file: the first line that is no comment, with its joints and obstacles, and
+    whether it is exactly the header of those. NULL if it is no header at all."""
+    first = _content(lines).groupBy("file").agg(F.min(F.struct("block", "place", "value")).alias("h"))
+    h = first.select("file", F.col("h.value").alias("header"), F.col("h.block").alias("block"), F.col("h.place").alias("place")).filter(
+        F.col("header").startswith("t,")
+    ).select(
+        "file", "header", "block", "place",
+        F.size(F.regexp_extract_all("header", F.lit(r"(?:^|,)(q_\d+)"), 1)).alias("joints"),
+        F.size(F.regexp_extract_all("header", F.lit(r"(?:^|,)(obs_\d+_id)"), 1)).alias("obstacles"),
     )
     return h.withColumn(
         "valid", F.col("header") == expected_header(F.col("joints"), F.col("obstacles"))
     )
 
 
+SECOND_HEADER = "header inside the data"
+
 def provenance(lines: DataFrame, keys: list[str]) -> DataFrame:
     """key=value rows of the comment block."""
     kv = F.split(F.trim(F.expr("substring(value, 2)")), "=", 2)
@@ -68,15 +95,17 @@ def provenance(lines: DataFrame, keys: list[str]) -> DataFrame:
 def read_frames(lines: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Typed frames and the quarantine of rows that do not fit.
 
-    Short rows, text where a number belongs, NaN and infinities go to the
-    quarantine with a reason; nothing is dropped silently.
+    Short rows, text where a number belongs, NaN and infinities, and headers after the
+    first line go to the quarantine with a reason and the line of the file; nothing is
+    dropped silently.
     """
-    layout = header_layouts(lines).select("file", "joints", "obstacles", "valid")
-    data = lines.filter(
-        ~F.col("value").startswith("#") & ~F.col("value").startswith("t,") & (F.trim("value") != "")
+    layout = header_layouts(lines).select(
+        "file", "joints", "obstacles", "valid", F.struct("block", "place").alias("_header")
     )
     j, o = F.col("joints"), F.col("obstacles")
-    p = data.join(layout, "file", "left").withColumn("_p", F.split("value", ","))
+    here = F.struct("block", "place")
+    data = _content(lines).join(layout, "file", "left").filter(F.col("_header").isNull() | (here != F.col("_header")))
+    p = data.withColumn("_p", F.split("value", ","))
 
     def num(i: Column) -> Column:
         x = F.get(F.col("_p"), i).try_cast("double")
@@ -101,7 +130,7 @@ def read_frames(lines: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame
         ),
     )
     typed = p.select(
-        *keys, "file", "value", "valid",
+        *keys, "file", "block", "place", "value", "valid",
         (F.size("_p") == 1 + 2 * j + 4 + 5 * o).alias("_whole"),
         num(F.lit(0)).alias("t"), nums(F.lit(1), j).alias("q"), nums(1 + j, j).alias("qd"),
         F.struct(
@@ -120,13 +149,14 @@ def read_frames(lines: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame
     reason = (
         F.when(F.col("valid").isNull(), F.lit("file has no header"))
         .when(~F.col("valid"), F.lit("unknown header"))
+        .when(F.col("value").startswith("t,"), F.lit(SECOND_HEADER))
         .when(~F.col("_whole"), F.lit("wrong number of fields"))
         .when(holes, F.lit("not a finite number"))
     )
     marked = typed.withColumn("reason", reason)
     good = marked.filter(F.col("reason").isNull()).select(*keys, "t", "q", "qd", "human", "objects")
-    bad = marked.filter(F.col("reason").isNotNull()).select(*keys, "value", "reason")
-    return good, bad
+    bad = marked.filter(F.col("reason").isNotNull()).select(*keys, "file", "block", "place", "value", "reason")
+    return good, line_numbers(bad, lines).select(*keys, "file", "line", "value", "reason")
 
 
 def frame_line(t, q, qd, person, obstacles) -> Column:

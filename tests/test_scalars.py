@@ -13,6 +13,18 @@ def col(spark, values, kind="double"):
     return spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
 
 
+def test_fixed_text_of_any_finite_double(spark):
+    rng = random.Random(4)
+    vals = [2.0**63, -(2.0**63), 2.0**64 + 2.0**12, 1e22, 1e23, -1e300, 1.7976931348623157e308, 2.0**1023, 9007199254740993.0 * 2**40]
+    vals += [rng.choice([-1, 1]) * rng.uniform(1, 2) * 2.0 ** rng.randint(50, 1022) for _ in range(200)]
+    for decimals in (3, 6, 9):
+        more = vals + [rng.uniform(-1, 1) * 2.0 ** rng.randint(0, 60) for _ in range(200)]
+        got = [r[0] for r in col(spark, more).orderBy("i").select(S.fixed_text(F.col("v"), decimals)).collect()]
+        assert got == [f"{v + 0.0:.{decimals}f}" if float(f"{v:.{decimals}f}") else f"{0:.{decimals}f}" for v in more]
+    odd = [float("nan"), float("inf"), float("-inf")]
+    assert [r[0] for r in col(spark, odd).select(S.fixed_text(F.col("v"))).collect()] == [None] * 3
+
+
 def test_fixed_text_matches_exact_rounding(spark):
     rng = random.Random(1)
     vals = [k * 5e-7 for k in range(-2000, 2000)] + [rng.uniform(-1e5, 1e5) for _ in range(500)]
@@ -79,7 +91,7 @@ def test_outer_radius_contains_every_sampled_pose(spark):
     rows = [(i, rng.uniform(-3, 3), rng.uniform(-2.5, 2.5), rng.uniform(-2, 2), rng.uniform(-2.5, 2.5)) for i in range(30)]
     df = spark.createDataFrame(rows, "i int, q0 double, q1 double, v0 double, v1 double")
     q, v = [F.col("q0"), F.col("q1")], [F.col("v0"), F.col("v1")]
-    poses = G.reachable_poses(q, v, arm, 0.2, 0.02, G.control_samples(arm, 12, 0))
+    poses = G.reachable_poses(q, v, arm, 0.2, 0.02, G.controls(arm, 8))
     tips = F.array_max(F.transform(poses, lambda p: G.tip_reach([p[0], p[1]], arm)))
     out = df.select(tips.alias("tip"), G.outer_radius(q, v, arm, F.lit(0.2), 0.02).alias("r")).collect()
     assert all(r["tip"] <= r["r"] + 1e-9 <= arm.bound + 1e-6 for r in out)
