@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runaudit.llm.common import stored
+from runaudit.llm.common import spare, stored
 
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -57,70 +57,56 @@ def doubled(ranked: DataFrame, step: int) -> DataFrame:
     return stored(classes(pairs, ["ad", "ai", "gd", "gi"]), "ranks")
 
 
-def repeated_runs(docs: DataFrame, min_lines: int, text: str, key: str) -> DataFrame:
-    """(doc, row, start, last, n_lines, source, source_line): maximal runs of lines
-    that start earlier, in order of (key, line), somewhere else. start and last count all
-    lines of the text, source_line those with a word."""
+def named_lines(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(doc, row, i, j, last, words, h1, h2): lines with a word; i counts them, j all lines of the text."""
     lines = docs.where(F.col(key).isNotNull()).select(
         F.col(key).alias("doc"), F.xxhash64(text).alias("row"), F.posexplode(numbered(text)).alias("i", "s")
     )
-    named = stored(
-        lines.select(
-            "doc", "row", "i", F.col("s.j").alias("j"), F.col("s.j").alias("last"),
-            F.xxhash64("s.line").alias("h1"), F.xxhash64(F.lit("second"), "s.line").alias("h2"),
-        ).distinct(),
-        "lines",
-    )
-    ranked, size = stored(classes(named, ["h1", "h2"]), "ranks"), 1
+    return lines.select(
+        "doc", "row", "i", F.col("s.j").alias("j"), F.col("s.j").alias("last"),
+        F.regexp_count("s.line", F.lit(_WORD + "+")).alias("words"),
+        F.xxhash64("s.line").alias("h1"), F.xxhash64(F.lit("second"), "s.line").alias("h2"),
+    ).distinct()
+
+
+def later(ranked: DataFrame) -> DataFrame:
+    return ranked.where("fd < doc or (fd = doc and fi < i)")
+
+
+def repeated_runs(docs: DataFrame, min_lines: int, text: str, key: str, min_words: int | None = None) -> DataFrame:
+    """(doc, row, start, last, n_lines, source, source_line): maximal runs of lines
+    that start earlier, in order of (key, line), somewhere else. start and last count all
+    lines of the text, source_line those with a word. Runs have `min_lines` lines, or else
+    `min_words` words."""
+    named = stored(named_lines(docs, text, key), "lines")
+    ranked, size, found = stored(classes(named, ["h1", "h2"]), "ranks"), 1, None
+
+    def windows(ranked: DataFrame, size: int) -> DataFrame:
+        return later(ranked).select("doc", "row", "i", "j", "last", "fd", "fi", F.lit(size).alias("size"))
+
     while size < min_lines:
-        step = min(size, min_lines - size)
+        if min_words is not None:  # windows of few lines count where their words do
+            few = windows(ranked, size)
+            at = few.select("doc", "row", "i", F.explode(F.sequence(F.col("i"), F.col("i") + size - 1)).alias("_at"))
+            counted = named.select("doc", "row", F.col("i").alias("_at"), "words")
+            enough = at.join(counted, ["doc", "row", "_at"]).groupBy("doc", "row", "i").agg(F.sum("words").alias("_w"))
+            few = few.join(enough.where(F.col("_w") >= min_words).drop("_w"), ["doc", "row", "i"], "left_semi")
+            found = few if found is None else found.unionAll(few)
+        step = min(size, min_lines - size) if min_words is None else 1
         ranked, size = doubled(ranked, step), size + step
-    later = ranked.where("fd < doc or (fd = doc and fi < i)")
-    diagonal = ["doc", "row", "fd", F.col("fi") - F.col("i")]
+    whole = windows(ranked, size)
+    found = whole if found is None else found.unionAll(whole)
+    diagonal = ["doc", "row", "fd", F.col("fi") - F.col("i"), "size"]
     along = Window.partitionBy(*diagonal).orderBy("i")
-    runs = later.withColumn("_run", F.col("i") - F.row_number().over(along))
-    return runs.groupBy("doc", "row", "fd", (F.col("fi") - F.col("i")).alias("_d"), "_run").agg(
+    runs = found.withColumn("_run", F.col("i") - F.row_number().over(along))
+    return runs.groupBy("doc", "row", "fd", (F.col("fi") - F.col("i")).alias("_d"), "size", "_run").agg(
         F.min("j").alias("start"),
         F.max("last").alias("last"),
-        (F.count(F.lit(1)) + F.lit(min_lines - 1)).alias("n_lines"),
+        (F.count(F.lit(1)) + F.col("size") - 1).alias("n_lines"),
         F.min("fi").alias("source_line"),
     ).select("doc", "row", "start", "last", "n_lines", F.col("fd").alias("source"), "source_line")
 
 
-def short_runs(docs: DataFrame, min_lines: int, min_words: int, text: str, key: str) -> DataFrame:
-    """(doc, row, start, last): runs of fewer than `min_lines` lines, with `min_words` words
-    or more, that start earlier somewhere else. Every size is ranked by itself, so a run
-    counts even where its lines were first met apart."""
-    lines = docs.where(F.col(key).isNotNull()).select(
-        F.col(key).alias("doc"), F.xxhash64(text).alias("row"), F.posexplode(numbered(text)).alias("i", "s")
-    )
-    named = stored(
-        lines.select(
-            "doc", "row", "i", F.col("s.j").alias("j"), F.col("s.j").alias("last"),
-            F.xxhash64("s.line").alias("h1"), F.xxhash64(F.lit("second"), "s.line").alias("h2"),
-            F.regexp_count("s.line", F.lit(_WORD + "+")).alias("words"),
-        ).distinct(),
-        "lines",
-    )
-    counted = named.select("doc", "row", F.col("i").alias("_at"), "words")
-    ranked, out = stored(classes(named, ["h1", "h2"]), "ranks"), None
-    for size in range(1, min_lines):
-        if size > 1:
-            ranked = doubled(ranked, 1)
-        later = ranked.where("fd < doc or (fd = doc and fi < i)").select(
-            "doc", "row", "i", "j", "last", F.explode(F.sequence(F.col("i"), F.col("i") + F.lit(size - 1))).alias("_at")
-        )
-        part = (
-            later.join(counted, ["doc", "row", "_at"])
-            .groupBy("doc", "row", "i", F.col("j").alias("start"), "last")
-            .agg(F.sum("words").alias("_words"))
-            .where(F.col("_words") >= min_words)
-            .select("doc", "row", "start", "last")
-        )
-        out = part if out is None else out.unionAll(part)
-    return out if out is not None else named.select("doc", "row", F.col("j").alias("start"), "last").limit(0)
-
-
 def dedup_lines(
     docs: DataFrame, min_lines: int = 3, text: str = "text", key: str = "doc_id", min_words: int | None = None
 ) -> DataFrame:
@@ -130,30 +116,32 @@ def dedup_lines(
     A line goes if `min_lines` consecutive lines around it, blank lines apart, also
     start at an earlier place: in a document with a smaller key, or further up in the
     same one. With `min_words`, fewer lines do if together they have so many words; without
-    it, shorter runs stay however long their lines are. Blank lines inside a deleted run go with it. Null keys have no order:
+    it, shorter runs stay however long their lines are. Columns of any name stay, but for
+    `n_lines` and `n_deleted`, which are replaced. Blank lines inside a deleted run go with it. Null keys have no order:
     those rows stay whole. Null text stays null and has no lines. Rows equal in
     key and text are one text. An empty table gives no rows.
     """
-    found = repeated_runs(docs, min_lines, text, key).select("doc", "row", "start", "last")
-    if min_words is not None:
-        found = found.unionAll(short_runs(docs, min_lines, min_words, text, key))
-    runs = found.groupBy("doc", "row").agg(
-        F.collect_list(F.struct("start", "last")).alias("_runs")
-    )
-    kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    inside = docs.select(*kept_columns).withColumn("_row", F.xxhash64(text))
-    joined = inside.join(
-        runs.withColumnsRenamed({"doc": "_doc", "row": "_r"}), (F.col(key) == F.col("_doc")) & (F.col("_row") == F.col("_r")), "left"
-    )
-    free = F.filter(
-        raw_lines(text), lambda x, j: ~F.exists("_runs", lambda r: (j >= r["start"]) & (j <= r["last"]))
+    found = repeated_runs(docs, min_lines, text, key, min_words).select("doc", "row", "start", "last")
+    kept_columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_deleted")]
+    doc_, row_, runs_, mine, left_ = spare([*docs.columns, "n_lines", "n_deleted"], "_doc", "_r", "_runs", "_row", "_left")
+    # every run is cut to the lines it deletes, once: a line in many runs is one row
+    lines = found.select("doc", "row", F.explode(F.sequence("start", "last")).alias("j")).distinct()
+    gone = lines.groupBy(F.col("doc").alias(doc_), F.col("row").alias(row_)).agg(F.array_sort(F.collect_list("j")).alias(runs_))
+    inside = docs.select(*kept_columns).withColumn(mine, F.xxhash64(text))
+    joined = inside.join(gone, (F.col(key) == F.col(doc_)) & (F.col(mine) == F.col(row_)), "left")
+    # a flag for each line up to the last deleted one, so that lines and flags pass side by side
+    before = lambda k: F.coalesce(F.get(F.col(runs_), k - 1), F.lit(-1))
+    step = lambda k: F.concat(
+        F.array_repeat(F.lit(False), F.get(F.col(runs_), k) - before(k) - 1), F.array(F.lit(True))
     )
+    flags = F.flatten(F.transform(F.sequence(F.lit(0), F.size(runs_) - 1), step))
+    free = F.zip_with(raw_lines(text), flags, lambda x, gone: F.when(gone, F.lit(None)).otherwise(x))
     words = lambda lines: F.size(F.filter(lines, lambda x: x.rlike(_WORD))).cast("long")
-    left = F.when(F.col("_runs").isNull(), F.col(text)).otherwise(F.array_join(free, "\n"))
+    left = F.when(F.col(runs_).isNull(), F.col(text)).otherwise(F.array_join(free, "\n"))
     return (
-        joined.withColumn("_left", left)
+        joined.withColumn(left_, left)
         .withColumn("n_lines", words(raw_lines(text)))
-        .withColumn("n_deleted", F.col("n_lines") - words(raw_lines("_left")))
-        .withColumn(text, F.col("_left"))
+        .withColumn("n_deleted", F.col("n_lines") - words(raw_lines(left_)))
+        .withColumn(text, F.col(left_))
         .select(*kept_columns, "n_lines", "n_deleted")
     )

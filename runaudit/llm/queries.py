@@ -95,8 +95,8 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without runs of three lines that were there before."""
-    return line_dedup.dedup_lines(load(spark, sf_dir, "documents")).select(
+    """Every document without runs of three lines, or of 50 words, that were there before."""
+    return line_dedup.dedup_lines(load(spark, sf_dir, "documents"), min_words=50).select(
         "doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     )
 
@@ -110,11 +110,18 @@ WITH raw AS (
   SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS i
   FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), runs AS (
-  SELECT doc_id, i, j, line AS a, lead(line) OVER w AS b, lead(line, 2) OVER w AS c, lead(j, 2) OVER w AS last
+  SELECT doc_id, i, j, line AS a, lead(line) OVER w AS b, lead(line, 2) OVER w AS c, lead(j) OVER w AS last2, lead(j, 2) OVER w AS last,
+         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS wa, len(regexp_extract_all(lead(line) OVER w, '[^\x20\x09-\x0D]+')) AS wb
   FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY j)
 ), firsts AS (
-  SELECT *, first_value(doc_id) OVER w AS fd, first_value(i) OVER w AS fi
+  SELECT doc_id, i, j, last, first_value(doc_id) OVER w AS fd, first_value(i) OVER w AS fi
   FROM runs WHERE last IS NOT NULL WINDOW w AS (PARTITION BY a, b, c ORDER BY doc_id, i)
+  UNION ALL
+  SELECT doc_id, i, j, last2, first_value(doc_id) OVER w, first_value(i) OVER w
+  FROM runs WHERE last2 IS NOT NULL AND wa + wb >= 50 WINDOW w AS (PARTITION BY a, b ORDER BY doc_id, i)
+  UNION ALL
+  SELECT doc_id, i, j, j, first_value(doc_id) OVER w, first_value(i) OVER w
+  FROM runs WHERE wa >= 50 WINDOW w AS (PARTITION BY a ORDER BY doc_id, i)
 ), gone AS (
   SELECT DISTINCT doc_id, unnest(generate_series(j, last)) AS j
   FROM firsts WHERE fd < doc_id OR (fd = doc_id AND fi < i)

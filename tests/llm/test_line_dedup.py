@@ -5,9 +5,24 @@ import brute
 from runaudit.llm import line_dedup
 
 
-def by_hand(docs, k):
-    """doc -> (lines, deleted, text) with every window of k lines held against all
-    earlier ones."""
+def by_hand(docs, k, min_words=None):
+    """doc -> (lines, deleted, text) with every window of k lines, and of fewer with
+    `min_words` words, held against all earlier ones."""
+    if min_words is not None and k > 1:
+        return _merged(docs, [_gone(docs, k), *(_gone(docs, n, min_words) for n in range(1, k))])
+    return _merged(docs, [_gone(docs, k)])
+
+
+def _merged(docs, found):
+    out = {}
+    for d, t in ((d, t) for d, t in docs if d is not None):
+        raw, gone = (t or "").split("\n"), set().union(*(f.get(d, ()) for f in found))
+        at = {j for j, x in enumerate(raw) if brute.words(x)}
+        out[d] = (len(at), len(gone & at), "\n".join(x for j, x in enumerate(raw) if j not in gone))
+    return out
+
+
+def _gone(docs, k, min_words=0):
     first, places = {}, {}
     for d, t in sorted((r for r in docs if r[0] is not None), key=lambda r: r[0]):
         raw = (t or "").split("\n")
@@ -17,11 +32,11 @@ def by_hand(docs, k):
             first.setdefault(tuple(raw[j] for j in at[i : i + k]), (d, i))
     out = {}
     for d, (raw, at) in places.items():
-        gone = set()
+        gone = out.setdefault(d, set())
         for i in range(len(at) - k + 1):
-            if first[tuple(raw[j] for j in at[i : i + k])] < (d, i):
+            window = tuple(raw[j] for j in at[i : i + k])
+            if first[window] < (d, i) and len(brute.words(" ".join(window))) >= min_words:
                 gone.update(range(at[i], at[i + k - 1] + 1))
-        out[d] = (len(at), len(gone & set(at)), "\n".join(x for j, x in enumerate(raw) if j not in gone))
     return out
 
 
@@ -37,6 +52,19 @@ def test_against_brute_force(spark):
         if k == 1:  # windows of one line do not reach over the blank lines inside a run
             got, want = ({d: r[:2] for d, r in x.items()} for x in (got, want))
         assert got == want, k
+    long = [(d, "\n".join(x * rnd.choice([1, 1, 30]) for x in t.split("\n"))) for d, t in docs]
+    df = spark.createDataFrame([(d, t, "r", 1, 2) for d, t in long], "doc_id long, text string, _row string, _runs int, _left int")
+    got = {r.doc_id: (r.n_lines, r.n_deleted, r.text) for r in line_dedup.dedup_lines(df, min_words=50).collect()}
+    want = by_hand(long, 3, 50)
+    assert got == want and got != by_hand(long, 3)
+
+
+def test_many_runs_in_a_long_text(spark):
+    """A text of 60,000 lines with thousands of runs takes time in proportion to its lines."""
+    block = "\n".join(f"line {i}" for i in range(6))
+    text = "\n".join(f"{block}\nown {i}" for i in range(8000))
+    (got,) = line_dedup.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert got.n_deleted == 7999 * 6 and got.text == "\n".join([block, *(f"own {i}" for i in range(8000))])
 
 
 def test_maximal_runs(spark):
