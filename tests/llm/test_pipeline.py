@@ -27,7 +27,7 @@ def test_stages_on_their_own_inputs(spark):
     assert all(len(brute.words(r.text)) >= 50 for r in after.values())
 
     before, after = kept["line_dedup"]
-    want = by_hand([(d, r.text) for d, r in before.items()], 3)
+    want = by_hand([(d, r.text) for d, r in before.items()], 3, 50)
     assert {d: r.text for d, r in after.items()} == {d: t for d, (n, gone, t) in want.items() if not gone or gone < n}
     assert all(r.n_chars == len(r.text) for r in after.values())
 
@@ -61,3 +61,21 @@ def test_odd_rows_pass_every_stage(spark):
         assert stage(spark, df, SF).count() >= 0
         assert stage(spark, df.limit(0), SF).count() == 0
     assert stage(spark, df, SF).agg(F.sum("length")).first()[0] > 0
+
+
+def test_repeated_rows_in_each_stage(spark):
+    """Rows equal in all columns: judged alike, one text to the line stage, one kept by `near`, judged alike by
+    `benchmark`, packed each for itself."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    twice = docs.unionByName(docs)
+    quality, lines, near, benchmark, pack = (f for _, f in corpus_pipeline.STAGES)
+
+    def times(df, key="doc_id"):
+        return {r[key]: r["count"] for r in df.groupBy(key).count().collect()}
+
+    assert set(times(quality(spark, twice, SF)).values()) == {2}
+    assert set(times(lines(spark, twice, SF)).values()) == {2}
+    assert times(near(spark, twice, SF)) == times(near(spark, docs, SF)) and set(times(near(spark, twice, SF)).values()) == {1}
+    assert set(times(benchmark(spark, twice, SF)).values()) == {2}
+    packed = pack(spark, twice, SF)
+    assert packed.count() == packed.select("sequence_id", "offset").distinct().count()
