@@ -78,6 +78,37 @@ def test_every_edit_rate_up_to_the_limit(spark):
         assert distance == edits(items[i], docs[d][1].split())
 
 
+def test_recall_of_sampling_alone(capsys):
+    """Of copies with just so many edits, the share that the sampled walks find without the pieces."""
+    rnd = random.Random(12)
+    pool = [f"w{i}" for i in range(5000)]
+    known = decontaminate.WordHashes()
+    items = [[rnd.choice(pool) for _ in range(rnd.randrange(16, 60))] for _ in range(150)]
+    index = decontaminate.Index.of([known.of([" ".join(x).encode()])[0] | np.uint64(1) for x in items], list(range(150)), 20)
+    share = {}
+    for percent in (0, 5, 10, 15, 20):
+        texts = []
+        for x in items * 2:
+            around = [[rnd.choice(pool) for _ in range(20)] for _ in range(2)]
+            texts.append(" ".join(around[0] + edited(x, len(x) * percent // 100, rnd) + around[1]).encode())
+        hashes, n = known.of(texts)
+        first = np.cumsum(n + 1) - n - 1
+        laid = np.zeros(len(hashes) + len(n), np.uint64)
+        laid[np.arange(len(hashes)) + np.repeat(np.arange(len(n)), n)] = hashes | np.uint64(1)
+        owner = np.repeat(np.arange(len(n)), n + 1)
+        hit = np.zeros(len(texts), bool)
+        with np.errstate(over="ignore"):
+            alive = index.alive(laid, 20)
+            assert all(alive[a + 20 : a + 30].all() for a in first)  # the pair filter drops no match
+            for place, _, item in index.candidates(laid, pieced=False):
+                text = owner[place]
+                hit[text[(item == text % 150) & (np.abs(place - first[text] - 20) <= 12)]] = True
+        share[percent] = hit.mean()
+    with capsys.disabled():
+        print(" recall of sampled walks by edit rate:", share)
+    assert share[0] == 1.0 and min(share.values()) >= 0.9
+
+
 def test_exact_copies_are_always_found(spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     texts = [r.text for r in bench.orderBy("item_id").collect()]
