@@ -134,3 +134,23 @@ SQL["scaling_ladder"] = build("""
   SELECT rung, (SELECT count(*) FROM fr WHERE frame_idx < rung) AS frames,
     (SELECT sum(octet_length(encode(printf('%.6f', t) || ',' || printf('%.6f', value))))::BIGINT FROM fr WHERE frame_idx < rung) AS stream_bytes,
     (SELECT count(*) FROM edges WHERE entity_id = 'human' AND frame_first < rung) AS intervals FROM rungs""", "fr", "edges", "rungs")
+SQL["crossover_fallbacks"] = build("""
+  SELECT f.run_id, frame_idx AS frames, value / 100.0::DOUBLE AS ratio
+  FROM fr f JOIN (SELECT run_id, min(frame_idx) AS first_at FROM fr WHERE value / 100.0::DOUBLE >= 1.0 GROUP BY 1) x ON x.run_id = f.run_id
+  WHERE frame_idx > first_at AND value / 100.0::DOUBLE < 1.0""", "fr")
+define("rate_seg", """
+  SELECT run_id, t AS ta, value / 100.0::DOUBLE AS va, lead(t) OVER w AS tb, lead(value / 100.0::DOUBLE) OVER w AS vb FROM fr
+  WINDOW w AS (PARTITION BY run_id ORDER BY frame_idx)""", "fr")
+define("rate_pts", """
+  SELECT run_id, rate, k, k / rate::DOUBLE AS t FROM (
+    SELECT run_id, rate, unnest(range(round_even(t_last * rate, 0)::BIGINT + 1)) AS k FROM ru, (VALUES (50), (100), (250), (1000)) r(rate) WHERE frame_count > 1)""", "ru")
+define("rate_frames", """
+  SELECT p.run_id, p.rate, p.k, round_even(p.t / 0.01::DOUBLE, 0)::BIGINT AS b, s.va + (s.vb - s.va) / (s.tb - s.ta) * (p.t - s.ta) AS d
+  FROM rate_pts p ASOF JOIN (SELECT * FROM rate_seg WHERE tb IS NOT NULL) s ON s.run_id = p.run_id AND p.t >= s.ta""", "rate_pts", "rate_seg")
+define("rate_cmp", """
+  SELECT *, round_even(d / 0.01::DOUBLE, 0)::BIGINT AS c FROM rate_frames""", "rate_frames")
+SQL["control_rates"] = build("""
+  SELECT run_id, rate::BIGINT AS rate, count(*) AS frames, count(DISTINCT b) AS instants, sum(CASE WHEN before = c THEN 0 ELSE 1 END)::BIGINT AS intervals,
+    round_even(max(abs(d - said * 0.01::DOUBLE)) * 1e6, 0)::BIGINT AS worst_error_e6
+  FROM (SELECT *, lag(c) OVER (PARTITION BY run_id, rate ORDER BY k) AS before, first_value(c) OVER (PARTITION BY run_id, rate, b ORDER BY k) AS said FROM rate_cmp)
+  GROUP BY 1, 2""", "rate_cmp")

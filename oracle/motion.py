@@ -80,6 +80,24 @@ SQL["reach_overlap"] = build(f"""
     SELECT d.run_id, d.frame_idx, d.entity_id, count(*) AS n FROM discs d JOIN reach_c c ON c.run_id = d.run_id AND c.frame_idx = d.frame_idx
     WHERE sqrt(pow(((cell // 1048576 - 524288) + 0.5) * 0.08::DOUBLE - cx, 2) + pow(((cell % 1048576 - 524288) + 0.5) * 0.08::DOUBLE - cy, 2)) <= r
     GROUP BY 1, 2, 3)""", "discs", "reach_c")
+define("hg", """
+  SELECT DISTINCT run_id, frame_idx // 5 AS frame_idx, run_id * 3 + frame_idx // 5 // 2 * 37 AS k FROM fr""", "fr")
+define("g0", """
+  SELECT run_id, frame_idx, u0, u1, (k % 628) / 100.0::DOUBLE - 3.14::DOUBLE AS p0, (k % 520) / 100.0::DOUBLE - 2.6::DOUBLE AS p1, 0.5::DOUBLE AS w0, -0.5::DOUBLE AS w1
+  FROM hg, (VALUES (-8.0::DOUBLE, -10.0::DOUBLE), (-8.0, 10.0), (8.0, -10.0), (8.0, 10.0)) u(u0, u1)""", "hg")
+define("g1", step("g0", "0.05::DOUBLE"), "g0")
+define("g2", step("g1", "0.05::DOUBLE"), "g1")
+define("gposes", """
+  SELECT DISTINCT run_id, frame_idx, p0, p1 FROM (SELECT run_id, frame_idx, p0, p1 FROM g0 UNION ALL
+    SELECT run_id, frame_idx, p0, p1 FROM g1 UNION ALL SELECT run_id, frame_idx, p0, p1 FROM g2)""", "g0", "g1", "g2")
+define("reach_g", raster("gposes", "0.05"), "gposes")
+define("gdig", "SELECT run_id, frame_idx AS g, sha256(string_agg(cell::VARCHAR, ',' ORDER BY cell)) AS region_id FROM reach_g GROUP BY 1, 2", "reach_g")
+SQL["reach_timeline"] = build("""
+  SELECT run_id, region_id, min(frame_idx) FILTER (WHERE kept) AS frame_first, max(frame_idx) AS frame_last, min(t) FILTER (WHERE kept) AS t_start, max(t) AS t_end
+  FROM (SELECT f.run_id, f.frame_idx, f.t, d.region_id, k.frame_idx IS NOT NULL AS kept,
+          f.frame_idx - row_number() OVER (PARTITION BY f.run_id, d.region_id ORDER BY f.frame_idx) AS island
+        FROM fr f JOIN gdig d ON d.run_id = f.run_id AND d.g = f.frame_idx // 5 LEFT JOIN kept k ON k.run_id = f.run_id AND k.frame_idx = f.frame_idx)
+  GROUP BY run_id, region_id, island HAVING count(*) FILTER (WHERE kept) > 0""", "fr", "gdig", "kept")
 define("pose0", "SELECT run_id, frame_idx, q0 AS p0, q1 AS p1 FROM mv", "mv")
 define("body_c", raster("pose0", "0.05"), "pose0")
 define("wide_c", raster("pose0", "0.15"), "pose0")

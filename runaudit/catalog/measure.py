@@ -14,6 +14,7 @@ from runaudit.operators import intervals as I
 from runaudit.operators.scan import durable, shared_path
 from runaudit.plans import build as B
 from runaudit.plans import grade as GR
+from runaudit.plans import rates as RT
 from runaudit.plans import incident as INC
 from runaudit.plans import questions as Q
 from runaudit.sources import frames as FR
@@ -181,6 +182,26 @@ def crossover(spark, sf):
     return GR.crossover(pts)
 
 
+@register
+def crossover_fallbacks(spark, sf):
+    """The lengths beyond the crossover that fell back, a row each."""
+    f = Scene(spark, sf).frames()
+    return GR.fallbacks(f.select("run_id", F.col("frame_idx").alias("frames"), (F.col("value") / 100.0).alias("ratio")))
+
+
+@register
+def control_rates(spark, sf):
+    """Every run at 50 to 1,000 Hz, over its own duration."""
+    sc = Scene(spark, sf)
+    knots = sc.frames().select("run_id", "t", (F.col("value") / 100.0).alias("v"))
+    frames = durable(RT.at_rates(sc.runs(), knots, [50.0, 100.0, 250.0, 1000.0], sc.period))
+    out = RT.control_rates(sc.runs(), frames)
+    return out.select(
+        "run_id", F.col("rate").cast("long").alias("rate"), "frames", "instants", "intervals",
+        F.rint(F.col("worst_error") * 1e6).cast("long").alias("worst_error_e6"),
+    )
+
+
 @register
 def rate_multiple(spark, sf):
     f = Scene(spark, sf).frames()

@@ -9,6 +9,7 @@ from runaudit.functions import canonical as K
 from runaudit.functions import geometry as G
 from runaudit.functions import scalars as S
 from runaudit.operators import adjudicate as A
+from runaudit.operators import intervals as I
 from runaudit.operators import replan as P
 from runaudit.operators.scan import durable
 from runaudit.sources.bindings import Records, Scene
@@ -110,6 +111,28 @@ def reach_overlap(spark, sf):
     )
 
 
+HOLD = 5  # frames a pose is held in `reach_timeline`
+
+
+@register
+def reach_timeline(spark, sf):
+    """W6 over R1 and R4: the region an arm can reach, by the digest of its cells, as it moves in steps."""
+    sc = Scene(spark, sf)
+    g = F.floor(F.col("frame_idx") / HOLD).cast("long")
+    held = sc.frames().select("run_id", "frame_idx", "t", g.alias("g")).withColumn("_k", F.col("run_id") * 3 + F.floor(F.col("g") / 2) * 37)
+    pose = held.groupBy("run_id", "g").agg(F.max("_k").alias("k"))
+    joints = [(F.col("k") % 628) / 100.0 - 3.14, (F.col("k") % 520) / 100.0 - 2.6]
+    speed = [F.lit(0.5), F.lit(-0.5)]
+    poses = G.reachable_poses(joints, speed, ARM, HORIZON, SUBSTEP, G.controls(ARM))
+    cells = pose.withColumn("poses", poses).select("run_id", "g", G.region_cells(F.col("poses"), ARM, CELL).alias("cells"))
+    digests = held.join(cells.select("run_id", "g", G.region_digest(F.col("cells")).alias("digest")), ["run_id", "g"])
+    obs = durable(sc.observations())
+    kept = I.retained_frames(I.presence_spans(obs), I.coalesce_intervals(obs), sc.runs())
+    return I.region_timeline(digests.select("run_id", "frame_idx", "t", "digest"), kept).select(
+        "run_id", "region_id", "frame_first", "frame_last", "t_start", "t_end"
+    )
+
+
 @register
 def escape_cells(spark, sf):
     """Body cells of each frame outside the region its 4-frame group's

@@ -278,6 +278,12 @@ def crossover(points: DataFrame) -> DataFrame:
     )
 
 
+def fallbacks(points: DataFrame) -> DataFrame:
+    """(run_id, frames, ratio) of the lengths beyond a run's crossover whose ratio is below 1 again."""
+    first = points.filter(F.col("ratio") >= 1.0).groupBy("run_id").agg(F.min("frames").alias("_at"))
+    return points.join(first, "run_id").filter((F.col("frames") > F.col("_at")) & (F.col("ratio") < 1.0)).drop("_at")
+
+
 def rate_multiple(points: DataFrame) -> DataFrame:
     """Cost at the lowest and highest rate and their quotient; two rates
     are needed. points: run_id, rate, cost."""
