@@ -40,7 +40,11 @@ define("inc", """
   LEFT JOIN (SELECT * FROM verd WHERE outcome <> 'PERMIT' QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY t, seq) = 1) x ON x.run_id = b.run_id
   LEFT JOIN (SELECT run_id, count(*) AS vis, count(DISTINCT entity_id) AS vent FROM ivis GROUP BY 1) s ON s.run_id = b.run_id
   LEFT JOIN ru ON ru.run_id = b.run_id""", "ib1", "vcs", "iv", "ifirst", "verd", "ivis", "ru")
-SQL["incident_report"] = build("SELECT * FROM inc", "inc")
+SQL["incident_report"] = build("""
+  SELECT *, 'the policy stayed inside the bound it declared and had in force at t=' || t::VARCHAR AS goal,
+    'Read what was declared and in force at the instant, every action judged while those declarations ran, and the bound that was applied; then check both record chains.' AS strategy,
+    'Only the scene clause depends on perceived entities. Declarations, verdicts and chains come from the machine''s own state, so an error of perception cannot turn a refusal into a permit.' AS justification
+  FROM inc""", "inc")
 SQL["incident_evidence"] = build("""
   SELECT b.run_id, b.t, 'declared' AS clause, k AS kind, CASE k WHEN 'declaration' THEN declaration_id ELSE region_id END AS ref, 'A' AS layer
   FROM ib1 b JOIN drows d ON d.run_id = b.run_id AND reason = 'answered' AND b.t BETWEEN t_issued AND t_issued + horizon, (VALUES ('declaration'), ('envelope')) v(k)

@@ -42,7 +42,7 @@ def report(spark, sf):
 
 @register
 def incident_report(spark, sf):
-    return report(spark, sf).summary.drop("strategy", "justification", "goal")
+    return report(spark, sf).summary
 
 
 @register
@@ -194,7 +194,7 @@ def control_rates(spark, sf):
     """Every run at 50 to 1,000 Hz, over its own duration."""
     sc = Scene(spark, sf)
     knots = sc.frames().select("run_id", "t", (F.col("value") / 100.0).alias("v"))
-    frames = durable(RT.at_rates(sc.runs(), knots, [50.0, 100.0, 250.0, 1000.0], sc.period))
+    frames = durable(RT.at_rates(sc.runs(), knots, [50.0, 100.0, 250.0, 1000.0]))
     out = RT.control_rates(sc.runs(), frames)
     return out.select(
         "run_id", F.col("rate").cast("long").alias("rate"), "frames", "instants", "intervals",

@@ -337,7 +337,7 @@ def interpolate_knots(spark, sf):
         "run_id", "t", (F.col("event_id") % 500).cast("double").alias("v")
     )
     pts = f.select("run_id", F.col("frame_idx").alias("point_id"), "t")
-    r = I.interpolate_knots(pts, knots, bin_span=64 * sc.period)
+    r = I.interpolate_knots(pts, knots)
     return r.select(
         "run_id", F.col("point_id").alias("frame_idx"),
         F.rint(F.col("value") * 1000).cast("long").alias("value_milli"),

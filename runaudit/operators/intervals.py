@@ -233,30 +233,22 @@ def region_timeline(
     return islands.filter(F.col("frame_first").isNotNull())
 
 
-def interpolate_knots(points: DataFrame, knots: DataFrame, bin_span: float) -> DataFrame:
+def interpolate_knots(points: DataFrame, knots: DataFrame, parts: int | None = None) -> DataFrame:
     """Piecewise-linear value and slope at t; the first and last segment hold
     outside the knots' span (J13).
 
-    Points and knots are cut into bins of bin_span; the segment of a point is
+    Points and knots lie in one layout sorted by range; the segment of a point is
     the last knot at or before it, found by a two-level running value, so no
     pairwise range join is needed."""
-    from runaudit.operators.scan import Scan, running
+    from runaudit.operators.scan import Scan, ranged, running
 
-    def binned(df):
-        return df.withColumn("bin", F.floor(F.col("t") / F.lit(bin_span)).cast("long"))
-
-    k = running(
-        binned(knots).withColumn("_neg", -F.col("t")).withColumn("_nbin", -F.col("bin")),
-        ["run_id"],
-        "_nbin",
-        ["_neg"],
-        [Scan("_next", "lag", F.struct("t", "v"))],
-    )
+    back = ranged(knots.withColumn("_neg", -F.col("t")), ["run_id"], ["_neg"], parts)
+    k = running(back, ["run_id"], "chunk", ["_neg"], [Scan("_next", "lag", F.struct("t", "v"))])
     ends = knots.groupBy("run_id").agg(
         F.min("t").alias("_t0"), F.max("t").alias("_t1"), F.count(F.lit(1)).alias("_knots")
     )
     seg = k.filter(F.col("_next").isNotNull()).select(
-        "run_id", "bin", "t", F.struct(F.col("t").alias("ta"), F.col("v").alias("va"),
+        "run_id", "t", F.struct(F.col("t").alias("ta"), F.col("v").alias("va"),
         F.col("_next.t").alias("tb"), F.col("_next.v").alias("vb")).alias("_seg"),
         F.lit(0).alias("_kind"), F.lit(None).cast(points.schema["point_id"].dataType).alias("point_id"),
     )
@@ -264,11 +256,11 @@ def interpolate_knots(points: DataFrame, knots: DataFrame, bin_span: float) -> D
         seg.groupBy("run_id").agg(F.min_by("_seg", "t").alias("_first"))
     )
     both = seg.unionByName(
-        binned(points).select("run_id", "bin", "t", F.lit(None).cast(seg.schema["_seg"].dataType).alias("_seg"),
+        points.select("run_id", "t", F.lit(None).cast(seg.schema["_seg"].dataType).alias("_seg"),
         F.lit(1).alias("_kind"), "point_id")
     )
     found = running(
-        both, ["run_id"], "bin", ["t", "_kind", "point_id"],
+        ranged(both, ["run_id"], ["t", "_kind"], parts), ["run_id"], "chunk", ["t", "_kind", "point_id"],
         [Scan("_at", "last", F.col("_seg"), inclusive=True)],
     ).filter(F.col("_kind") == 1)
     out = found.join(first, "run_id", "left").withColumn("_s", F.coalesce("_at", "_first"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runaudit import vocab as V
-from runaudit.operators.scan import Scan, running
+from runaudit.operators.scan import Scan, running, ranged
 from runaudit.sources.bindings import region_id
 
 EDGE_COLUMNS = ("run_id", "type", "src_id", "dst_id", "t_start", "t_end")
@@ -166,7 +166,7 @@ def passivation_spans(verdicts: DataFrame, chunk_rows: int = V.CHUNK_ROWS) -> Da
 
 
 def asof_declaration(
-    declarations: DataFrame, verdicts: DataFrame, chunk_span: float = 30.0
+    declarations: DataFrame, verdicts: DataFrame, parts: int | None = None
 ) -> DataFrame:
     """The latest declaration issued at or before each action, by one
     ordered pass over both streams instead of a range join."""
@@ -179,7 +179,7 @@ def asof_declaration(
         "run_id", "t", F.lit(1).alias("_side"), F.col("seq").alias("_seq"),
         F.lit(None).cast(d.schema["_decl"].dataType).alias("_decl"), "verdict_id",
     )
-    both = d.unionByName(v).withColumn("chunk", F.floor(F.col("t") / chunk_span).cast("long"))
+    both = ranged(d.unionByName(v), ["run_id"], ["t", "_side", "_seq"], parts)
     return (
         running(
             both, ["run_id"], "chunk", ["t", "_side", "_seq"],
@@ -196,7 +196,7 @@ def asof_declaration(
 
 def watchdog_gaps(
     declarations: DataFrame, verdicts: DataFrame, period: float, t_start: float,
-    chunk_span: float = 30.0,
+    parts: int | None = None,
 ) -> DataFrame:
     """Actions later than `period` after the last message heard; any
     offer counts as heard, a refused one too."""
@@ -208,7 +208,7 @@ def watchdog_gaps(
         "run_id", "t", F.lit(1).alias("_side"), F.col("seq").alias("_seq"), "verdict_id",
         F.lit(None).cast("double").alias("_heard"),
     )
-    both = d.unionByName(v).withColumn("chunk", F.floor(F.col("t") / chunk_span).cast("long"))
+    both = ranged(d.unionByName(v), ["run_id"], ["t", "_side", "_seq"], parts)
     heard = F.greatest(F.coalesce(F.col("_last"), F.lit(t_start)), F.lit(t_start))
     return (
         running(

@@ -38,6 +38,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ranged(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], parts: int | None = None, out: str = "chunk"
+) -> DataFrame:
+    """One sorted layout, stored: rows dealt to partitions by range of (keys, order), with the partition
+    as the chunk that `running`, `spans` and `number_rows` work in. Ranges are cut by how many rows
+    there are, so a run whose rows crowd into one day is spread like any other. Rows equal in keys
+    and order share a chunk."""
+    by = [F.col(c) for c in (*keys, *order)]
+    laid = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
+    return durable(laid.withColumn(out, F.spark_partition_id().cast("long")))
+
+
 def number_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, out: str
 ) -> DataFrame:
