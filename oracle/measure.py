@@ -3,7 +3,7 @@
 from oracle import integrity as _i  # noqa: F401  (defines shared expressions)
 from oracle import records as _r  # noqa: F401
 from oracle import scene as _s  # noqa: F401
-from oracle.ctes import AREA2, DIST, EDGES, OBS, build, define
+from oracle.ctes import AREA2, DEFS, DIST, EDGES, OBS, build, define
 
 SQL: dict[str, str] = {}
 
@@ -127,11 +127,21 @@ SQL["rate_multiple"] = """
 SQL["retention_projection"] = """
   SELECT run_id, h AS bytes_per_hour, h * 4380.0::DOUBLE AS retained_bytes, CASE WHEN h > 0 THEN (1e12 * 4380 / 24.0)::DOUBLE / (h * 4380.0::DOUBLE) END AS sensor_ratio FROM (
     SELECT user_id AS run_id, CASE WHEN count(*) > 1 THEN sum(octet_length(encode(props)))::BIGINT * 3600.0::DOUBLE / ((count(*) - 1) * 0.02::DOUBLE) END AS h FROM events GROUP BY 1)"""
-SQL["build_evidence"] = build("""
-  SELECT run_id, 'edges' AS "table", count(*) AS rows FROM (SELECT run_id FROM edges UNION ALL SELECT run_id FROM envs) GROUP BY 1
-  UNION ALL SELECT run_id, 'occurrences', count(*) FROM olog GROUP BY 1
-  UNION ALL SELECT run_id, 'regions', count(DISTINCT region_id) FROM envs GROUP BY 1
-  UNION ALL SELECT run_id, 'retained', count(*) FROM kept GROUP BY 1""", "edges", "envs", "olog", "kept")
+define("flog", DEFS["log"][1].replace("UNION ALL\n    SELECT run_id, 4,", """UNION ALL
+    SELECT e.run_id, 2, e.seq, e.ordinal, e.type, 'A', NULL, e.t, NULL FROM evs e WHERE e.run_id IN (SELECT run_id FROM ru)
+    UNION ALL
+    SELECT run_id, 4,"""), *DEFS["log"][0], "evs")
+define("ev_rows", """
+  SELECT run_id, 'edges' AS "table", type AS kind, entity_id AS what, frame_first AS n1, frame_last AS n2 FROM edges
+  UNION ALL SELECT run_id, 'edges', 'HAS_ENVELOPE', region_id, frame_first, frame_last FROM envs
+  UNION ALL SELECT run_id, 'occurrences', type, coalesce(entity_id, ''), seq, round_even(t / 1.0::DOUBLE, 0)::BIGINT FROM flog
+  UNION ALL SELECT DISTINCT run_id, 'regions', 'region', region_id, 0, 0 FROM envs
+  UNION ALL SELECT run_id, 'retained', 'frame', '', frame_idx, 0 FROM kept
+  UNION ALL SELECT run_id, 'records', kind, record_id, seq, round_even(t, 0)::BIGINT FROM recs WHERE run_id IN (SELECT run_id FROM ru)
+  UNION ALL SELECT run_id, 'record_edges', type, src_id || '>' || dst_id, round_even(t_start, 0)::BIGINT, round_even(t_end, 0)::BIGINT FROM att WHERE run_id IN (SELECT run_id FROM ru)""",
+  "edges", "envs", "flog", "kept", "recs", "att", "ru")
+SQL["evidence_rows"] = build("SELECT * FROM ev_rows", "ev_rows")
+SQL["build_evidence"] = build("""SELECT run_id, "table", count(*) AS rows FROM ev_rows GROUP BY 1, 2""", "ev_rows")
 define("hc", "SELECT * FROM obs WHERE entity_id = 'human'", "obs")
 define("rungs", "SELECT * FROM (VALUES (10::BIGINT), (20::BIGINT), (40::BIGINT), (1099511627776::BIGINT)) r(rung)")
 SQL["scaling_ladder"] = build("""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from runaudit import vocab as V
@@ -11,6 +12,7 @@ from runaudit.catalog import register
 from runaudit.functions import scalars as S
 from runaudit.operators import integrity as G
 from runaudit.operators import intervals as I
+from runaudit.operators import records as R
 from runaudit.operators.scan import durable, shared_path
 from runaudit.plans import build as B
 from runaudit.plans import grade as GR
@@ -226,7 +228,10 @@ def evidence_tables(spark, sf):
     presence = durable(I.presence_spans(obs))
     kept = I.retained_frames(presence, edges, sc.runs())
     env = I.region_timeline(sc.digests(), kept)
-    occ = B.scene_occurrences(obs, sc.distances(), sc.runs())
+    mine = sc.runs().select("run_id")
+    rc = Records(spark, sf)
+    d, v = (durable(x.join(mine, "run_id", "left_semi")) for x in (rc.declarations(), rc.verdicts()))
+    occ = B.scene_occurrences(obs, sc.distances(), sc.runs(), R.enforcement_events(v))
     scene = edges.select("run_id", "type", "entity_id", "t_start", "t_end", "frame_first", "frame_last", "overlap_area", "min_distance")
     has = env.select(
         "run_id", F.lit("HAS_ENVELOPE").alias("type"), F.col("region_id").alias("entity_id"), "t_start",
@@ -234,7 +239,32 @@ def evidence_tables(spark, sf):
         F.lit(None).cast("double").alias("overlap_area"), F.lit(None).cast("double").alias("min_distance"),
     )
     regions = env.select("run_id", "region_id").distinct()
-    return {"edges": scene.unionByName(has), "occurrences": occ, "regions": regions, "retained": kept}
+    return {
+        "edges": scene.unionByName(has), "occurrences": occ, "regions": regions, "retained": kept,
+        "records": R.record_union(d, v), "record_edges": R.attestation_edges(d, v),
+    }
+
+
+@register
+def evidence_rows(spark, sf):
+    """What the tables of the evidence store hold, row by row."""
+    t = evidence_tables(spark, sf)
+
+    def rows(name, a, b, n1, n2):
+        whole = [F.rint(n).cast("long") if isinstance(n, Column) else F.col(n).cast("long") for n in (n1, n2)]
+        return t[name].select(
+            "run_id", F.lit(name).alias("table"), a.alias("kind"), F.coalesce(b, F.lit("")).alias("what"),
+            whole[0].alias("n1"), whole[1].alias("n2"),
+        )
+
+    return (
+        rows("edges", F.col("type"), F.col("entity_id"), "frame_first", "frame_last")
+        .unionByName(rows("occurrences", F.col("type"), F.col("entity_id"), "seq", F.col("t")))
+        .unionByName(rows("regions", F.lit("region"), F.col("region_id"), F.lit(0), F.lit(0)))
+        .unionByName(rows("retained", F.lit("frame"), F.lit(""), "frame_idx", F.lit(0)))
+        .unionByName(rows("records", F.col("kind"), F.col("record_id"), "seq", F.col("t")))
+        .unionByName(rows("record_edges", F.col("type"), F.concat_ws(">", "src_id", "dst_id"), F.col("t_start"), F.col("t_end")))
+    )
 
 
 @register
