@@ -125,9 +125,15 @@ def labelled(docs: DataFrame, labels: DataFrame, text: str, key: str = "doc_id",
     of the key is fine (quality 1, not toxic), _low and _toxic where one is of low quality or toxic, _held for a quarter of the keys, on which no
     model is fitted. At most `bound` keys are taken, those with the
     least hash, so they can be sent to every task and no text is shuffled."""
-    said = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(fine()).alias("_good"), F.max(low()).alias("_low"), F.max(toxic()).alias("_toxic"))
-    some = said.orderBy(F.xxhash64(key), key).limit(bound)
-    return docs.select(key, text).join(F.broadcast(some), key).select(text, "_good", "_low", "_toxic", (F.pmod(F.xxhash64(F.lit("held"), key), F.lit(4)) == 0).alias("_held"))
+    some = said(labels, key).orderBy(F.xxhash64(key), key).limit(bound)
+    return docs.select(key, text).join(F.broadcast(some), key).select(text, "_good", "_low", "_toxic", "_held")
+
+
+def said(labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, _good, _low, _toxic, _held) of every labelled key."""
+    held = (F.pmod(F.xxhash64(F.lit("held"), key), F.lit(4)) == 0).alias("_held")
+    flags = [F.min(fine()).alias("_good"), F.max(low()).alias("_low"), F.max(toxic()).alias("_toxic")]
+    return labels.where(F.col(key).isNotNull()).groupBy(key).agg(*flags).select("*", held)
 
 
 def low() -> Column:

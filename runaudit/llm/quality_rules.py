@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runaudit.llm.common import WordHashes, rolling, slices, starts, table, utf8
-from runaudit.llm.grams import Ratio, bucket_ids, labelled
+from runaudit.llm.common import WordHashes, rolling, slices, starts, stored, table, utf8
+from runaudit.llm.grams import Ratio, bucket_ids, labelled, said
 
 BINS = 8192  # of the scores of labelled rows, over -SPAN..SPAN
 SPAN = 4.0
@@ -106,21 +106,38 @@ def threshold(scored: DataFrame, span: float = SPAN, weight: float = CLEAN_WEIGH
     return float(best[len(best) // 2] * step - span)  # the middle of a flat stretch
 
 
-def judge(docs: DataFrame, labels: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def ratios(docs: DataFrame, ratio: Ratio, toxic: Ratio, text: str, key: str) -> DataFrame:
+    """(key, log_ratio, toxic_ratio) of every row: what thresholds are taken from, without its text."""
+    sent = docs.sparkSession.sparkContext.broadcast((ratio, toxic))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            grams = bucket_ids(utf8(batch, text))
+            yield table(**{key: batch.column(0)}, log_ratio=sent.value[0].mean_of(*grams), toxic_ratio=sent.value[1].peak_of(*grams))
+
+    return docs.select(key, text).mapInArrow(scored, docs.select(key).schema.add("log_ratio", "double").add("toxic_ratio", "double"))
+
+
+def judge(
+    docs: DataFrame, labels: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), key: str = "doc_id", bound: int = 1 << 16
+) -> DataFrame:
     """Counts, `log_ratio`, `toxic_ratio`, `base_failed` and `kept` of each document, beside the
     columns `keep`; of those, columns with the names of the counts are replaced.
 
     A text fails the base rules with fewer than 50 words, or more than half of its
     words in repeated windows; null and empty texts fail. Equal texts get equal
     verdicts. Without usable labels only the base rules decide. An empty table
-    gives no rows.
+    gives no rows. The models are fitted on `bound` labelled keys at most; the thresholds
+    come from all labelled rows that are held from them.
     """
-    said = labelled(docs, labels, text)
-    ratio = Ratio.fit(docs, said.where("_good and not _held"), text)
-    toxic = Ratio.fit(said.where("(_good or _toxic) and not _held"), said.where("_toxic and not _held"), text, TOXIC_PRIOR)
-    cut = threshold(ratio.score(said.where("_held and (_good or _low)"), text, ["_good"]))
-    marked = toxic.score(said.where("_held and (_good or _toxic)"), text, ["_good"], peak=True)
-    toxic_cut = -threshold(marked.withColumn("log_ratio", -F.col("log_ratio")), TOXIC_SPAN, TOXIC_CLEAN_WEIGHT)
+    some = labelled(docs, labels, text, key, bound)
+    ratio = Ratio.fit(docs, some.where("_good and not _held"), text)
+    toxic = Ratio.fit(some.where("(_good or _toxic) and not _held"), some.where("_toxic and not _held"), text, TOXIC_PRIOR)
+    scored = ratios(docs.where(F.col(key).isNotNull()), ratio, toxic, text, key)
+    held = stored(scored.join(said(labels, key).where("_held"), key).select("_good", "_low", "_toxic", "log_ratio", "toxic_ratio"), "held")
+    cut = threshold(held.where("_good or _low"))
+    marked = held.where("_good or _toxic").select("_good", (-F.col("toxic_ratio")).alias("log_ratio"))
+    toxic_cut = -threshold(marked, TOXIC_SPAN, TOXIC_CLEAN_WEIGHT)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
         measures(docs, ratio, toxic, text, [c for c in keep if c not in (*COUNTS, "log_ratio", "toxic_ratio")])
