@@ -168,3 +168,7 @@ SQL["control_rates"] = build("""
     round_even(max(abs(d - said * 0.01::DOUBLE)) * 1e6, 0)::BIGINT AS worst_error_e6
   FROM (SELECT *, lag(c) OVER (PARTITION BY run_id, rate ORDER BY k) AS before, first_value(c) OVER (PARTITION BY run_id, rate, b ORDER BY k) AS said FROM rate_cmp)
   GROUP BY 1, 2""", "rate_cmp")
+SQL["layer_independence"] = build("""
+  SELECT s.run_id, count(rg.query) AS graded, coalesce(string_agg(DISTINCT rg.query || '@' || rg.level, ',' ORDER BY rg.query || '@' || rg.level) FILTER (WHERE rg.verdict <> 'AGREE'), '') AS "where",
+    count(rg.query) > 0 AND count(*) FILTER (WHERE rg.verdict <> 'AGREE') = 0 AS independent
+  FROM (SELECT DISTINCT run_id FROM allg) s LEFT JOIN rg ON rg.run_id = s.run_id GROUP BY 1""", "allg", "rg")

@@ -175,6 +175,16 @@ def level_lost(spark, sf):
     return GR.level_lost(scene_grades(spark, sf)[1].unionByName(record_grades(spark, sf)))
 
 
+@register
+def layer_independence(spark, sf):
+    """Whether layer A survives every level, with a scene as coarse as it gets."""
+    names = ("run_id", "level", "query", "verdict")
+    scene, records = scene_grades(spark, sf)[1].select(*names), record_grades(spark, sf).select(*names)
+    return GR.layer_independence(
+        scene.withColumn("layer", F.lit(V.LAYER_B)).unionByName(records.withColumn("layer", F.lit(V.LAYER_A)))
+    )
+
+
 @register
 def crossover(spark, sf):
     f = Scene(spark, sf).frames()

@@ -260,6 +260,18 @@ def level_lost(grades: DataFrame) -> DataFrame:
     )
 
 
+def layer_independence(grades: DataFrame) -> DataFrame:
+    """Whether every layer A question AGREEs at every level of a run, and which are lost
+    where. grades: run_id, level, query, verdict, layer. A run without layer A grades has shown nothing."""
+    a = F.col("layer") == V.LAYER_A
+    lost = F.when(a & (F.col("verdict") != V.AGREE), F.concat_ws("@", "query", "level"))
+    return grades.groupBy("run_id").agg(
+        F.count(F.when(a, 1)).alias("graded"), F.count(lost).alias("lost"),
+        # eight questions at three levels are the most there can be
+        F.array_join(F.sort_array(F.collect_set(lost)), ",").alias("where"),
+    ).select("run_id", "graded", "where", ((F.col("graded") > 0) & (F.col("lost") == 0)).alias("independent"))
+
+
 def crossover(points: DataFrame) -> DataFrame:
     """First length at which the ratio reaches 1, and the lengths beyond
     it that fell back. points: run_id, frames, ratio."""
