@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD_CACHE = 1 << 18  # words a task remembers the hash of; more only costs hashing them again
-SLICE_BYTES = 4 << 20  # text handled at once; one longer text is a slice of its own
+SLICE_BYTES = 1 << 20  # text handled at once; one longer text is a slice of its own
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 

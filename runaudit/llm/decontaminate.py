@@ -35,6 +35,7 @@ from runaudit.llm.common import WordHashes, mix, rolling, slices, spare, table,
 BLOCK_ITEMS, BLOCK_WORDS = 1024, 1 << 17
 CHUNK = 1 << 15  # words looked up together
 KNOWN_BITS = 18  # leading bits of a piece's hash in the first lookup
+TABLE_BITS = 14  # the same for the keys of a table, of which there are many
 PAIR_BITS = 20  # bits by which an item's word pairs are known
 WALKS, TABLES, SAMPLES = 10, 4, 4
 SHORTEST = 8  # words of an item that a walk can tell from another
@@ -94,8 +95,8 @@ def pair_bits(laid: np.ndarray) -> np.ndarray:
 
 def lookup(have: np.ndarray, key: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place in key, place in have) of all equal values; `have` is sorted, `known` says which
-    leading KNOWN_BITS it holds."""
-    hit = np.flatnonzero(known[(key >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)])
+    leading bits it holds."""
+    hit = np.flatnonzero(known[(key >> np.uint64(65 - len(known).bit_length())).astype(np.int64)])
     a, z = np.searchsorted(have, key[hit], "left"), np.searchsorted(have, key[hit], "right")
     more = z > a
     hit, a, z = hit[more], a[more], z[more]
@@ -103,9 +104,9 @@ def lookup(have: np.ndarray, key: np.ndarray, known: np.ndarray) -> tuple[np.nda
     return np.repeat(hit, each), np.repeat(a, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
 
 
-def leading(hashes: np.ndarray) -> np.ndarray:
-    known = np.zeros(1 << KNOWN_BITS, bool)
-    known[(hashes >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)] = True
+def leading(hashes: np.ndarray, bits: int = KNOWN_BITS) -> np.ndarray:
+    known = np.zeros(1 << bits, bool)
+    known[(hashes >> np.uint64(64 - bits)).astype(np.int64)] = True
     return known
 
 
@@ -156,7 +157,7 @@ class Index:
             for name, key in embed(laid, [c for c in classes if c >= SHORTEST]):
                 rows = np.flatnonzero(member == name[0])
                 rows = rows[np.argsort(key[first[rows]], kind="stable")]
-                tables[name] = (leading(key[first[rows]]), key[first[rows]], rows)
+                tables[name] = (leading(key[first[rows]], TABLE_BITS), key[first[rows]], rows)
         single = np.unique([x[0] for x in items if len(x) == 1]).astype(np.uint64)
         return Index(items, ids, classes, pairs, single, tables, keys, flags)
 
