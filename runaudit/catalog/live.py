@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from runaudit.catalog import register
-from runaudit.catalog.motion import events
+from runaudit.catalog.motion import WATCHDOG, events, signed_offers
 from runaudit.operators.scan import shared_path
 from runaudit.sources.bindings import Records, Scene
 from runaudit.streaming import live as L
@@ -34,6 +34,8 @@ def stream_intervals(spark, sf):
 def stream_watchdog(spark, sf):
     """X2 over all offers and actions."""
     root = shared_path(spark, "watch")
-    ev = events(Records(spark, sf)).select("run_id", "t", "side", "seq", "horizon")
+    rc = Records(spark, sf)
+    # regions and signatures say nothing about silence: unstored, they are never computed
+    ev = events(rc, signed_offers(rc)).select("run_id", "t", "side", "seq", "horizon", "t_start")
     src = L.as_stream(ev, f"{root}/in")
-    return L.run_available(L.stream_watchdog(src, 400.0, 0.0), f"{root}/out", f"{root}/check")
+    return L.run_available(L.stream_watchdog(src, WATCHDOG), f"{root}/out", f"{root}/check")

@@ -66,11 +66,12 @@ def stream_intervals(observations: DataFrame, lateness: str = "1 second") -> Dat
 ALARM = "run_id long, t double, kind string"
 
 
-def _watch(watchdog: float, t_start: float):
+def _watch(watchdog: float, t_start: float | None):
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        heard, expires = state.get if state.exists else (t_start, None)
         alarms = []
         rows = pd.concat(list(batches)).sort_values(["t", "side", "seq"])
+        began = float(rows["t_start"].iloc[0]) if t_start is None else t_start
+        heard, expires = state.get if state.exists else (began, None)
         for t, side, horizon in zip(rows["t"], rows["side"], rows["horizon"]):
             if side == 0:
                 heard, expires = max(heard, float(t)), float(t) + float(horizon)
@@ -84,9 +85,10 @@ def _watch(watchdog: float, t_start: float):
     return step
 
 
-def stream_watchdog(events: DataFrame, watchdog: float, t_start: float) -> DataFrame:
+def stream_watchdog(events: DataFrame, watchdog: float, t_start: float | None = None) -> DataFrame:
     """Alarms for actions after silence or under an expired declaration.
-    State is the last instant heard and the last expiry."""
+    State is the last instant heard and the last expiry. A run is listened to from
+    `t_start` on; with None, from the instant its rows name in a column of that name."""
     return events.groupBy("run_id").applyInPandasWithState(
         _watch(watchdog, t_start), ALARM, "heard double, expires double", "append",
         GroupStateTimeout.NoTimeout,

@@ -1,8 +1,14 @@
 """Text frame streams: line numbers and headers, by the lines of the files themselves."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from oracle_check import compare
 from runaudit.sources import frames as FR
+from runaudit.streaming import live as L
 
 HEADER = "t,q_0,qd_0,human_x,human_y,human_vx,human_vy"
 
@@ -47,3 +53,22 @@ def test_lines_of_a_file_read_in_blocks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_watchdog_hears_each_run_from_its_own_start(spark, tmp_path):
+    """Run 2 is listened to from 1000 on; in run 1, 500 passes in silence, then an offer expires."""
+    rows = [(1, 500.0, 1, 0, None, 50.0), (1, 600.0, 0, 1, 10.0, 50.0), (1, 605.0, 1, 2, None, 50.0), (1, 611.0, 1, 3, None, 50.0),
+            (2, 1300.0, 1, 0, None, 1000.0), (2, 1401.0, 1, 1, None, 1000.0)]
+    ev = spark.createDataFrame(rows, "run_id long, t double, side int, seq long, horizon double, t_start double")
+    src = L.as_stream(ev, str(tmp_path / "in"))
+    out = L.run_available(L.stream_watchdog(src, 400.0), str(tmp_path / "out"), str(tmp_path / "check"))
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == [(1, 500.0, "watchdog_expiry"), (1, 611.0, "stale_declaration"), (2, 1401.0, "watchdog_expiry")]
+
+
+def test_watchdog_query_equals_its_statement(spark):
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("test tables are not here")
+    ok, _, _, note = compare(spark, sf, entry.queries()["stream_watchdog"], entry.oracle_sql()["stream_watchdog"])
+    assert ok, note
