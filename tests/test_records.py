@@ -220,3 +220,25 @@ def test_passivation_across_chunks(spark):
             want.append((s, 1, {"VETO": "declaration_vetoed", "CLAMP": "action_clamped"}[o]))
         on = on or f in V.PASSIVATING_FAULTS
     assert got == sorted(want)
+
+
+def test_sealing_moves_fields_and_not_the_text_of_heads(spark):
+    df = spark.createDataFrame(
+        [(1, "d0", 0, 0.5, 0.5, "reach", bytearray(b"x"))],
+        "run_id long, declaration_id string, seq long, t_issued double, horizon double, "
+        "action_class string, declared_envelope binary",
+    )
+    plan = G.seal(df, "Declaration", KEY)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    written = next(i for i, line in enumerate(plan) if "AS _head" in line)
+    moved = next(i for i, line in enumerate(plan) if "RepartitionByExpression" in line)
+    assert written < moved  # plans are printed from the last step down
+
+
+def test_links_that_are_no_hashes_are_kept_as_they_are(spark, chain):
+    odd = {1: "zz", 2: "0" * 63 + "G", 3: None, 4: "1" * 64}
+    prev = F.col("prev_hash")
+    for s, v in odd.items():
+        prev = F.when(F.col("seq") == s, F.lit(v)).otherwise(prev)
+    c = G.checked(G.chain_rows(chain.withColumn("prev_hash", prev), "Declaration"), {"policy": KEY})
+    got = {(r["run_id"], r["seq"]): r["prev_hash"] for r in c.collect()}
+    assert len(got) == 36 and all(got[0, s] == v for s, v in odd.items())
