@@ -242,3 +242,31 @@ def test_links_that_are_no_hashes_are_kept_as_they_are(spark, chain):
     c = G.checked(G.chain_rows(chain.withColumn("prev_hash", prev), "Declaration"), {"policy": KEY})
     got = {(r["run_id"], r["seq"]): r["prev_hash"] for r in c.collect()}
     assert len(got) == 36 and all(got[0, s] == v for s, v in odd.items())
+
+
+def test_due_at_period_is_due_on_listed_frames(spark):
+    """Same rows as by listed frames: instants between frames, before the first, after the last, off by rounding."""
+    runs = spark.createDataFrame([(1, 0.0, 0.02, 400), (2, 1.5, 3.0, 7), (4, 0.0, 3.0, 0)], "run_id long, t_first double, frame_period_s double, frame_count long")
+    grid = {1: (0.0, 0.02, 400), 2: (1.5, 3.0, 7)}
+    frames = spark.createDataFrame([(r, i, a + i * p) for r, (a, p, n) in grid.items() for i in range(n)], "run_id long, frame_idx long, t double")
+    at = [0.0, -0.02, 0.01, 0.06, 0.06 + 1e-10, 0.06 + 1e-8, 1.5, 4.5, 6.0, 7.98, 8.0, 19.5, 22.5, None]
+    d = spark.createDataFrame([(r, f"d{r}-{i}", t) for r in (1, 2, 3, 4) for i, t in enumerate(at)], "run_id long, declaration_id string, t_issued double")
+    due, left = R.due_declarations(frames, d)
+    want = {(r.declaration_id, r.frame_idx) for r in due.collect()} | {(r.declaration_id, None) for r in left.collect()}
+    got = [(r.declaration_id, r.frame_idx) for r in R.due_at_period(d, runs).collect()]
+    assert len(got) == 4 * len(at) and set(got) == want and sum(f is not None for _, f in got) >= 8
+
+
+def test_due_query_lists_no_frames(spark, tmp_path):
+    """A run of two orders 250 years apart has 30,000 frames of three days, and no plan may list them."""
+    import pandas as pd
+
+    from runaudit.catalog.records import due_declarations
+
+    pd.DataFrame({
+        "o_orderkey": [1, 2], "o_custkey": [5, 5], "o_orderpriority": ["1-URGENT"] * 2, "o_totalprice": [1.0, 2.0],
+        "o_orderdate": pd.to_datetime(["1995-01-04", "2245-01-01"]).astype("datetime64[us]"),
+    }).to_parquet(tmp_path / "orders.parquet")
+    df = due_declarations(spark, str(tmp_path))
+    assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.declaration_id: r.frame_idx for r in df.collect()} == {"d1": 1, "d2": 91311 // 3 if 91311 % 3 == 0 else None}
