@@ -96,3 +96,20 @@ def test_outer_radius_contains_every_sampled_pose(spark):
     out = df.select(tips.alias("tip"), G.outer_radius(q, v, arm, F.lit(0.2), 0.02).alias("r")).collect()
     assert all(r["tip"] <= r["r"] + 1e-9 <= arm.bound + 1e-6 for r in out)
     assert any(r["r"] < arm.bound - 0.01 for r in out)
+
+
+def test_tip_reach_is_a_root_of_squares(spark):
+    """Poses of equal elbow differ in the last bit alone, and the action class hangs on it."""
+    import math
+
+    arm = G.Limits((0.5, 0.4), 0.05, (-3.1, -2.6), (3.1, 2.6), (2.0, 2.5), (8.0, 10.0))
+    rows = [(i, (i % 628) / 100.0 - 3.14, (i * 7 % 520) / 100.0 - 2.6) for i in range(2000)]
+    df = spark.createDataFrame(rows, "i int, q0 double, q1 double")
+    got = df.select("q0", "q1", G.tip_reach([F.col("q0"), F.col("q1")], arm).alias("r")).collect()
+
+    def by_hand(a, b):
+        x, y = 0.5 * math.cos(a) + 0.4 * math.cos(a + b), 0.5 * math.sin(a) + 0.4 * math.sin(a + b)
+        return math.sqrt(x * x + y * y)
+
+    # sines of the two libraries may differ in a last bit now and then
+    assert sum(r.r != by_hand(r.q0, r.q1) for r in got) < len(got) // 50
