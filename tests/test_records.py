@@ -270,3 +270,17 @@ def test_due_query_lists_no_frames(spark, tmp_path):
     df = due_declarations(spark, str(tmp_path))
     assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert {r.declaration_id: r.frame_idx for r in df.collect()} == {"d1": 1, "d2": 91311 // 3 if 91311 % 3 == 0 else None}
+
+
+def test_an_instant_asked_twice_keeps_its_rows(spark):
+    from runaudit.plans import questions as Q
+
+    asks = spark.createDataFrame([(1, 100.0), (1, 100.0), (1, 50.0), (2, 100.0)], "run_id long, t double")
+    meta = spark.createDataFrame([(1, "present", "every record"), (2, "present", "every record")], "run_id long, attestation_records string, attestation_retention string")
+    rows = spark.createDataFrame(
+        [(1, "a", 0, 40.0, 30.0, "hold", "r0", 1.0), (1, "b", 1, 90.0, 30.0, "hold", "r1", 1.0), (1, "c", 2, 100.0, 30.0, "hold", "r2", 1.0)],
+        "run_id long, declaration_id string, seq long, t_issued double, horizon double, action_class string, region_id string, area double",
+    )
+    got = sorted((r.run_id, r.t, r.in_force, r.declaration_id or "") for r in Q.declared_bound(asks, meta, rows).table(["run_id", "t"]).collect())
+    # beside each of two asks, the declarations once; in_force as the statement counts it, over both asks
+    assert got == [(1, 50.0, 1, "a"), (1, 100.0, 4, "b"), (1, 100.0, 4, "b"), (1, 100.0, 4, "c"), (1, 100.0, 4, "c"), (2, 100.0, 0, "")]
