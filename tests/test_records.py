@@ -284,3 +284,63 @@ def test_an_instant_asked_twice_keeps_its_rows(spark):
     got = sorted((r.run_id, r.t, r.in_force, r.declaration_id or "") for r in Q.declared_bound(asks, meta, rows).table(["run_id", "t"]).collect())
     # beside each of two asks, the declarations once; in_force as the statement counts it, over both asks
     assert got == [(1, 50.0, 1, "a"), (1, 100.0, 4, "b"), (1, 100.0, 4, "b"), (1, 100.0, 4, "c"), (1, 100.0, 4, "c"), (2, 100.0, 0, "")]
+
+
+def test_ends_of_edges(spark):
+    """Missing and wrong ends, a node of two kinds, unknown types and null ids, against plain loops; ends are joined once."""
+    from runaudit.operators import validate as VA
+
+    nodes = [(1, "v0", "Verdict"), (1, "v0", "Verdict"), (1, "d0", "Declaration"), (1, "x", "Verdict"), (1, "x", "Envelope"), (2, "e0", "Envelope")]
+    edges = [
+        (1, "ADJUDICATED", "v0", "d0"), (1, "ADJUDICATED", "d0", "v0"), (1, "ADJUDICATED", "v0", "gone"), (1, "ENFORCED", "x", "x"),
+        (2, "ENFORCED", "v0", "e0"), (1, "FOLLOWS", "d0", "gone"), (1, "ODD", "v0", "none"), (1, "DECLARED", None, "x"),
+    ]
+    e = spark.createDataFrame(
+        [(r, k, a, z, 0.0, 1.0, "A", None, None) for r, k, a, z in edges],
+        "run_id long, type string, src_id string, dst_id string, t_start double, t_end double, layer string, overlap_area double, min_distance double",
+    )
+    df = VA.validate_edges(e, spark.createDataFrame(nodes, "run_id long, node_id string, kind string"))
+    want = []
+    for r, k, a, z in edges:
+        kinds = V.EDGE_TYPES.get(k, (None, None, None))[1:3]
+        for end, node, kind in (("source", a, kinds[0]), ("target", z, kinds[1])):
+            have = {c for n, m, c in nodes if (n, m) == (r, node)}
+            name = ">".join(x for x in (k, a, z) if x is not None)
+            want += [(r, name, f"{end} does not exist")] if not have else []
+            want += [(r, name, "endpoint of the wrong kind") for c in have if kind and c != kind]
+        if k == "ODD":
+            want.append((r, name, "unknown type"))
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") + df._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+
+
+def test_equal_lines_of_an_order_are_numbered_as_by_all_columns(spark, tmp_path):
+    """Ties in date, order and line number are settled by the other columns, and few of those are dealt to the runs."""
+    import pandas as pd
+
+    from runaudit.sources.bindings import Records
+
+    rng = random.Random(4)
+    day = lambda: rng.choice(["1995-01-04", "1995-01-05"])
+    pd.DataFrame({"o_orderkey": range(6), "o_custkey": [i % 2 for i in range(6)]}).to_parquet(tmp_path / "orders.parquet")
+    li = pd.DataFrame({
+        "l_orderkey": [rng.randrange(6) for _ in range(200)], "l_linenumber": [rng.randrange(3) for _ in range(200)],
+        "l_partkey": [rng.randrange(2) for _ in range(200)], "l_suppkey": [rng.randrange(12) for _ in range(200)],
+        "l_extendedprice": [float(rng.randrange(900, 999)) for _ in range(200)], "l_quantity": [1.0] * 200, "l_discount": [0.1] * 200,
+        "l_tax": [0.0] * 200, "l_returnflag": [rng.choice("NAR") for _ in range(200)], "l_linestatus": [rng.choice("FO") for _ in range(200)],
+        "l_shipdate": pd.to_datetime([day() for _ in range(200)]).astype("datetime64[us]"),
+    })
+    li.to_parquet(tmp_path / "lineitem.parquet")
+    v = Records(spark, str(tmp_path)).verdicts()
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    want = []
+    for run in (0, 1):
+        mine = li[li.l_orderkey % 2 == run].sort_values([*order, "l_returnflag", "l_linestatus"])
+        for s, r in enumerate(mine.itertuples()):
+            out = {"N": "PERMIT", "A": "CLAMP"}.get(r.l_returnflag) or ("VETO" if r.l_linestatus == "F" else "SAFE_STATE")
+            want.append((run, s, out, r.l_orderkey))
+    got = sorted((r.run_id, r.seq, r.outcome, r.declaration_id) for r in v.collect())
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert all(g[3] in (None, f"d{w[3]}") for g, w in zip(got, want))
+    windows = [x for x in v._jdf.queryExecution().optimizedPlan().toString().splitlines() if "windowspecdefinition(run_id" in x]
+    assert windows and not any("l_tax" in x for x in windows)
