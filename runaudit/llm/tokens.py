@@ -38,6 +38,7 @@ class Encoder(dict):
         self.tokenizer, self.end, self.before = Tokenizer.from_file(file), array("I", [end]).tobytes(), {}
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.tokenize, self.space = self.model.tokenize, self.letters[32]
         self.folds = self.tokenizer.normalizer is not None
 
     def __missing__(self, part: str) -> bytes:
@@ -45,15 +46,16 @@ class Encoder(dict):
         it, is a word of its own to both tokenizers; it is kept under a leading space."""
         got = self.before.get(part)
         if got is None:
-            cut = _TAIL.fullmatch(part)
-            if part.isalpha() and max(part) <= "\xff":
+            if part.isalpha() and (part.isascii() or max(part) <= "\xff"):
                 got = self.word(part)
             elif part[:1] == " ":
                 got = self.whole(part[1:])
-            elif cut and (cut[1][-1].isalpha() or cut[2][0] == "\n"):
-                got = self[cut[1]] + self[" " + cut[2]]
             else:
-                got = self.whole(" " + part)
+                cut = _TAIL.fullmatch(part)
+                if cut and (cut[1][-1].isalpha() or cut[2][0] == "\n"):
+                    got = self[cut[1]] + self[" " + cut[2]]
+                else:
+                    got = self.whole(" " + part)
         if len(self) >= PARTS:
             self.before = dict(self)
             self.clear()
@@ -65,8 +67,11 @@ class Encoder(dict):
         can go to the library's merge model at once. The vocabulary that folds case
         drops the space, the other keeps it."""
         raw = word.lower() if self.folds else " " + word
-        mapped = raw.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+        if not raw.isascii():
+            raw = raw.encode().decode("latin-1").translate(self.letters)
+        elif not self.folds:
+            raw = self.space + word  # ASCII letters stand for themselves
+        return array("I", [t.id for t in self.tokenize(raw)]).tobytes()
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
