@@ -1,7 +1,7 @@
 """Online forms of two batch operators. Replayed over a finished stream, each
 gives the batch result.
 
-Input rows are keyed by run, relationship and entity. Within a key, rows come
+Input rows are keyed by run, relationship and entity; keys share a call and a state by groups. Within a key, rows come
 in frame order; a late row cannot be folded into a closed interval, so the
 caller orders each file or partition of the source (a watermark drops rows
 later than the delay it allows).
@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -22,43 +24,74 @@ INTERVAL = (
 )
 # event time an interval may stay open with no new frame before it is emitted
 GRACE_MS = 1000
-_STATE = "frame_first long, frame_last long, t_start double, t_end double, compare double"
-
-
-def _fold_intervals(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Extend the open interval while the value holds and frames follow on;
-    otherwise emit it and open the next. One open interval is all the state."""
-    if state.hasTimedOut:
-        yield pd.DataFrame([(*key, *state.get)], columns=_names())
-        state.remove()
-        return
-    opened = state.get if state.exists else None
-    closed = []
-    rows = pd.concat(list(batches)).sort_values("frame_idx")
-    for idx, t, value in zip(rows["frame_idx"], rows["t"], rows["compare"]):
-        if opened is not None and idx == opened[1] + 1 and value == opened[4]:
-            opened = (opened[0], int(idx), opened[2], float(t), opened[4])
-            continue
-        if opened is not None:
-            closed.append((*key, *opened))
-        opened = (int(idx), int(idx), float(t), float(t), float(value))
-    state.update(opened)
-    state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + GRACE_MS)
-    yield pd.DataFrame(closed, columns=_names())
+# keys are dealt to this many groups; a group is one call and one state however many keys it holds
+GROUPS = 1024
+_KEY = ["run_id", "type", "entity_id"]
 
 
 def _names() -> list[str]:
     return [part.split()[0] for part in INTERVAL.split(", ")]
 
 
-def stream_intervals(observations: DataFrame, lateness: str = "1 second") -> DataFrame:
+def _packed(opened: pd.DataFrame) -> bytes:
+    return pa.ipc.serialize_pandas(opened, preserve_index=False).to_pybytes()
+
+
+def _fold_intervals(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Extend each key's open interval while the value holds and frames follow on; otherwise emit it
+    and open the next. One open interval per key is all the state, with the time it may stay open to."""
+    now = state.getCurrentWatermarkMs()
+    opened = pa.ipc.deserialize_pandas(state.get[0]) if state.exists else None
+    out = []
+    if not state.hasTimedOut:
+        rows = pd.concat(list(batches))
+        fresh = pd.DataFrame({
+            **{c: rows[c] for c in _KEY}, "frame_first": rows["frame_idx"], "frame_last": rows["frame_idx"],
+            "t_start": rows["t"], "t_end": rows["t"], "compare": rows["compare"],
+        })
+        fresh["due"] = now + GRACE_MS
+        both = fresh.assign(_side=1) if opened is None else pd.concat([opened.assign(_side=0), fresh.assign(_side=1)])
+        both = both.sort_values([*_KEY, "_side", "frame_first"], ignore_index=True, kind="stable")
+        same = np.ones(len(both) - 1, dtype=bool)
+        for c in _KEY:
+            same &= both[c].to_numpy()[1:] == both[c].to_numpy()[:-1]
+        new_key = np.r_[True, ~same]
+        follows = (both["frame_first"].to_numpy()[1:] == both["frame_last"].to_numpy()[:-1] + 1) & (
+            both["compare"].to_numpy()[1:] == both["compare"].to_numpy()[:-1]
+        )
+        begins = np.flatnonzero(np.r_[True, ~(same & follows)])
+        ends = np.r_[begins[1:], len(both)] - 1
+        spans = both.iloc[begins].reset_index(drop=True)
+        for c in ("frame_last", "t_end", "due"):
+            spans[c] = both[c].to_numpy()[ends]
+        stays = np.r_[new_key[begins[1:]], True]  # the last interval of a key
+        out.append(spans[~stays])
+        opened = spans[stays].drop(columns="_side")
+    over = opened["due"].to_numpy() < now
+    out.append(opened[over])
+    opened = opened[~over]
+    if len(opened):
+        state.update((_packed(opened),))
+        state.setTimeoutTimestamp(int(opened["due"].min()))
+    elif state.exists:
+        state.remove()
+    closed = [x for x in out if len(x)]
+    if closed:
+        yield pd.concat(closed)[_names()]
+
+
+def stream_intervals(observations: DataFrame, lateness: str = "1 second", groups: int = GROUPS) -> DataFrame:
     """Closed intervals of a streaming observation table with an event-time
-    column `at`. An interval still open is emitted when the watermark passes."""
+    column `at`. An interval still open is emitted when the watermark passes.
+
+    A call of Python and a state cost milliseconds whatever they hold, so keys are dealt to
+    `groups`, and the keys of a group are folded and stored together."""
     return (
         observations.withWatermark("at", lateness)
-        .groupBy("run_id", "type", "entity_id")
+        .select(*_KEY, "frame_idx", "t", "compare", "at", F.pmod(F.xxhash64(*_KEY), F.lit(groups)).alias("group"))
+        .groupBy("group")
         .applyInPandasWithState(
-            _fold_intervals, INTERVAL, _STATE, "append", GroupStateTimeout.EventTimeTimeout
+            _fold_intervals, INTERVAL, "open binary", "append", GroupStateTimeout.EventTimeTimeout
         )
     )
 
