@@ -47,6 +47,20 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """`read_lines` of streams that `write_bundles` wrote: `file` is a stream's own name, and the
+    keys are read from it."""
+    lines = spark.read.text(path).select(
+        F.split("value", "\t", 2).alias("v"), F.col("_metadata.file_path").alias("bundle"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"),
+    )
+    name = F.split(F.col("v")[0], "/")
+    return lines.select(
+        F.col("v")[1].alias("value"), name[0].cast("long").alias("run_id"), name[1].cast("long").alias("chunk"),
+        F.concat_ws("#", "bundle", F.col("v")[0]).alias("file"), "block", "place",
+    )
+
+
 def line_numbers(rows: DataFrame, lines: DataFrame) -> DataFrame:
     """Adds `line`, the 1-based number in its file, to some of `lines`. Lines are counted a
     block at a time, and the counts of the blocks before are added; no file is one task."""
@@ -104,17 +118,18 @@ def read_frames(lines: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame
     )
     j, o = F.col("joints"), F.col("obstacles")
     here = F.struct("block", "place")
-    data = _content(lines).join(layout, "file", "left").filter(F.col("_header").isNull() | (here != F.col("_header")))
-    p = data.withColumn("_p", F.split("value", ","))
-
+    # every field is read as a number once, before rows are dealt: later on it would be read again for each use
+    read = F.transform(F.split("value", ","), lambda x: x.try_cast("double"))
+    numbers = _content(lines).withColumn("_n", F.transform(read, lambda x: F.when(S.finite(x), x)))
+    p = numbers.join(layout, "file", "left").filter(F.col("_header").isNull() | (here != F.col("_header")))
     def num(i: Column) -> Column:
-        x = F.get(F.col("_p"), i).try_cast("double")
-        return F.when(S.finite(x), x)
+        return F.get(F.col("_n"), i)
 
     def nums(start: Column, count: Column) -> Column:
-        return F.when(
-            count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: num(start + i))
-        ).otherwise(F.array().cast("array<double>"))
+        # a short row is padded: it is refused for its length, and its missing fields are NULL
+        field = F.transform(F.sequence(F.lit(0), count - 1), lambda i: num(start + i))
+        whole = F.when(F.size("_n") >= start + count, F.slice("_n", start + 1, count)).otherwise(field)
+        return F.when(count > 0, whole).otherwise(F.array().cast("array<double>"))
 
     at = 1 + 2 * j
     objects = F.when(
@@ -122,8 +137,8 @@ def read_frames(lines: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame
         F.transform(
             F.sequence(F.lit(0), o - 1),
             lambda i: F.struct(
-                F.get(F.col("_p"), at + 4 + 5 * i).alias("entity_id"),
-                F.get(F.col("_p"), at + 5 + 5 * i).alias("kind"),
+                F.get(F.split("value", ","), at + 4 + 5 * i).alias("entity_id"),
+                F.get(F.split("value", ","), at + 5 + 5 * i).alias("kind"),
                 num(at + 6 + 5 * i).alias("cx"), num(at + 7 + 5 * i).alias("cy"),
                 num(at + 8 + 5 * i).alias("r"),
             ),
@@ -131,7 +146,7 @@ def read_frames(lines: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame
     )
     typed = p.select(
         *keys, "file", "block", "place", "value", "valid",
-        (F.size("_p") == 1 + 2 * j + 4 + 5 * o).alias("_whole"),
+        (F.size("_n") == 1 + 2 * j + 4 + 5 * o).alias("_whole"),
         num(F.lit(0)).alias("t"), nums(F.lit(1), j).alias("q"), nums(1 + j, j).alias("qd"),
         F.struct(
             num(at).alias("x"), num(at + 1).alias("y"), num(at + 2).alias("vx"), num(at + 3).alias("vy")
@@ -172,6 +187,20 @@ def frame_line(t, q, qd, person, obstacles) -> Column:
     return F.concat_ws(",", *cells)
 
 
+def _streams(lines: DataFrame, headers: DataFrame, comments: DataFrame) -> DataFrame:
+    """Every stream's comment block, header and rows, dealt by stream and in order."""
+    minus = F.lit(-1).cast("long")
+    files = lines.select("run_id", "chunk").distinct()
+    head = files.join(headers, "run_id").select("run_id", "chunk", F.lit(1).alias("_o"), minus.alias("frame_idx"), "line")
+    note = files.join(comments, "run_id").select("run_id", "chunk", F.lit(0).alias("_o"), minus.alias("frame_idx"), "line")
+    body = lines.select("run_id", "chunk", F.lit(2).alias("_o"), "frame_idx", "line")
+    return (
+        body.unionByName(head).unionByName(note)
+        .repartition("run_id", "chunk")
+        .sortWithinPartitions("run_id", "chunk", "_o", "frame_idx", "line")
+    )
+
+
 def write_frames(
     lines: DataFrame, headers: DataFrame, comments: DataFrame, path: str
 ) -> None:
@@ -180,15 +209,16 @@ def write_frames(
 
     lines: run_id, chunk, frame_idx, line; headers and comments: run_id, line.
     """
-    minus = F.lit(-1).cast("long")
-    files = lines.select("run_id", "chunk").distinct()
-    head = files.join(headers, "run_id").select("run_id", "chunk", F.lit(1).alias("_o"), minus.alias("frame_idx"), "line")
-    note = files.join(comments, "run_id").select("run_id", "chunk", F.lit(0).alias("_o"), minus.alias("frame_idx"), "line")
-    body = lines.select("run_id", "chunk", F.lit(2).alias("_o"), "frame_idx", "line")
     (
-        body.unionByName(head).unionByName(note)
-        .repartition("run_id", "chunk")
-        .sortWithinPartitions("run_id", "chunk", "_o", "frame_idx", "line")
+        _streams(lines, headers, comments)
         .select("run_id", "chunk", F.col("line").alias("value"))
         .write.partitionBy("run_id", "chunk").mode("overwrite").text(path)
     )
+
+
+def write_bundles(lines: DataFrame, headers: DataFrame, comments: DataFrame, path: str) -> None:
+    """S5 for many short runs: the streams of `write_frames`, many to a text file. Each line stands behind
+    its stream's name (run_id/chunk) and a tab. A file costs some 30 ms to make, to list and to open,
+    whatever it holds, so files grow with the rows here, and not with the runs."""
+    name = F.concat_ws("/", F.col("run_id").cast("string"), F.col("chunk").cast("string"))
+    _streams(lines, headers, comments).select(F.concat_ws("\t", name, "line").alias("value")).write.mode("overwrite").text(path)

@@ -1,6 +1,7 @@
 """Text frame streams: line numbers and headers, by the lines of the files themselves."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,3 +73,57 @@ def test_watchdog_query_equals_its_statement(spark):
         pytest.skip("test tables are not here")
     ok, _, _, note = compare(spark, sf, entry.queries()["stream_watchdog"], entry.oracle_sql()["stream_watchdog"])
     assert ok, note
+
+
+def test_intervals_of_many_keys_share_a_call(spark, tmp_path):
+    """Two batches: an interval goes on in the second, another key is silent until the watermark passes it."""
+    shape = "run_id long, type string, entity_id string, frame_idx long, t double, compare double, at timestamp"
+    at = F.timestamp_micros((F.col("second") * 1e6).cast("long"))
+
+    def batch(rows):
+        return spark.createDataFrame(rows, shape.replace("at timestamp", "second double")).withColumn("at", at).drop("second")
+
+    first = [(r, "S", e, i, i / 10, float(i // 3), 1000 + i / 10) for r in range(30) for e in "ab" for i in range(5)]
+    later = [(r, "S", "a", i, i / 10, float(i // 3), 1000 + i / 10) for r in range(30) for i in (5, 6, 9)]
+    last = [(99, "S", "z", 0, 0.0, 1.0, 2000.0)]
+    path = str(tmp_path / "in")
+    os.mkdir(path)
+    seen = L.stream_intervals(spark.readStream.schema(batch(last).schema).option("maxFilesPerTrigger", 1).parquet(path), groups=4)
+    for rows in (first, later, last):
+        batch(rows).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # files are taken in order of their age
+    out = L.run_available(seen, str(tmp_path / "out"), str(tmp_path / "check"))
+    got = {tuple(r)[:7] for r in out.collect()}
+    want = set()
+    for r in range(30):
+        for e, spans in (("a", [(0, 2), (3, 5), (6, 6), (9, 9)]), ("b", [(0, 2), (3, 4)])):
+            want |= {(r, "S", e, a, z, a / 10, z / 10) for a, z in spans}
+    assert got - {(99, "S", "z", 0, 0, 0.0, 0.0)} == want
+    assert out.count() == len(got)
+
+
+def test_streams_share_bundles(spark, tmp_path):
+    """Short streams are written to a few files together and read back as single ones, also where a bundle is cut into blocks."""
+    n = 400
+    key = spark.range(n).select(F.col("id").alias("run_id"))
+    odd = F.when((F.col("run_id") % 9 == 4) & (F.col("frame_idx") == 3), F.lit("a\tb")).otherwise(F.concat(F.col("frame_idx").cast("string"), F.lit(".000000,0.1,0.2,1.0,2.0,0.0,0.0")))
+    lines = key.select("run_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(6).cast("long"))).alias("frame_idx"))
+    lines = lines.select("run_id", (F.col("frame_idx") / 4).cast("long").alias("chunk"), "frame_idx", odd.alias("line"))
+    head = key.select("run_id", F.lit(HEADER).alias("line"))
+    note = key.select("run_id", F.concat(F.lit("# run="), F.col("run_id").cast("string")).alias("line"))
+    path = str(tmp_path / "bundles")
+    FR.write_bundles(lines, head, note, path)
+    assert len([f for f in os.listdir(path) if f.endswith(".txt")]) < 40
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1024")
+    try:
+        read = FR.read_bundles(spark, path)
+        assert read.select("file").distinct().count() == 2 * n
+        good, bad = FR.read_frames(read, ["run_id"])
+        odd_runs = [i for i in range(n) if i % 9 == 4]
+        assert sorted((r.run_id, r.t) for r in good.collect()) == [(i, float(k)) for i in range(n) for k in range(7) if not (k == 3 and i % 9 == 4)]
+        assert sorted((r.run_id, r.line, r.value) for r in bad.collect()) == [(i, 6, "a\tb") for i in odd_runs]
+        assert sorted(tuple(r) for r in FR.provenance(read, ["run_id"]).collect()) == [(i, "run", str(i)) for i in range(n)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
