@@ -163,7 +163,9 @@ def _ordered(events: DataFrame, watchdog: float, t_start: float | None) -> DataF
             "run_id", "t", "side", "seq", "declaration_id", "claimed", "horizon", "action_class",
             "offer_fault", "t_start",
         )
-        .repartition("run_id")
+        # not by run_id itself: Spark leaves that out where each part of a union is dealt by run_id already, and then
+        # merges partitions of each part by itself, which tears runs
+        .repartition(F.xxhash64("run_id"))
         .sortWithinPartitions("run_id", "t", "side", "seq")
     )
     passivating = frozenset(V.PASSIVATING_FAULTS)
