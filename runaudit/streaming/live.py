@@ -101,30 +101,46 @@ ALARM = "run_id long, t double, kind string"
 
 def _watch(watchdog: float, t_start: float | None):
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        alarms = []
-        rows = pd.concat(list(batches)).sort_values(["t", "side", "seq"])
-        began = float(rows["t_start"].iloc[0]) if t_start is None else t_start
-        heard, expires = state.get if state.exists else (began, None)
-        for t, side, horizon in zip(rows["t"], rows["side"], rows["horizon"]):
-            if side == 0:
-                heard, expires = max(heard, float(t)), float(t) + float(horizon)
-            elif t - heard > watchdog:
-                alarms.append((key[0], float(t), "watchdog_expiry"))
-            elif expires is not None and t > expires:
-                alarms.append((key[0], float(t), "stale_declaration"))
-        state.update((heard, expires))
-        yield pd.DataFrame(alarms, columns=["run_id", "t", "kind"])
+        rows = pd.concat(list(batches), ignore_index=True)
+        run, _ = pd.factorize(rows["run_id"], use_na_sentinel=False)
+        rows = rows.assign(_run=run).sort_values(["_run", "t", "side", "seq"], ignore_index=True)
+        run, t, offer = rows["_run"].to_numpy(), rows["t"].to_numpy(float), rows["side"].to_numpy() == 0
+        begins = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        ends = np.r_[begins[1:], len(rows)] - 1
+        known = rows.loc[begins, ["run_id"]]
+        held = pa.ipc.deserialize_pandas(state.get[0]) if state.exists else None
+        if held is None:
+            known = known.assign(heard=np.nan, expires=np.nan)
+        else:
+            known = known.merge(held, on="run_id", how="left")
+        began = rows["t_start"].to_numpy(float)[begins] if t_start is None else np.full(len(begins), float(t_start))
+        heard0 = np.where(known["heard"].isna(), began, known["heard"])
+        # what was last heard, and the expiry of the last offer, at every row of a run
+        heard = pd.Series(np.where(offer, t, np.nan)).groupby(run).cummax().groupby(run).ffill().to_numpy()
+        heard = np.fmax(heard, heard0[run])
+        last = np.maximum.accumulate(np.where(offer, np.arange(len(rows)), -1))
+        until = np.where(last >= begins[run], (t + rows["horizon"].to_numpy(float))[last], known["expires"].to_numpy()[run])
+        silent = ~offer & (t - heard > watchdog)
+        stale = ~offer & ~silent & (t > until)
+        ended = pd.DataFrame({"run_id": rows["run_id"].to_numpy()[ends], "heard": heard[ends], "expires": until[ends]})
+        if held is not None:
+            ended = pd.concat([held[~held["run_id"].isin(ended["run_id"])], ended], ignore_index=True)
+        state.update((_packed(ended),))
+        kind = np.where(silent, "watchdog_expiry", "stale_declaration")
+        yield rows.assign(kind=kind).loc[silent | stale, ["run_id", "t", "kind"]]
 
     return step
 
 
-def stream_watchdog(events: DataFrame, watchdog: float, t_start: float | None = None) -> DataFrame:
+def stream_watchdog(
+    events: DataFrame, watchdog: float, t_start: float | None = None, groups: int = GROUPS
+) -> DataFrame:
     """Alarms for actions after silence or under an expired declaration.
-    State is the last instant heard and the last expiry. A run is listened to from
-    `t_start` on; with None, from the instant its rows name in a column of that name."""
-    return events.groupBy("run_id").applyInPandasWithState(
-        _watch(watchdog, t_start), ALARM, "heard double, expires double", "append",
-        GroupStateTimeout.NoTimeout,
+    State is the last instant heard and the last expiry of each run, and the runs of a group share a call and a
+    state. A run is listened to from `t_start` on; with None, from the instant its rows name in a column of that name."""
+    group = F.when(F.col("run_id").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("run_id"), F.lit(groups)))
+    return events.withColumn("group", group).groupBy("group").applyInPandasWithState(
+        _watch(watchdog, t_start), ALARM, "held binary", "append", GroupStateTimeout.NoTimeout
     )
 
 
