@@ -207,7 +207,14 @@ def clamp_escapes(verdicts: DataFrame, bodies: DataFrame, regions: DataFrame) ->
     named = verdicts.join(regions, ["run_id", "declaration_id"], "left").join(
         bodies.withColumn("side", F.lit(1)), ["run_id", "side", "seq"], "left"
     )
-    out = escape_cells(F.coalesce("body", F.array().cast("array<long>")), F.coalesce("region", F.array().cast("array<long>")))
+    return clamp_found(named, F.col("body"), F.col("region"))
+
+
+def clamp_found(named: DataFrame, body: Column, region: Column) -> DataFrame:
+    """`clamp_escapes` of verdicts that tell both sets of cells by themselves, so that no cells are moved.
+    NULL is a set without cells."""
+    none = F.array().cast("array<long>")
+    out = escape_cells(F.coalesce(body, none), F.coalesce(region, none))
     escapes = (F.col("outcome") == "PERMIT") & (F.size(out) > 0)
     return named.select(
         "run_id", "t", "side", "seq", "declaration_id",
